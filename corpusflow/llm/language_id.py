@@ -102,7 +102,7 @@ def _keep_frequent(counts: DataFrame, max_entries: int) -> DataFrame:
     return counts.join(frequent, ["kind", "entry"], "left_semi")
 
 
-def train(labelled: DataFrame, train_docs: int = 8_000, max_entries: int = 60_000) -> Model:
+def train(labelled: DataFrame, train_docs: int = 4_000, max_entries: int = 60_000) -> Model:
     """labelled: text, lang (rows with a null lang or text don't count)."""
     rows = bounded_sample(labelled.filter("lang is not null and text is not null"), train_docs, "text", "lang")
 

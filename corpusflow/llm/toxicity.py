@@ -43,10 +43,10 @@ class Ftrl:
     """Weights come from z and n only when they are needed: zero while |z| is within l1."""
 
     bits: int = 20
-    alpha: float = 0.05
+    alpha: float = 3.0
     beta: float = 1.0
-    l1: float = 2.0
-    l2: float = 1.0
+    l1: float = 4.0
+    l2: float = 0.0
 
     def fit(self, rows: list[np.ndarray], labels: np.ndarray, epochs: int = 4) -> tuple[np.ndarray, float]:
         z, n = np.zeros(1 << self.bits), np.zeros(1 << self.bits)
@@ -68,7 +68,7 @@ class Ftrl:
         return w.astype(np.float32), float(bias)
 
 
-def train(labelled: DataFrame, train_docs: int = 6_000, learner: Ftrl | None = None) -> tuple[np.ndarray, float]:
+def train(labelled: DataFrame, train_docs: int = 12_000, learner: Ftrl | None = None) -> tuple[np.ndarray, float]:
     """labelled: text, label (0 or 1)."""
     learner = learner or Ftrl()
     bits = learner.bits
