@@ -11,7 +11,9 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Rows of one Arrow batch are worked on in pieces of about so many bytes of text.
 PIECE_BYTES = 2 << 20
@@ -75,6 +77,11 @@ def columns_or_null(df: DataFrame, **types: str) -> DataFrame:
     return df.select(*((F.col(f"`{c}`") if c in have else F.lit(None)).cast(t).alias(c) for c, t in types.items()))
 
 
+def extended(schema: T.StructType, **types: str) -> T.StructType:
+    """A schema with further columns, by their SQL types."""
+    return T.StructType([*schema.fields, *(T.StructField(c, T.DataType.fromDDL(t)) for c, t in types.items())])
+
+
 def checked_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner", max_bytes: int = 16 << 20, row_bytes: int = 64) -> DataFrame:
     """Join; ``small`` is broadcast only if its counted rows fit ``max_bytes``, else both sides are shuffled.
 
@@ -94,7 +101,7 @@ def running_totals(scratch: Scratch, df: DataFrame, group: str, order: list[str]
     """
     keys = [F.col(group).asc_nulls_first(), *(F.col(c).asc_nulls_first() for c in order)]
     fields = df.schema.fieldNames()
-    schema = df.schema.add("part", "int").add("seg", "int").add("local", "long")
+    schema = extended(df.schema, part="int", seg="int", local="long")
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -120,8 +127,6 @@ def running_totals(scratch: Scratch, df: DataFrame, group: str, order: list[str]
     placed = scratch.table(df.repartitionByRange(partitions, *keys).sortWithinPartitions(*keys).mapInArrow(sums, schema))
     # one row per (task, group); tasks are in order, and a group is one run of tasks
     tails = placed.groupBy("part", "seg", group).agg(F.max("local").alias("tail"))
-    from pyspark.sql import Window as W
-
     before = W.partitionBy(group).orderBy("part").rowsBetween(W.unboundedPreceding, -1)
     tails = tails.select("part", "seg", F.coalesce(F.sum("tail").over(before), F.lit(0)).alias("before"))
     return placed.join(tails, ["part", "seg"]).select(*fields, (F.col("local") + F.col("before")).alias("total"))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, columns_or_null, to_driver
+from .common import bounded_sample, columns_or_null, extended, to_driver
 
 WORD = re.compile(r"[^\W\d_]+")
 LONGEST = 5
@@ -152,7 +152,7 @@ def identify(docs: DataFrame, model: Model, id_columns: tuple[str, ...] = ("doc_
     """The id columns, lang_pred and score of every row."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
     ids = docs.select(*(F.col(f"`{c}`") for c in id_columns), F.col(f"`{text_column}`").cast("string").alias("_text"))
-    schema = ids.drop("_text").schema.add("lang_pred", "string").add("score", "double")
+    schema = extended(ids.drop("_text").schema, lang_pred="string", score="double")
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory: dict = {}

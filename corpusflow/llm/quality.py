@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, columns_or_null, mix, pieces, row_sums, to_driver
+from .common import bounded_sample, columns_or_null, extended, mix, pieces, row_sums, to_driver
 
 #: Shares are small numbers; this factor makes the steps of the fit about equal in all directions.
 SCALE = 30.0
@@ -111,7 +111,7 @@ def grade(docs: DataFrame, model: OrdinalModel, tail: int, id_columns: tuple[str
     """The id columns, expected_grade and tail_prob = P(grade >= tail) of every row."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(F.col(f"`{text_column}`").cast("string").alias("text"), *(F.col(f"`{c}`").alias(f"id{i}") for i, c in enumerate(id_columns)))
-    schema = docs.select(*(F.col(f"`{c}`") for c in id_columns)).schema.add("expected_grade", "double").add("tail_prob", "double")
+    schema = extended(docs.select(*(F.col(f"`{c}`") for c in id_columns)).schema, expected_grade="double", tail_prob="double")
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, quality, toxicity, url_filter
+from . import decontaminate, hamming, jaccard, kdtree, language_id, mixing, quality, toxicity, url_filter
 from .common import fold_of
 
 #: (verdict, host, path) of the url query.
@@ -18,6 +18,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_kdtree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kdtree.shard_documents(table(spark, sf_dir, "documents"), shards=40)
+
+
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Grades 0 to 3: low quality and toxic, low quality, toxic only, good. Selected: P(grade >= 2) of at least a half."""
     labels = table(spark, sf_dir, "labels").select("doc_id", (2 * F.col("quality") + 1 - F.col("toxic")).alias("grade"))
@@ -34,12 +38,30 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (fold_of("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op6_fair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op8_hamming_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Queries: every row whose id is divisible by 20, against all rows."""
+    return hamming.nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, k=10)
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = language_id.language_of_documents(table(spark, sf_dir, "documents"), fold_of("doc_id", 4) != 2)
     return out.select("doc_id", (fold_of("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_quality_classifier, op4_url_filter, op5_toxicity, op9_language_id)}
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join_components(table(spark, sf_dir, "documents"))
+
+
+_ALL = (op1_kdtree_sharding, op2_quality_classifier, op4_url_filter, op5_toxicity, op6_fair_mixing, op7_decontamination, op8_hamming_topk, op9_language_id, op10_jaccard_join)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 
 _REST = "substr(url, position('://' in url) + 3)"
 _HOST = f"CASE WHEN coalesce(position('://' in url), 0) = 0 THEN '' ELSE translate(regexp_extract({_REST}, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') END"
