@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, hamming, jaccard, kdtree, language_id, mixing, quality, toxicity, url_filter
+from . import decontaminate, hamming, jaccard, kdtree, language_id, mixing, quality, suffix_dedup, toxicity, url_filter
 from .common import fold_of
 
 #: (verdict, host, path) of the url query.
@@ -29,6 +29,10 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (fold_of("doc_id", 5) == 0).alias("held_out"), "expected_grade", "tail_prob", "selected")
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
@@ -60,7 +64,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join_components(table(spark, sf_dir, "documents"))
 
 
-_ALL = (op1_kdtree_sharding, op2_quality_classifier, op4_url_filter, op5_toxicity, op6_fair_mixing, op7_decontamination, op8_hamming_topk, op9_language_id, op10_jaccard_join)
+_ALL = (op1_kdtree_sharding, op2_quality_classifier, op3_suffix_dedup, op4_url_filter, op5_toxicity, op6_fair_mixing, op7_decontamination, op8_hamming_topk, op9_language_id, op10_jaccard_join)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 
 _REST = "substr(url, position('://' in url) + 3)"
