@@ -48,7 +48,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-        self.count = 0
+        self.count, self.live = 0, set()
         atexit.register(self._quiet_drop)
 
     def table(self, df: DataFrame) -> DataFrame:
@@ -57,12 +57,20 @@ class Scratch:
         df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out.scratch_path = path
+        self.live.add(path)
         return out
 
     def drop(self, *tables: DataFrame) -> None:
         """Delete tables that no result reads any more."""
         for t in tables:
             drop_path(self.spark, t.scratch_path)
+            self.live.discard(t.scratch_path)
+
+    def keep_only(self, *tables: DataFrame) -> None:
+        """Delete all tables but these."""
+        for path in self.live - {t.scratch_path for t in tables}:
+            drop_path(self.spark, path)
+        self.live = {t.scratch_path for t in tables}
 
     def _quiet_drop(self) -> None:
         try:

@@ -119,7 +119,7 @@ def _sketched(scratch: Scratch, rows: DataFrame, sketch: np.ndarray, width: int,
     mean = sketch.mean()
     limit = mean + max(FREQUENT, DEVIATIONS * mean**0.5)
     sent = rows.sparkSession.sparkContext.broadcast(np.maximum(0, sketch - mean).astype(np.float32))
-    schema = "doc_id long, n long, sig long, matches int, tokens array<long>"
+    schema = "doc_id long, text_key long, n long, sig long, matches int, tokens array<long>"
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -134,9 +134,9 @@ def _sketched(scratch: Scratch, rows: DataFrame, sketch: np.ndarray, width: int,
                     tokens.append(chosen.view(np.int64))
                 ends = np.concatenate([[0], np.cumsum([len(t) for t in tokens])]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(tokens) if tokens else np.zeros(0, np.int64)))
-                yield pa.RecordBatch.from_arrays([b.column(1)[lo:hi], pa.array(n, pa.int64()), pa.array(sig, pa.int64()), pa.array(matches, pa.int32()), lists], names=["doc_id", "n", "sig", "matches", "tokens"])
+                yield pa.RecordBatch.from_arrays([b.column(1)[lo:hi], b.column(2)[lo:hi], pa.array(n, pa.int64()), pa.array(sig, pa.int64()), pa.array(matches, pa.int32()), lists], names=["doc_id", "text_key", "n", "sig", "matches", "tokens"])
 
-    return scratch.table(rows.select("text", "doc_id").mapInArrow(work, schema))
+    return scratch.table(rows.select("text", "doc_id", F.xxhash64("text").alias("text_key")).mapInArrow(work, schema))
 
 
 def verified(scratch: Scratch, pairs: DataFrame, classes: DataFrame, rows: DataFrame, width: int, tenths: int) -> DataFrame:
@@ -184,14 +184,20 @@ def verified(scratch: Scratch, pairs: DataFrame, classes: DataFrame, rows: DataF
 
 
 def join_components(docs: DataFrame, width: int = 5, tenths: int = 8) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row: sets with at least tenths / 10 of their union in common are linked."""
+    """doc_id, text_key, n_shingles, component_id, component_key of every row.
+
+    Sets with at least tenths / 10 of their union in common are linked. component_key tells components apart even where
+    doc_ids are null; it is null for empty sets.
+    """
     scratch = Scratch(docs.sparkSession, "jaccard")
     rows = columns_or_null(docs, doc_id="long", text="string")
     sketched = _sketched(scratch, rows, count_sketch(scratch, rows, width), width, tenths)
+    narrow = scratch.table(sketched.select("doc_id", "text_key", "n", "sig"))
     classes = scratch.table(sketched.filter("n > 0").groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.max("matches").alias("matches")))
     postings = sketched.filter("n > 0").select("sig", F.explode("tokens").alias("token"))
     shared = postings.groupBy("token").agg(F.min("sig").alias("pivot"), F.max("sig").alias("other")).filter("pivot <> other").select("token", "pivot")
     lists = scratch.table(postings.join(shared, "token").distinct())
+    scratch.drop(sketched)
     size = classes.select("sig", "n", "matches")
     of = lambda side: size.select(F.col("sig").alias(side), F.col("n").alias(f"n_{side}"), F.col("matches").alias(f"m_{side}"))
     near_size = f"10 * least(n_a, n_b) >= {tenths} * greatest(n_a, n_b)"
@@ -218,6 +224,7 @@ def join_components(docs: DataFrame, width: int = 5, tenths: int = 8) -> DataFra
 
     named = classes.select("sig", F.col("doc_id").alias("least")).join(parts.withColumnRenamed("node", "sig"), "sig", "left").withColumn("component", F.coalesce("component", "sig"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    by_class = named.join(least, "component").select("sig", "component_id")
-    out = sketched.select("doc_id", "n", "sig").join(by_class.withColumn("full", F.lit(True)), (sketched.sig == by_class.sig) & (F.col("n") > 0), "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    by_class = scratch.table(named.join(least, "component").select("sig", "component_id", F.col("component").alias("component_key")))
+    scratch.keep_only(narrow, by_class)
+    full, empty = narrow.filter("n > 0").join(by_class, "sig"), narrow.filter("n = 0").select("*", F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("component_key"))
+    return full.unionByName(empty).select("doc_id", "text_key", F.col("n").alias("n_shingles"), "component_id", "component_key")

@@ -61,7 +61,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.join_components(table(spark, sf_dir, "documents"))
+    return jaccard.join_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
 _ALL = (op1_kdtree_sharding, op2_quality_classifier, op3_suffix_dedup, op4_url_filter, op5_toxicity, op6_fair_mixing, op7_decontamination, op8_hamming_topk, op9_language_id, op10_jaccard_join)

@@ -285,6 +285,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, grou
     rows = rows.withColumn("doc", F.coalesce("doc_id", F.lit(-(1 << 63)))).withColumn("hash", F.xxhash64("text"))
     spans = repeated_spans(scratch, rows, length, gram, group)
     by_doc = scratch.table(spans.groupBy("doc", "hash").agg(F.array_sort(F.collect_set(F.struct("s", "e"))).alias("spans")))
+    scratch.keep_only(by_doc)
     n = by_doc.agg(F.sum(F.size("spans"))).collect()[0][0] or 0
     n_docs = max(1, by_doc.count())
     joined = checked_join(rows, by_doc, ["doc", "hash"], "left", row_bytes=32 + 24 * -(-n // n_docs))
