@@ -1,15 +1,89 @@
-"""The corpus pipeline: STAGES in order, each over all that the one before it kept."""
+"""The corpus pipeline: five stages, each over all that the one before it kept.
+
+Every stage takes (spark, docs, sf_dir), docs being what the stage before it returned, written as Parquet and read again. All but
+the last return the columns of ``documents``. A row is known by doc_id and a hash of its text.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from corpusflow.llm import decontaminate, jaccard, kdtree, language_id, mixing
+from corpusflow.llm.common import Scratch, checked_join, columns_or_null, fold_of
+
+COLUMNS = {"doc_id": "long", "text": "string", "lang": "string", "source": "string", "n_chars": "long"}
+KEY = ["doc", "text_key"]
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """The columns of documents and the key, which is never null."""
+    return columns_or_null(docs, **COLUMNS).withColumn("doc", F.coalesce("doc_id", F.lit(-(1 << 63)))).withColumn("text_key", F.xxhash64("text"))
+
+
+def _key_of(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("doc", F.coalesce("doc_id", F.lit(-(1 << 63))))
+
+
+def _once(keyed: DataFrame) -> DataFrame:
+    """One row of each key. Rows are shuffled with their texts only if some key is there more than once."""
+    if keyed.groupBy(*KEY).count().filter("count > 1").limit(1).count():
+        return keyed.dropDuplicates(KEY)
+    return keyed
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a letter, or of no language with more probability than the others together, go."""
+    rows = columns_or_null(docs, **COLUMNS)
+    model = language_id.train(rows.filter(fold_of("doc_id", 4) != 2).select("text", "lang"))
+    return language_id.identify(rows, model, tuple(COLUMNS)).filter("lang_pred <> 'und' and score >= 0.5").select(*COLUMNS)
+
+
+def join_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component of near duplicates the document with the least doc_id stays (nulls last, then by text hash)."""
+    scratch = Scratch(spark, "pipeline")
+    found = jaccard.join_components(docs)
+    first = found.filter("component_key is not null").groupBy("component_key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("kept"))
+    kept = first.select("kept.doc_id", "kept.text_key").union(found.filter("component_key is null").select("doc_id", "text_key")).distinct()
+    rows = _once(checked_join(_keyed(docs), scratch.table(_key_of(kept).select(*KEY)), KEY, "left_semi", row_bytes=48))
+    return rows.select(*COLUMNS)
+
+
+def remove_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a test item go."""
+    scratch = Scratch(spark, "pipeline")
+    keyed = _keyed(docs)
+    leaks = decontaminate.find_leaks(keyed, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_columns=tuple(KEY)).select(*KEY).distinct()
+    return checked_join(keyed, scratch.table(leaks), KEY, "left_anti", row_bytes=48).select(*COLUMNS)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it: not at all, once or twice."""
+    scratch = Scratch(spark, "pipeline")
+    taken = mixing.mix_sources(docs).filter("taken > 0").groupBy("doc_id", "text_key").agg(F.sum(F.expr("taken div size")).cast("int").alias("copies"))
+    rows = checked_join(_once(_keyed(docs)), scratch.table(_key_of(taken).select(*KEY, "copies")), KEY, row_bytes=56)
+    return rows.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).select(*COLUMNS)
+
+
+def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return kdtree.shard_documents(docs, shards=40)
+
+
+STAGES = [
+    ("language_id", identify_language),
+    ("ngram_jaccard_join", join_near_duplicates),
+    ("benchmark_decontamination", remove_benchmark_leaks),
+    ("mixing_sources", mix_sources),
+    ("kdtree_sharding", shard),
+]
 
-STAGES: list = []
+#: Learned models and similarity components can't be written in SQL; tests/llm hold the stages against brute force.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch = Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = scratch.table(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
