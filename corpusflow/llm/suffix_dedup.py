@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, checked_join, columns_or_null, mix, pieces, powers
+from .common import Scratch, columns_or_null, mix, pieces, powers
 from .decontaminate import ranges
 
 LENGTH = 400
@@ -178,8 +178,7 @@ def _pieces(rows: DataFrame, length: int, gram: int) -> DataFrame:
 def _texts(rows: DataFrame, scratch: Scratch, wanted: DataFrame, length: int, gram: int) -> DataFrame:
     """The bytes of one copy of each piece. wanted: anchor, same, windows, off, times and from (doc, hash, first)."""
     by_doc = scratch.table(wanted.groupBy("from.doc", "from.hash").agg(F.collect_list(F.struct(F.col("from.first").alias("first"), "anchor", "same", "windows", "off", "times")).alias("wants")))
-    n = by_doc.agg(F.sum(F.size("wants"))).collect()[0][0] or 0
-    joined = checked_join(rows, by_doc, ["doc", "hash"], row_bytes=48 * max(1, -(-n // max(1, by_doc.count()))))
+    joined = rows.join(by_doc, ["doc", "hash"])
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -286,9 +285,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, grou
     spans = repeated_spans(scratch, rows, length, gram, group)
     by_doc = scratch.table(spans.groupBy("doc", "hash").agg(F.array_sort(F.collect_set(F.struct("s", "e"))).alias("spans")))
     scratch.keep_only(by_doc)
-    n = by_doc.agg(F.sum(F.size("spans"))).collect()[0][0] or 0
-    n_docs = max(1, by_doc.count())
-    joined = checked_join(rows, by_doc, ["doc", "hash"], "left", row_bytes=32 + 24 * -(-n // n_docs))
+    joined = rows.join(by_doc, ["doc", "hash"], "left")
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
