@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Rows of one Arrow batch are worked on in pieces of about so many bytes of text.
-PIECE_BYTES = 2 << 20
+PIECE_BYTES = 1_000_000
 
 
 # --- scratch tables -----------------------------------------------------------------------------

@@ -7,9 +7,10 @@ lengthens its prefix by the candidates that the sketch lets expect for its token
 many prefix tokens as the smaller of its two l asks.
 
 Equal sets are one class (by a signature), so copies cost nothing more. Within a token's list no full set of pairs is made:
-1. every class is paired with the list's least class (a star), promising pairs are verified, and components are formed;
-2. lists that lie in one component are done. In the others, classes outside the list's largest component are paired with those
-   of other components - every pair that could still join two components - and verified.
+1. every class is paired with the list's greatest class (a star; class numbers rise with the commonness of a set's tokens, so
+   this is a group's middle), promising pairs are compared, and components are formed;
+2. lists that lie in one component are done. In the others every pair that could still join two components is compared;
+   ``open_pairs`` tells how groups around one pivot are kept from meeting as all pairs.
 Verification compares whole sets. So components are exact (up to collisions of 64-bit hashes), while links inside a known
 component are not listed.
 
@@ -24,6 +25,7 @@ Rows that repeat a doc_id are one row each in the result. An empty table gives n
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -40,8 +42,10 @@ SLICES = 64
 FREQUENT, DEVIATIONS = 64, 6.0
 #: One more prefix token for each so many expected candidates of a document, up to MOST_MATCHES in all.
 COST_OF_A_MATCH, MOST_MATCHES = 16, 4
-#: Partners of one class that one task verifies.
+#: Partners of one class that one task compares with it.
 SALT_ROWS = 256
+#: A class with more partners than this is a hot pivot.
+FEW = 16
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, width: int = 5) -> list[np.ndarray]:
@@ -64,9 +68,14 @@ def shingles(data: np.ndarray, offsets: np.ndarray, width: int = 5) -> list[np.n
     return out
 
 
-def signature(tokens: np.ndarray) -> int:
-    """A hash of the set, as a signed long."""
-    return int(mix(np.array([(int(mix(tokens + np.uint64(len(tokens))).sum(dtype=np.uint64)) + len(tokens)) & MASK], np.uint64)).view(np.int64)[0])
+def signature(tokens: np.ndarray, expected: np.ndarray) -> int:
+    """The class of a set: a hash of it below seven bits that tell how common its tokens are, so never negative.
+
+    The set in the middle of a large group of near copies has the commonest tokens, and so the group's greatest class number.
+    """
+    common = min(127, int(8 * float(np.log2(1.0 + expected).mean())))
+    whole = mix(np.array([(int(mix(tokens + np.uint64(len(tokens))).sum(dtype=np.uint64)) + len(tokens)) & MASK], np.uint64))[0]
+    return (common << 56) | int(whole >> np.uint64(8))
 
 
 def _places(tokens: np.ndarray) -> np.ndarray:
@@ -114,11 +123,29 @@ def prefix_tokens(tokens: np.ndarray, expected: np.ndarray, frequent: np.ndarray
     return tokens[order[: least + matches - 1]], matches
 
 
-def _sketched(scratch: Scratch, rows: DataFrame, sketch: np.ndarray, width: int, tenths: int) -> DataFrame:
-    """doc_id, n, sig, matches, tokens of every row."""
-    mean = sketch.mean()
-    limit = mean + max(FREQUENT, DEVIATIONS * mean**0.5)
-    sent = rows.sparkSession.sparkContext.broadcast(np.maximum(0, sketch - mean).astype(np.float32))
+@dataclass
+class Sketch:
+    """Expected documents of each hashed token, beyond chance, and the number from which a token is frequent."""
+
+    over: np.ndarray
+    frequent: float
+
+    def expected(self, tokens: np.ndarray) -> np.ndarray:
+        return self.over[_places(tokens)]
+
+    def prefix(self, tokens: np.ndarray, tenths: int) -> tuple[np.ndarray, int]:
+        over = self.expected(tokens)
+        return prefix_tokens(tokens, over, over > self.frequent, tenths)
+
+
+def sketch_of(scratch: Scratch, rows: DataFrame, width: int) -> Sketch:
+    counts = count_sketch(scratch, rows, width)
+    mean = counts.mean()
+    return Sketch(np.maximum(0, counts - mean).astype(np.float32), max(FREQUENT, DEVIATIONS * mean**0.5))
+
+
+def _sketched(scratch: Scratch, rows: DataFrame, sent, width: int, tenths: int) -> DataFrame:
+    """doc_id, text_key, n, sig, matches, tokens of every row. sent: the broadcast Sketch."""
     schema = "doc_id long, text_key long, n long, sig long, matches int, tokens array<long>"
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,10 +153,9 @@ def _sketched(scratch: Scratch, rows: DataFrame, sketch: np.ndarray, width: int,
             for lo, hi, data, offsets in pieces(b):
                 n, sig, matches, tokens = [], [], [], []
                 for t in shingles(data, offsets, width):
-                    over = sent.value[_places(t)]
-                    chosen, l = prefix_tokens(t, over, over > limit - mean, tenths) if len(t) else (t, 0)
+                    chosen, l = sent.value.prefix(t, tenths) if len(t) else (t, 0)
                     n.append(len(t))
-                    sig.append(signature(t) if len(t) else 0)
+                    sig.append(signature(t, sent.value.expected(t)) if len(t) else 0)
                     matches.append(l)
                     tokens.append(chosen.view(np.int64))
                 ends = np.concatenate([[0], np.cumsum([len(t) for t in tokens])]).astype(np.int32)
@@ -139,8 +165,15 @@ def _sketched(scratch: Scratch, rows: DataFrame, sketch: np.ndarray, width: int,
     return scratch.table(rows.select("text", "doc_id", F.xxhash64("text").alias("text_key")).mapInArrow(work, schema))
 
 
-def verified(scratch: Scratch, pairs: DataFrame, classes: DataFrame, rows: DataFrame, width: int, tenths: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar. pairs: a scratch table; a may be hot, its partners are salted."""
+COMPARED = "a long, b long, linked boolean, inter int, whole boolean, held array<long>"
+
+
+def compared(scratch: Scratch, pairs: DataFrame, classes: DataFrame, rows: DataFrame, sent, width: int, tenths: int) -> DataFrame:
+    """Whole sets of each pair (a, b) compared: linked, the tokens in common, and what step 2 needs to know of b against a hot a.
+
+    held: the prefix tokens of b that a has (only where a has more than FEW partners, else null). whole: b's tokens that a
+    lacks are all in b's prefix, or none of its prefix tokens is held. pairs: a scratch table; a may be hot, partners are salted.
+    """
     key = F.coalesce("doc_id", F.lit(-(1 << 63)))
     involved = pairs.select(F.col("a").alias("sig")).union(pairs.select(F.col("b").alias("sig"))).distinct()
     ids = scratch.table(involved.join(classes.select("sig", key.alias("key")), "sig"))
@@ -150,22 +183,23 @@ def verified(scratch: Scratch, pairs: DataFrame, classes: DataFrame, rows: DataF
         for b in batches:  # rows that share a doc_id may have other sets
             for lo, hi, data, offsets in pieces(b):
                 want = b.column(1)[lo:hi].to_pylist()
-                keep = [lo + i for i, t in enumerate(shingles(data, offsets, width)) if len(t) and signature(t) == want[i]]
+                keep = [lo + i for i, t in enumerate(shingles(data, offsets, width)) if len(t) and signature(t, sent.value.expected(t)) == want[i]]
                 yield b.take(pa.array(keep, pa.int64()))
 
     texts = scratch.table(found.mapInArrow(own, "text string, sig long"))
     salts = pairs.groupBy("a").agg(F.count("*").alias("partners")).withColumn("salts", F.ceil(F.col("partners") / SALT_ROWS).cast("int"))
-    salted = pairs.join(salts.select("a", "salts"), "a").withColumn("salt", F.pmod(F.xxhash64("b", F.lit(3)), F.col("salts")).cast("int"))
-    heads = texts.join(salts.select(F.col("a").alias("sig"), "salts"), "sig").select(F.col("sig").alias("a"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("long").alias("b"), "text")
-    members = salted.join(texts.withColumnRenamed("sig", "b"), "b").select("a", "salt", "b", "text")
+    salted = pairs.join(salts, "a").withColumn("salt", F.pmod(F.xxhash64("b", F.lit(3)), F.col("salts")).cast("int"))
+    head = texts.join(salts.select(F.col("a").alias("sig"), "salts", "partners"), "sig")
+    heads = head.select(F.col("sig").alias("a"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("long").alias("b"), "text", "partners")
+    members = salted.join(texts.withColumnRenamed("sig", "b"), "b").select("a", "salt", "b", "text", "partners")
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     together = heads.union(members).repartition(n, "a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head, of, done = np.zeros(0, np.uint64), None, None
         for b in batches:
-            a, b_col = b.column(1).to_pylist(), b.column(2).to_pylist()
-            hits = []
+            a, b_col, partners = (b.column(i).to_pylist() for i in (1, 2, 3))
+            out = []
             for lo, _, data, offsets in pieces(b):
                 for i, t in enumerate(shingles(data, offsets, width), lo):
                     if b_col[i] is None:
@@ -173,16 +207,62 @@ def verified(scratch: Scratch, pairs: DataFrame, classes: DataFrame, rows: DataF
                     elif of == a[i] and (a[i], b_col[i]) != done:
                         done = (a[i], b_col[i])
                         common = len(np.intersect1d(head, t, assume_unique=True))
-                        if 10 * common >= tenths * (len(head) + len(t) - common):
-                            hits.append(done)
-            if hits:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*hits, strict=True)], names=["a", "b"])
-
-    out = scratch.table(together.select("text", "a", "b").mapInArrow(compare, "a long, b long").distinct())
+                        held, whole = None, False
+                        if partners[i] > FEW:
+                            prefix = sent.value.prefix(t, tenths)[0]
+                            mine = prefix[np.isin(prefix, head, assume_unique=True)]
+                            held, whole = mine.view(np.int64).tolist(), not len(mine) or len(prefix) - len(mine) == len(t) - common
+                        out.append((*done, 10 * common >= tenths * (len(head) + len(t) - common), common, whole, held))
+            if out:
+                kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.bool_(), pa.list_(pa.int64())]
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["a", "b", "linked", "inter", "whole", "held"])
+
+    out = scratch.table(together.select("text", "a", "b", "partners").mapInArrow(compare, COMPARED))
     scratch.drop(texts)
     return out
 
 
+def open_pairs(scratch: Scratch, lists: DataFrame, size: DataFrame, star: DataFrame, parts: DataFrame, tenths: int) -> DataFrame:
+    """a, b: every pair that could still join two components, given the stars' comparisons.
+
+    Lists in one component are done. In the others most classes of a large group are tied to one hot pivot p, which both
+    hold at the list's token. Two classes tied to one p that share no token outside it have at most min(inter) tokens in
+    common; if they need more, they must meet at a token outside p, so they aren't paired at p's own tokens. Those that need
+    no more than min(inter) are found by their sizes instead.
+    """
+    main = star.filter("held is not null").groupBy("b").agg(F.max_by(F.struct(F.col("a").alias("p"), "inter", "whole", "held"), F.struct("inter", "a")).alias("m"))
+    main = main.filter("m.whole").select(F.col("b").alias("sig"), "m.p", "m.inter", "m.held")
+    placed = lists.select("token", "sig").join(parts.withColumnRenamed("node", "sig"), "sig", "left").withColumn("component", F.coalesce("component", "sig"))
+    open_tokens = placed.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("token")
+    rows = placed.join(open_tokens, "token").join(size, "sig").join(main, "sig", "left")
+    rows = scratch.table(rows.select("token", "sig", "component", "n", "matches", "p", F.coalesce(F.array_contains("held", F.col("token")), F.lit(False)).alias("tied")))
+    near = f"c_a <> c_b and 10 * least(n_a, n_b) >= {tenths} * greatest(n_a, n_b)"
+    side = lambda df, s: df.select("token", *(F.col(c).alias(f"{c[0]}_{s}" if c not in ("sig", "matches") else {"sig": s, "matches": f"m_{s}"}[c]) for c in ("sig", "component", "n", "matches", "p", "tied")))
+
+    # rows that are free of a pivot, with all others of their list; of one component's classes none meet
+    free = side(rows.filter("not tied"), "a").join(side(rows, "b"), "token").filter(f"{near} and (t_b or a < b)")
+    # rows tied to other pivots than most of their list
+    usual = rows.filter("tied").groupBy("token", "p").agg(F.count("*").alias("k")).groupBy("token").agg(F.max_by("p", F.struct("k", "p")).alias("usual"), F.count("*").alias("pivots")).filter("pivots > 1").select("token", "usual")
+    tied = rows.filter("tied").join(usual, "token")
+    apart = side(tied.filter("p <> usual"), "a").join(side(tied, "b").join(usual, "token"), "token").filter(f"{near} and p_a <> p_b and (p_b = usual or a < b)").drop("usual")
+    met = free.unionByName(apart).groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    met = met.agg(F.count("*").alias("common"), F.min(F.when(F.col("p_a").isNotNull() & F.col("p_b").isNotNull(), 1).otherwise(F.least("m_a", "m_b"))).alias("asked"))
+    met = met.filter("common >= asked").select("a", "b")
+    # one pivot: sizes within which the pivot's tokens alone could suffice
+    whole = 10 + tenths
+    member = main.select("sig", "p", "inter").join(size, "sig").join(parts.withColumnRenamed("node", "sig"), "sig", "left").withColumn("component", F.coalesce("component", "sig"))
+    most = F.expr(f"least({whole} * inter div {tenths} - n, n * 10 div {tenths})").cast("long")
+    least = F.ceil(F.col("n") * tenths / 10).cast("long")
+    ranged = member.withColumn("least", least).withColumn("most", most).filter("least <= most")
+    wanted = ranged.select(F.col("sig").alias("a"), "p", F.col("component").alias("c_a"), F.col("n").alias("n_a"), F.col("inter").alias("i_a"), F.explode(F.sequence("least", "most")).alias("n"))
+    center = parts.select(F.col("node").alias("p"), F.col("component").alias("center"))
+    wanted = wanted.join(center, "p", "left").filter("center is null or c_a <> center")  # of linked classes none meet
+    others = member.select(F.col("sig").alias("b"), "p", F.col("component").alias("c_b"), "n", F.col("inter").alias("i_b"))
+    sized = wanted.join(others, ["p", "n"]).filter(f"c_a <> c_b and {tenths} * (n_a + n) <= {whole} * i_b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    known = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return met.unionByName(sized).distinct().join(known, ["a", "b"], "left_anti")
+
+
 def join_components(docs: DataFrame, width: int = 5, tenths: int = 8) -> DataFrame:
     """doc_id, text_key, n_shingles, component_id, component_key of every row.
 
@@ -191,11 +271,12 @@ def join_components(docs: DataFrame, width: int = 5, tenths: int = 8) -> DataFra
     """
     scratch = Scratch(docs.sparkSession, "jaccard")
     rows = columns_or_null(docs, doc_id="long", text="string")
-    sketched = _sketched(scratch, rows, count_sketch(scratch, rows, width), width, tenths)
+    sent = docs.sparkSession.sparkContext.broadcast(sketch_of(scratch, rows, width))
+    sketched = _sketched(scratch, rows, sent, width, tenths)
     narrow = scratch.table(sketched.select("doc_id", "text_key", "n", "sig"))
     classes = scratch.table(sketched.filter("n > 0").groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.max("matches").alias("matches")))
     postings = sketched.filter("n > 0").select("sig", F.explode("tokens").alias("token"))
-    shared = postings.groupBy("token").agg(F.min("sig").alias("pivot"), F.max("sig").alias("other")).filter("pivot <> other").select("token", "pivot")
+    shared = postings.groupBy("token").agg(F.max("sig").alias("pivot"), F.min("sig").alias("other")).filter("pivot <> other").select("token", "pivot")
     lists = scratch.table(postings.join(shared, "token").distinct())
     scratch.drop(sketched)
     size = classes.select("sig", "n", "matches")
@@ -206,20 +287,13 @@ def join_components(docs: DataFrame, width: int = 5, tenths: int = 8) -> DataFra
     star = lists.filter("sig <> pivot").groupBy(F.col("pivot").alias("a"), F.col("sig").alias("b")).agg(F.count("*").alias("common"))
     star = star.join(of("a"), "a").join(of("b"), "b").filter(near_size)
     promising = f"common >= least(m_a, m_b) and 4 * common >= least(n_a, n_b) * {10 - tenths} / 10"
-    links = verified(scratch, scratch.table(star.filter(promising).select("a", "b")), classes, rows, width, tenths)
+    stars = compared(scratch, scratch.table(star.filter(promising).select("a", "b")), classes, rows, sent, width, tenths)
+    links = stars.filter("linked").select("a", "b")
     parts = connected_components(scratch, links)
 
     # 2. whatever could still join two components
-    placed = lists.select("token", "sig").join(parts.withColumnRenamed("node", "sig"), "sig", "left").withColumn("component", F.coalesce("component", "sig"))
-    placed = scratch.table(placed.join(size, "sig"))
-    counted = placed.groupBy("token", "component").agg(F.count("*").alias("k")).groupBy("token").agg(F.max_by("component", F.struct("k", "component")).alias("largest"), F.count("*").alias("parts")).filter("parts > 1").select("token", "largest")
-    open_lists = scratch.table(placed.join(counted, "token"))
-    outside = open_lists.filter("component <> largest").select("token", F.col("sig").alias("a"), F.col("component").alias("c_a"), F.col("n").alias("n_a"), F.col("matches").alias("m_a"))
-    others = open_lists.select("token", F.col("sig").alias("b"), F.col("component").alias("c_b"), F.col("n").alias("n_b"), F.col("matches").alias("m_b"), (F.col("component") == F.col("largest")).alias("inside"))
-    met = outside.join(others, "token").filter(f"c_a <> c_b and (inside or a < b) and {near_size}")
-    # a pair may be met from either side in different lists
-    met = met.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.count("*").alias("common"), F.first(F.least("m_a", "m_b")).alias("asked"))
-    more = verified(scratch, scratch.table(met.filter("common >= asked").select("a", "b")), classes, rows, width, tenths)
+    pairs = scratch.table(open_pairs(scratch, lists, size, stars, parts, tenths))
+    more = compared(scratch, pairs, classes, rows, sent, width, tenths).filter("linked").select("a", "b")
     parts = connected_components(scratch, links.union(more))
 
     named = classes.select("sig", F.col("doc_id").alias("least")).join(parts.withColumnRenamed("node", "sig"), "sig", "left").withColumn("component", F.coalesce("component", "sig"))

@@ -30,7 +30,7 @@ from .common import bounded_sample, columns_or_null, extended, to_driver
 WORD = re.compile(r"[^\W\d_]+")
 LONGEST = 5
 #: Unseen words scored by n-grams are kept for the next text, so many at most.
-MEMORY = 200_000
+MEMORY = 50_000
 
 
 def letters(text: str | None) -> list[str]:
