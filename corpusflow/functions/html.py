@@ -5,6 +5,7 @@ from __future__ import annotations
 from html.parser import HTMLParser
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 HIDDEN = ("script", "style", "template", "rt", "rp")
@@ -61,6 +62,9 @@ def text_of(html: str | None) -> str:
     return "\n".join(parser.runs)
 
 
-@F.pandas_udf("string")
-def html_to_text(html: pd.Series) -> pd.Series:
+def texts_of(html: pd.Series) -> pd.Series:
     return html.map(text_of)
+
+
+def html_to_text(html: Column) -> Column:
+    return F.pandas_udf(texts_of, "string")(html)

@@ -17,6 +17,11 @@ BEFORE, PART, AFTER = "\ue000", "\ue001", "\ue002"
 FLAGS = "(?dimuU)"
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)``, the value being worked out once. A column that a lambda uses would otherwise be worked out for each element."""
+    return F.transform(F.array(value), body)[0]
+
+
 def strip(c: Column) -> Column:
     """Without Unicode whitespace at either end (Spark's trim knows the space only)."""
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
@@ -33,9 +38,7 @@ def normalise_spaces(c: Column) -> Column:
 
 def collapse_repeated_lines(c: Column) -> Column:
     """Drops a line that equals the one before it."""
-    lines = F.split(c, "\n", -1)
-    kept = F.filter(lines, lambda x, i: (i == 0) | (x != F.element_at(lines, F.greatest(i, F.lit(1)))))
-    return F.array_join(kept, "\n")
+    return let(F.split(c, "\n", -1), lambda lines: F.array_join(F.filter(lines, lambda x, i: (i == 0) | (x != F.element_at(lines, F.greatest(i, F.lit(1))))), "\n"))
 
 
 def clean_text(c: Column) -> Column:
@@ -80,7 +83,10 @@ def mark_and_split(text: Column, pattern: str, groups: int) -> Column:
     whole = "".join(f"{PART}${i + 2}" for i in range(groups))
     plain = F.translate(text, BEFORE + PART + AFTER, "")
     marked = F.regexp_replace(plain, f"{FLAGS}({pattern})", f"{BEFORE}$1{whole}{AFTER}")
-    split = F.split(marked, BEFORE, -1)
+    return let(F.split(marked, BEFORE, -1), lambda split: _matches(split, groups))
+
+
+def _matches(split: Column, groups: int) -> Column:
     cut = F.transform(F.slice(split, 2, F.greatest(F.size(split) - 1, F.lit(0))), lambda x: F.struct(F.split(F.substring_index(x, AFTER, 1), PART, -1).alias("head"), F.substring_index(x, AFTER, -1).alias("body")))
     size = lambda x: F.length(x["head"][0]) + F.length(x["body"])
     first = F.length(F.element_at(split, 1))
@@ -128,9 +134,12 @@ def count_tokens(text: Column) -> Column:
 
 def token_blocks(text: Column, most: int) -> Column:
     """Runs of ``most`` tokens, joined by a space."""
-    t = tokens(text)
-    starts = F.when(F.size(t) > 0, F.sequence(F.lit(1), F.size(t), F.lit(most))).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda s: F.array_join(F.slice(t, s, most), " "))
+
+    def blocks(t: Column) -> Column:
+        starts = F.when(F.size(t) > 0, F.sequence(F.lit(1), F.size(t), F.lit(most))).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda s: F.array_join(F.slice(t, s, most), " "))
+
+    return let(tokens(text), blocks)
 
 
 def breadcrumb(kind: Column, name: Column, levels: list[Column], number: Column, title: Column) -> Column:

@@ -28,23 +28,34 @@ def pack_groups(sizes: Column, most: int) -> Column:
 
 
 def grouped(items: Column, ids: Column) -> Column:
-    """Arrays of the items of each group."""
-    last = F.coalesce(F.array_max(ids), F.lit(-1))
-    numbers = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
-    return F.transform(numbers, lambda g: F.filter(items, lambda x, i: F.element_at(ids, i + 1) == g))
+    """Arrays of the items of each group; groups are runs of items."""
+
+    def cut(x: Column) -> Column:
+        last = F.coalesce(F.array_max(x["ids"]), F.lit(-1))
+        numbers = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
+        begin = lambda g: F.array_position(x["ids"], g).cast("int")
+        end = lambda g: F.when(g == last, F.size(x["ids"]) + 1).otherwise(F.array_position(x["ids"], g + 1)).cast("int")
+        return F.transform(numbers, lambda g: F.slice(x["items"], begin(g), end(g) - begin(g)))
+
+    return X.let(F.struct(items.alias("items"), ids.alias("ids")), cut)
+
+
+def packed(items: Column, most: int, size: Callable[[Column], Column]) -> Column:
+    """Arrays of items packed into groups of at most ``most`` in all."""
+    return X.let(items, lambda x: grouped(x, pack_groups(F.transform(x, size), most)))
 
 
 def split_long(piece: Column, most: int, count: Counter = X.count_tokens) -> Column:
     """Pieces of at most ``most`` tokens: whole sentences packed together, longer sentences cut into blocks of tokens."""
-    units = X.sentences(piece)
-    longs = F.transform(units, lambda s: count(s) > most)
-    # a long sentence is a group of its own: it weighs as much as nothing else may join
-    sizes = F.transform(units, lambda s: F.least(count(s), F.lit(most + 1)))
-    ids = pack_groups(sizes, most)
-    parts = F.flatten(
-        F.transform(grouped(F.arrays_zip(units.alias("s"), longs.alias("l")), ids), lambda g: F.when(g[0]["l"], X.token_blocks(g[0]["s"], most)).otherwise(F.array(F.array_join(F.transform(g, lambda x: x["s"]), "\n"))))
-    )
-    return F.when(count(piece) <= most, F.array(piece)).when(F.size(units) == 0, X.token_blocks(piece, most)).otherwise(parts)
+
+    def parts(units: Column) -> Column:
+        sized = F.transform(units, lambda s: F.struct(s.alias("s"), count(s).alias("n")))
+        # a longer sentence weighs more than anything may join, so it is a group of its own
+        groups = packed(sized, most, lambda x: F.least(x["n"], F.lit(most + 1)))
+        one = lambda g: F.when(g[0]["n"] > most, X.token_blocks(g[0]["s"], most)).otherwise(F.array(F.array_join(F.transform(g, lambda x: x["s"]), "\n")))
+        return F.when(F.size(units) == 0, X.token_blocks(piece, most)).otherwise(F.flatten(F.transform(groups, one)))
+
+    return F.when(count(piece) <= most, F.array(piece)).otherwise(X.let(X.sentences(piece), parts))
 
 
 def pieces_of(text: Column, most: int, count: Counter = X.count_tokens) -> Column:
@@ -54,11 +65,11 @@ def pieces_of(text: Column, most: int, count: Counter = X.count_tokens) -> Colum
 def overlapped(chunks: Column, most: int, count: Counter = X.count_tokens) -> Column:
     """Each chunk with the last piece of the one before it in front, where both fit."""
 
-    def widen(chunk: Column, i: Column) -> Column:
-        wide = F.concat(F.array(F.element_at(F.element_at(chunks, F.greatest(i, F.lit(1))), -1)), chunk)
+    def widen(all_: Column, chunk: Column, i: Column) -> Column:
+        wide = F.concat(F.array(F.element_at(F.element_at(all_, F.greatest(i, F.lit(1))), -1)), chunk)
         return F.when((i > 0) & (count(F.array_join(wide, "\n\n")) <= most), wide).otherwise(chunk)
 
-    return F.transform(chunks, widen)
+    return X.let(chunks, lambda all_: F.transform(all_, lambda chunk, i: widen(all_, chunk, i)))
 
 
 def chunk_articles(articles: DataFrame, most: int = 1024, count: Counter = X.count_tokens) -> DataFrame:
@@ -66,10 +77,8 @@ def chunk_articles(articles: DataFrame, most: int = 1024, count: Counter = X.cou
     col = F.col
     uid = F.when(F.coalesce(X.strip(col("doc_uid")), F.lit("")) == "", F.raise_error(F.lit("each article needs a doc_uid")).cast("string")).otherwise(X.strip(col("doc_uid")))
     rows = articles.withColumn("breadcrumb", X.breadcrumb(col("loai_van_ban"), col("ten_van_ban"), [col("phan"), col("chuong"), col("muc")], col("dieu_so"), col("dieu_ten")))
-    rows = rows.withColumn("_pieces", pieces_of(F.coalesce(col("noi_dung"), F.lit("")), most, count))
-    rows = rows.withColumn("_sizes", F.transform("_pieces", count))
-    rows = rows.withColumn("_chunks", grouped(col("_pieces"), pack_groups(col("_sizes"), most)))
-    rows = rows.withColumn("_chunks", overlapped(col("_chunks"), most, count))
+    pieces = pieces_of(F.coalesce(col("noi_dung"), F.lit("")), most, count)
+    rows = rows.withColumn("_chunks", overlapped(packed(pieces, most, count), most, count))
     rows = rows.select(*articles.columns, "breadcrumb", uid.alias("_uid"), F.posexplode("_chunks").alias("part_idx", "_chunk"))
     body = F.array_join("_chunk", "\n\n")
     return rows.select(

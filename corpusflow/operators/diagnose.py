@@ -32,7 +32,7 @@ def stratified_sample(rows: DataFrame, stratum: str, key: str, n: int, seed: int
 def inspect(failures: DataFrame, content: DataFrame, articles: DataFrame, heading: str, to_text=lambda c: c, preview: int = 500, most: int = 10, most_lines: int = 20) -> DataFrame:
     """Per failed document: text length and preview, its first headings (or first lines if it has none), and whether articles have it."""
     body = F.coalesce(F.nullif(F.col("content_html"), F.lit("")), F.col("content") if "content" in content.columns else F.lit(None).cast("string"), F.lit(""))
-    texts = content.select(F.col("id").cast("string").alias("doc_id"), X.clean_text(to_text(body)).alias("_text"))
+    texts = content.select(F.col("id").cast("string").alias("doc_id"), to_text(body).alias("_text")).withColumn("_text", X.clean_text(F.col("_text")))
     rows = failures.join(texts, "doc_id", "left").withColumn("_text", F.coalesce("_text", F.lit("")))
     found = X.mark_and_split(F.col("_text"), heading, 3)
     heads = F.transform(F.slice(found, 1, most), lambda m: F.concat_ws(" ", m["groups"][0], X.strip(m["groups"][2])))

@@ -24,9 +24,9 @@ class Patterns:
 def segment(text: Column, patterns: Patterns) -> Column:
     """array<struct(start, stop, number, title, body, levels...)>: each article runs to the next heading or the end."""
     found = X.mark_and_split(text, patterns.heading, 3)
-    levels = {name: X.headers(text, p) for name, p in patterns.headers.items()}
+    levels = [X.headers(text, p).alias(name) for name, p in patterns.headers.items()]
 
-    def article(m: Column) -> Column:
+    def article(m: Column, all_: Column) -> Column:
         end = m["stop"] + F.length(m["body"])
         return F.struct(
             m["start"].alias("start_char"),
@@ -34,10 +34,10 @@ def segment(text: Column, patterns: Patterns) -> Column:
             F.concat(F.lit(patterns.article_word + " "), m["groups"][0], m["groups"][1]).alias("dieu_so"),
             X.strip(m["groups"][2]).alias("dieu_ten"),
             X.strip(m["body"]).alias("noi_dung"),
-            *(X.last_before(h, m["start"]).alias(name) for name, h in levels.items()),
+            *(X.last_before(all_[name], m["start"]).alias(name) for name in patterns.headers),
         )
 
-    return F.transform(found, article)
+    return X.let(F.struct(found.alias("found"), *levels), lambda x: F.transform(x["found"], lambda m: article(m, x)))
 
 
 def outcome(df: DataFrame, patterns: Patterns, limits: config.Limits) -> DataFrame:

@@ -204,8 +204,8 @@ def stratified_sample(spark, sf_dir):
 
 @query()
 def html_text(spark, sf_dir):
-    text = X.clean_text(html_to_text(F.col("html")))
-    return T(spark, sf_dir, "pages").select("page_id", text.alias("text"))
+    pages = T(spark, sf_dir, "pages").select("page_id", html_to_text(F.col("html")).alias("text"))
+    return pages.select("page_id", X.clean_text(F.col("text")).alias("text"))
 
 
 MESSY = "chr(9) || text || '  ' || chr(10) || chr(10) || text || chr(10)"

@@ -24,7 +24,8 @@ def parse_documents(scoped: DataFrame, content: DataFrame, patterns: segment.Pat
     """Scoped documents with records, reason and num_dieu. The join comes before the HTML is parsed."""
     docs = dedup.keep_first(scoped.withColumn("_id", F.col("id").cast("string")), ["_id"], ["id"])
     bodies = readers.content_of(content).withColumnRenamed("id", "_id")
-    return segment.outcome(docs.join(bodies, "_id").withColumn("clean_text", X.clean_text(to_text(F.col("html")))).drop("html", "_id"), patterns or segment.Patterns(), limits or config.Limits())
+    texts = docs.join(bodies, "_id").withColumn("html", to_text(F.col("html")))
+    return segment.outcome(texts.withColumn("clean_text", X.clean_text(F.col("html"))).drop("html", "_id"), patterns or segment.Patterns(), limits or config.Limits())
 
 
 def parse_stage(scoped: DataFrame, content: DataFrame, path: str, patterns: segment.Patterns | None = None, limits: config.Limits | None = None) -> tuple[DataFrame, DataFrame]:
