@@ -44,7 +44,7 @@ def graph_contexts(hits: DataFrame, edges: DataFrame, documents: DataFrame, show
 
 def _cited(answer: Column, number: Column, strict: bool) -> Column:
     if strict:  # 'Điều 1' is not found inside 'Điều 13'
-        return answer.rlike(F.concat(F.lit("(?iuU)"), X.quoted(number), F.lit("(?![0-9a-zđ])")))
+        return F.rlike(answer, F.concat(F.lit("(?iuU)"), X.quoted(number), F.lit("(?![0-9a-zđ])")))
     return F.contains(answer, number)
 
 

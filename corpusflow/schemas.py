@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import types as T
 
 
-def _schema(ddl: str) -> T.StructType:
-    return T.DataType.fromDDL(ddl)
+_TYPES = {"long": T.LongType(), "int": T.IntegerType(), "string": T.StringType(), "array<string>": T.ArrayType(T.StringType()), "map<string,string>": T.MapType(T.StringType(), T.StringType())}
+
+
+def _schema(columns: str) -> T.StructType:
+    """From 'name type, ...'; needs no session, unlike Spark's own parser."""
+    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in (c.split() for c in columns.split(", "))])
 
 
 _METADATA = "title so_ky_hieu ngay_ban_hanh loai_van_ban ngay_co_hieu_luc ngay_het_hieu_luc nguon_thu_thap ngay_dang_cong_bao nganh linh_vuc co_quan_ban_hanh chuc_danh nguoi_ky pham_vi thong_tin_ap_dung tinh_trang_hieu_luc"
