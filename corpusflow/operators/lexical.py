@@ -40,6 +40,19 @@ def build_index(docs: DataFrame, key: str, text: str, tokenise=terms_of, epsilon
     return LexicalIndex(postings, terms, sizes, n, (total / n) if n else 0.0, key)
 
 
+def save(index: LexicalIndex, path: str) -> None:
+    """Tables under ``path``; a later run loads them instead of tokenising again."""
+    for name in ("postings", "terms", "sizes"):
+        getattr(index, name).write.mode("overwrite").parquet(f"{path}/{name}")
+    index.sizes.sparkSession.createDataFrame([(index.n_docs, index.avgdl, index.key)], "n_docs long, avgdl double, key string").coalesce(1).write.mode("overwrite").parquet(f"{path}/totals")
+
+
+def load(spark, path: str) -> LexicalIndex:
+    postings, terms, sizes, totals = (spark.read.parquet(f"{path}/{name}") for name in ("postings", "terms", "sizes", "totals"))
+    t = totals.first()
+    return LexicalIndex(postings, terms, sizes, t.n_docs, t.avgdl, t.key)
+
+
 def search(index: LexicalIndex, queries: DataFrame, query_key: str, query_text: str, k: int = 50, k1: float = 1.5, b: float = 0.75, tokenise=terms_of) -> DataFrame:
     """query_key, key, score, rank: the k best of each query. Repeated query tokens count again. Ties go to the smaller key."""
     asked = queries.select(F.col(query_key), F.explode(tokenise(F.coalesce(F.col(query_text), F.lit("")))).alias("term")).groupBy(query_key, "term").agg(F.count("*").alias("qtf"))

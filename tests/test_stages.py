@@ -258,3 +258,47 @@ def test_diagnosis(spark):
     got = {r.doc_id: (r.n_headings, r.outline, r.in_articles) for r in diagnose.inspect(failures, content, arts, segment.Patterns().heading).collect()}
     assert got == {"1": (1, ["1 Tên"], True), "2": (0, ["một", "hai"], False)}
     assert diagnose.summary(failures).first().by_reason == {"r": 1, "s": 1}
+
+
+def test_settings(tmp_path, monkeypatch):
+    from corpusflow.sources import settings
+
+    (tmp_path / "c.yaml").write_text("SME_NGANH:\n  - Một\nVALID_DOCUMENT_TYPES:\n  - Luật\n  - None\n", encoding="utf-8")
+    s = settings.read_scope(str(tmp_path / "c.yaml"))
+    assert s.sectors == ("Một",) and s.document_types == ("Luật", "None") and s.fields == config.FIELDS
+    (tmp_path / ".env").write_text("# no\nA_NEW_ONE='x=y'\nHOME=/nowhere\n\nbad line\n", encoding="utf-8")
+    monkeypatch.delenv("A_NEW_ONE", raising=False)
+    assert settings.load_environment(str(tmp_path / ".env")) == {"A_NEW_ONE": "x=y"} and settings.load_environment(str(tmp_path / "none")) == {}
+    monkeypatch.delenv("A_NEW_ONE")
+
+
+def test_index_is_saved_and_loaded(spark, tmp_path):
+    from corpusflow.operators import lexical
+
+    docs = spark.createDataFrame([("a", "một hai"), ("b", "hai ba ba"), ("c", "bốn"), ("d", "năm")], "k string, t string")
+    q = spark.createDataFrame([(1, "ba hai")], "id int, q string")
+    one = lexical.build_index(docs, "k", "t")
+    lexical.save(one, str(tmp_path))
+    want = lexical.search(one, q, "id", "q").collect()
+    assert lexical.search(lexical.load(spark, str(tmp_path)), q, "id", "q").collect() == want and want[0].k == "b"
+
+
+def test_stages_from_a_shell(spark, tmp_path, monkeypatch):
+    from corpusflow import cli
+
+    monkeypatch.setattr(cli, "session", lambda: spark)
+    at = lambda name: str(tmp_path / name)
+    body = "<br>".join(f"Điều {i}. Thuế<br>{LONG} số {i}" for i in range(1, 4))
+    metadata(spark, [dict(id=i, title="Luật thuế", so_ky_hieu=f"{i}/2020/QH14") for i in (1, 2)]).write.parquet(at("meta"))
+    spark.createDataFrame([(i, body) for i in (1, 2)], schemas.CONTENT).write.parquet(at("content.parquet"))
+    spark.createDataFrame([(1, "2", "Văn bản hướng dẫn")], schemas.RELATIONSHIPS).write.parquet(at("rel"))
+    (tmp_path / "q.jsonl").write_text('{"id": 1, "question": "thuế số 2"}\n', encoding="utf-8")
+    (tmp_path / "gold.json").write_text('[{"id": 1, "relevant_articles": ["x"]}]', encoding="utf-8")
+    for line in (
+        f"scope --metadata {at('meta')} --content {at('content.parquet')} --output {at('scoped')} --no-gates", f"parse --scoped {at('scoped')} --folder {at('')} --output {at('run')}", f"chunk --articles {at('run/articles')} --output {at('chunks')}",
+        f"summarise --chunks {at('chunks')} --log {at('log')} --output {at('enriched')}", f"graph --scoped {at('scoped')} --enriched {at('enriched')} --relationships {at('rel')} --output {at('graph')}",
+        f"answer --questions {at('q.jsonl')} --enriched {at('enriched')} --graph {at('graph')} --output {at('out')}", f"score --results {at('out/results.json')} --gold {at('gold.json')}",
+    ):
+        cli.main(line.split())
+    got = json.loads((tmp_path / "out" / "results.json").read_text(encoding="utf-8"))
+    assert len(got) == 1 and len(got[0]["relevant_articles"]) == 5 and spark.read.parquet(at("enriched")).count() == 6
