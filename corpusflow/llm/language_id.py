@@ -151,16 +151,18 @@ def train(labelled: DataFrame, train_docs: int = 4_000, max_entries: int = 60_00
 def identify(docs: DataFrame, model: Model, id_columns: tuple[str, ...] = ("doc_id",), text_column: str = "text") -> DataFrame:
     """The id columns, lang_pred and score of every row."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    ids = docs.select(*(F.col(f"`{c}`") for c in id_columns), F.col(f"`{text_column}`").cast("string").alias("_text"))
-    schema = extended(ids.drop("_text").schema, lang_pred="string", score="double")
+    ids = docs.select(*(F.col(f"`{c}`") for c in id_columns))
+    schema = extended(ids.schema, lang_pred="string", score="double")
+    at = id_columns.index(text_column) if text_column in id_columns else len(id_columns)  # a text is sent once
+    rows = ids if at < len(id_columns) else docs.select(*(F.col(f"`{c}`") for c in id_columns), F.col(f"`{text_column}`").cast("string").alias("_text"))
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory: dict = {}
         for b in batches:
-            found = [sent.value.predict(t.as_py(), memory) for t in b.column(b.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([f[0] for f in found], pa.string()), pa.array(np.array([f[1] for f in found], np.float64))], names=schema.fieldNames())
+            found = [sent.value.predict(t.as_py(), memory) for t in b.column(at)]
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(id_columns)], pa.array([f[0] for f in found], pa.string()), pa.array(np.array([f[1] for f in found], np.float64))], names=schema.fieldNames())
 
-    return ids.mapInArrow(predict, schema)
+    return rows.mapInArrow(predict, schema)
 
 
 def language_of_documents(docs: DataFrame, is_training, **options) -> DataFrame:
