@@ -182,8 +182,8 @@ def _texts(rows: DataFrame, scratch: Scratch, wanted: DataFrame, length: int, gr
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for text, wants in zip(b.column(0), b.column(1).to_pylist(), strict=True):
-                raw = text.as_buffer()
+            for text, wanted in zip(b.column(0), b.column(1), strict=True):
+                raw, wants = text.as_buffer(), wanted.as_py()
                 out = [(x["anchor"], x["anchor"], x["same"], x["windows"], x["off"], x["times"], gram - length, 0, 0, x["windows"], x["same"], raw[x["first"] : x["first"] + x["windows"] + length - 1].to_pybytes()) for x in wants]
                 yield pa.RecordBatch.from_pylist([dict(zip(_names(PART), r, strict=True)) for r in out], _arrow(PART))
 
@@ -277,8 +277,8 @@ def repeated_spans(scratch: Scratch, rows: DataFrame, length: int, gram: int, gr
     return whole.unionByName(again)
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group: int = GROUP) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (the bytes that are left) of every row."""
+def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group: int = GROUP, with_kept: bool = True) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and (with_kept) kept, the bytes that are left, of every row."""
     scratch = Scratch(docs.sparkSession, "suffix")
     rows = columns_or_null(docs, doc_id="long", text="string").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.withColumn("doc", F.coalesce("doc_id", F.lit(-(1 << 63)))).withColumn("hash", F.xxhash64("text"))
@@ -309,7 +309,11 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, grou
                 removed.append(gone)
                 n_spans.append(runs)
                 sha.append(hashlib.sha256(rest).hexdigest())
-                left.append(rest)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size, pa.int64()), pa.array(removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(sha, pa.string()), pa.array(left, pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
-
-    return joined.select("doc_id", "text", "spans").mapInArrow(apply, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+                if with_kept:
+                    left.append(rest)
+            columns = [b.column(0), pa.array(size, pa.int64()), pa.array(removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(sha, pa.string())]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(left, pa.binary())] if with_kept else columns, names=names)
+
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_kept
+    names = _names(schema)
+    return joined.select("doc_id", "text", "spans").mapInArrow(apply, schema)
