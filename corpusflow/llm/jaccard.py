@@ -30,6 +30,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import BASE, MASK, Scratch, checked_join, columns_or_null, mix, pieces, space_bytes, words
@@ -234,10 +235,18 @@ def open_pairs(scratch: Scratch, lists: DataFrame, size: DataFrame, star: DataFr
     main = main.filter("m.whole and size(m.held) > 0").select(F.col("b").alias("sig"), "m.p", "m.inter", "m.held")
     placed = lists.select("token", "sig").join(parts.withColumnRenamed("node", "sig"), "sig", "left").withColumn("component", F.coalesce("component", "sig"))
     open_tokens = placed.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("token")
-    rows = placed.join(open_tokens, "token").join(size, "sig").join(main, "sig", "left")
-    rows = scratch.table(rows.select("token", "sig", "component", "n", "matches", "p", "inter", F.coalesce(F.array_contains("held", F.col("token")), F.lit(False)).alias("tied")))
+    rows = placed.join(open_tokens, "token").withColumn("k", F.count("*").over(W.partitionBy("sig"))).join(size, "sig").join(main, "sig", "left")
+    rows = scratch.table(rows.select("token", "sig", "component", "n", "matches", "k", "p", "inter", F.coalesce(F.array_contains("held", F.col("token")), F.lit(False)).alias("tied")))
     near = f"c_a <> c_b and 10 * least(n_a, n_b) >= {tenths} * greatest(n_a, n_b)"
-    side = lambda df, s: df.select("token", *(F.col(c).alias(f"{c[0]}_{s}" if c not in ("sig", "matches") else {"sig": s, "matches": f"m_{s}"}[c]) for c in ("sig", "component", "n", "matches", "p", "inter", "tied")))
+    side = lambda df, s: df.select("token", *(F.col(c).alias(f"{c[0]}_{s}" if c not in ("sig", "matches") else {"sig": s, "matches": f"m_{s}"}[c]) for c in ("sig", "component", "n", "matches", "k", "p", "inter", "tied")))
+
+    # n - ceil(t n) + m prefix tokens, of which n - c at most may be missing from the other set: true of the set whose prefix ends
+    # first. Of two classes of one pivot all common tokens outside it were met: they must make up for what the pivot can't give.
+    needed = f"(({tenths} * (n_a + n_b) + {tenths + 9}) div {10 + tenths})"
+    bound = lambda x: f"{needed} - (({tenths} * n_{x} + 9) div 10) + m_{x}"
+    asked = f"case when p_a = p_b then {needed} - least(i_a, i_b) else greatest(least(m_a, m_b), least({bound('a')}, {bound('b')})) end"
+    # no pair shares more tokens than either has in open lists (k)
+    near += f" and least(k_a, k_b) >= {asked}"
 
     # rows that are free of a pivot, with all others of their list; of one component's classes none meet
     free = side(rows.filter("not tied"), "a").join(side(rows, "b"), "token").filter(f"{near} and (t_b or a < b)")
@@ -246,11 +255,6 @@ def open_pairs(scratch: Scratch, lists: DataFrame, size: DataFrame, star: DataFr
     tied = rows.filter("tied").join(usual, "token")
     apart = side(tied.filter("p <> usual"), "a").join(side(tied, "b").join(usual, "token"), "token").filter(f"{near} and p_a <> p_b and (p_b = usual or a < b)").drop("usual")
     met = free.unionByName(apart).groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    # n - ceil(t n) + m prefix tokens, of which n - c at most may be missing from the other set: true of the set whose prefix ends
-    # first. Of two classes of one pivot all common tokens outside it were met: they must make up for what the pivot can't give.
-    needed = f"(({tenths} * (n_a + n_b) + {tenths + 9}) div {10 + tenths})"
-    bound = lambda x: f"{needed} - (({tenths} * n_{x} + 9) div 10) + m_{x}"
-    asked = f"case when p_a = p_b then {needed} - least(i_a, i_b) else greatest(least(m_a, m_b), least({bound('a')}, {bound('b')})) end"
     met = met.agg(F.count("*").alias("common"), F.min(F.expr(asked)).alias("asked")).filter("common >= asked").select("a", "b")
     # one pivot: sizes within which the pivot's tokens alone could suffice
     whole = 10 + tenths
