@@ -483,6 +483,13 @@ def dense_topk(spark, sf_dir):
     return dense.search(v, v.filter("vec_id < 10").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), "vec_id", "embedding", "query_id", "q")
 
 
+@query()
+def dense_topk_all(spark, sf_dir):
+    """The whole job of ``dense_topk``, whose SQL asks ten rows only: every row whose id is divisible by 20, against all rows."""
+    v = T(spark, sf_dir, "embeddings")
+    return dense.search(v, v.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), "vec_id", "embedding", "query_id", "q")
+
+
 FUSED = "SELECT item_id, doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score FROM (SELECT item_id, doc_id, rank FROM a WHERE rank <= 50 UNION ALL SELECT item_id, doc_id, rank FROM b WHERE rank <= 50) GROUP BY item_id, doc_id"
 
 
