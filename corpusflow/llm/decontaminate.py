@@ -7,7 +7,8 @@ every score in the block; only blocks that can reach the threshold are scored ex
 kept if the passage holds enough of the question's and of the answer's words (weighted by idf).
 
 The index is broadcast while the items' text stays within ``max_index_bytes``; a larger test set is worked off in slices of
-items, one after another, each with an index of its own. Documents are never shuffled.
+items, one after another, each with an index of its own. Item count, document frequencies, average length and each class's
+longest item are those of all items, so results don't depend on the number of slices. Documents are never shuffled.
 
 Defined results: null and empty texts hold no passage. Items without words match nothing. Equal items are reported each.
 An item that has one word only is its own question and answer. Repeated document rows are reported each. Empty tables give no
@@ -23,9 +24,10 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import columns_or_null, extended, pieces, punctuation_bytes, to_driver, words
+from .common import Scratch, columns_or_null, extended, pieces, punctuation_bytes, to_driver, words
 
 K1, B = 1.5, 0.75
 BLOCKS = 8
@@ -69,7 +71,26 @@ class Index:
         return np.where(self.vocabulary[at] == hashes, at, len(self.vocabulary)) if len(self.vocabulary) else np.zeros(len(hashes), np.int64)
 
 
-def build_index(ids: list[int], texts: list[str | None]) -> Index:
+@dataclass
+class Statistics:
+    """Of all items, where an index has a slice of them. ``df`` belongs to ``vocabulary``, the slice's word hashes in order."""
+
+    n_items: int
+    average: float
+    longest: dict[int, int]
+    vocabulary: np.ndarray
+    df: np.ndarray
+
+
+def class_of(n_words: int) -> int:
+    rank = 0
+    while n_words > SHORTEST_CLASS * 4**rank:
+        rank += 1
+    return rank
+
+
+def build_index(ids: list[int], texts: list[str | None], whole: Statistics | None = None) -> Index:
+    """Without ``whole`` these are all items."""
     cut = [(t or "").encode() for t in texts]
     offsets = np.concatenate([[0], np.cumsum([len(x) for x in cut])]).astype(np.int64)
     h, first = words(np.frombuffer(b"".join(cut), np.uint8), offsets, punctuation_bytes())
@@ -78,17 +99,18 @@ def build_index(ids: list[int], texts: list[str | None]) -> Index:
     item = np.repeat(np.arange(n_items), np.diff(first))
     pairs, tf = np.unique(item * max(1, n_terms) + term, return_counts=True)
     of, term_of = pairs // max(1, n_terms), pairs % max(1, n_terms)
-    df = np.bincount(term_of, minlength=n_terms)
-    idf = np.log1p((n_items - df + 0.5) / (df + 0.5))
     length = np.diff(first)
-    average = max(1.0, length[length > 0].mean() if (length > 0).any() else 1.0)
+    rank = np.array([class_of(int(n)) for n in length], np.int64)
+    if whole is None:
+        df = np.bincount(term_of, minlength=n_terms)
+        average = length[length > 0].mean() if (length > 0).any() else 1.0
+        whole = Statistics(n_items, average, {int(c): int(length[rank == c].max()) for c in np.unique(rank)}, vocabulary, df)
+    df = whole.df[np.searchsorted(whole.vocabulary, vocabulary)]
+    idf = np.log1p((whole.n_items - df + 0.5) / (df + 0.5))
+    average = max(1.0, whole.average)
     raw = idf[term_of] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[of] / average))
     own = np.bincount(of, raw, n_items)
     impact = raw / np.maximum(own[of], 1e-12)
-    rank = np.zeros(n_items, np.int64)
-    for i in range(n_items):
-        while length[i] > SHORTEST_CLASS * 4 ** rank[i]:
-            rank[i] += 1
     classes = []
     for c in np.unique(rank[length > 0]):
         items = np.flatnonzero((rank == c) & (length > 0))
@@ -113,7 +135,7 @@ def build_index(ids: list[int], texts: list[str | None]) -> Index:
             else:
                 n = (len(t) + 1) // 2
             parts.append((np.unique(t[:n]), np.unique(t[n:] if n < len(t) else t[:n])))
-        classes.append(LengthClass(int(length[items].max()), items, pointers, where[order], impact[mine][order], maxima, parts))
+        classes.append(LengthClass(whole.longest[int(c)], items, pointers, where[order], impact[mine][order], maxima, parts))
     return Index(vocabulary, idf, np.array(ids, np.int64), classes)
 
 
@@ -157,19 +179,52 @@ def search(index: Index, data: np.ndarray, offsets: np.ndarray, least_score: flo
     return [(r, int(index.ids[i]), *v) for (r, i), v in found.items()]
 
 
+def word_lists(items: DataFrame) -> DataFrame:
+    """slice, class, number of words and distinct word hashes of every item; items have text and slice."""
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo, hi, data, offsets in pieces(b):
+                h, first = words(data, offsets, punctuation_bytes())
+                n = np.diff(first)
+                sets = [np.unique(h[i:j]).view(np.int64) for i, j in zip(first[:-1], first[1:], strict=True)]
+                columns = [b.column(1).slice(lo, hi - lo), pa.array([class_of(int(x)) for x in n], pa.int32()), pa.array(n, pa.int64()), pa.array(sets, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, names=["slice", "class", "n", "hashes"])
+
+    return items.select("text", "slice").mapInArrow(measure, "slice int, class int, n long, hashes array<long>")
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, least_score: float = 0.5, least_overlap: float = 0.7, id_columns: tuple[str, ...] = ("doc_id",), text_column: str = "text", max_index_bytes: int = 32 << 20) -> DataFrame:
     """A row for each document and item found in it: ids, item_id, score, question_overlap, answer_overlap, passages."""
     sc = docs.sparkSession.sparkContext
     items = columns_or_null(benchmark, item_id="long", text="string").filter("item_id is not null")
     size = items.agg(F.sum(F.octet_length("text"))).collect()[0][0] or 0
     slices = max(1, -(-size // max_index_bytes))
+    items = items.withColumn("slice", F.pmod(F.xxhash64("item_id"), F.lit(slices)).cast("int"))
+    if slices > 1:
+        scratch = Scratch(docs.sparkSession, "decontaminate")
+        measured = scratch.table(word_lists(items))
+        by_class = measured.groupBy("class").agg(F.count("*"), F.sum("n"), F.count(F.when(F.col("n") > 0, 1)), F.max("n")).collect()
+        n_items, n_words, n_worded = (sum(r[i] for r in by_class) for i in (1, 2, 3))
+        # a word has a row in each slice that holds it, with the number of items in all slices
+        held = measured.select("slice", F.explode("hashes").alias("hash")).groupBy("hash", "slice").agg(F.count("*").alias("df"))
+        frequencies = scratch.table(held.withColumn("df", F.sum("df").over(W.partitionBy("hash"))))
+
+    def statistics(part: int) -> Statistics | None:
+        if slices == 1:
+            return None
+        got = to_driver(frequencies.filter(F.col("slice") == part).select("hash", "df"))
+        vocabulary, df = got["hash"].to_numpy().view(np.uint64), got["df"].to_numpy()
+        order = np.argsort(vocabulary)
+        return Statistics(n_items, n_words / max(1, n_worded), {r["class"]: r[4] for r in by_class}, vocabulary[order], df[order])
+
     rows = docs.select(F.col(f"`{text_column}`").cast("string").alias("text"), *(F.col(f"`{c}`").alias(f"id{i}") for i, c in enumerate(id_columns)))
     schema = extended(docs.select(*(F.col(f"`{c}`") for c in id_columns)).schema, item_id="long", score="double", question_overlap="double", answer_overlap="double", passages="int")
     kinds = [pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int32()]
 
     def one(part: int) -> DataFrame:
-        got = to_driver(items.filter(F.pmod(F.xxhash64("item_id"), F.lit(slices)) == part)).sort_by("item_id")
-        sent = sc.broadcast(build_index(got["item_id"].to_pylist(), got["text"].to_pylist()))
+        got = to_driver(items.filter(F.col("slice") == part)).sort_by("item_id")
+        sent = sc.broadcast(build_index(got["item_id"].to_pylist(), got["text"].to_pylist(), statistics(part)))
 
         def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
