@@ -11,6 +11,7 @@ items, one after another, each with an index of its own. Item count, document fr
 longest item are those of all items, so results don't depend on the number of slices. Documents are never shuffled.
 
 Defined results: null and empty texts hold no passage. Items without words match nothing. Equal items are reported each.
+Items with a null item_id are searched for like all others and reported with a null item_id, one row each.
 An item that has one word only is its own question and answer. Repeated document rows are reported each. Empty tables give no
 rows. Extra columns are ignored.
 """
@@ -61,7 +62,7 @@ class LengthClass:
 class Index:
     vocabulary: np.ndarray
     idf: np.ndarray
-    ids: np.ndarray
+    ids: list[int | None]
     classes: list[LengthClass]
 
     def terms(self, hashes: np.ndarray) -> np.ndarray:
@@ -89,7 +90,7 @@ def class_of(n_words: int) -> int:
     return rank
 
 
-def build_index(ids: list[int], texts: list[str | None], whole: Statistics | None = None) -> Index:
+def build_index(ids: list[int | None], texts: list[str | None], whole: Statistics | None = None) -> Index:
     """Without ``whole`` these are all items."""
     cut = [(t or "").encode() for t in texts]
     offsets = np.concatenate([[0], np.cumsum([len(x) for x in cut])]).astype(np.int64)
@@ -136,10 +137,10 @@ def build_index(ids: list[int], texts: list[str | None], whole: Statistics | Non
                 n = (len(t) + 1) // 2
             parts.append((np.unique(t[:n]), np.unique(t[n:] if n < len(t) else t[:n])))
         classes.append(LengthClass(whole.longest[int(c)], items, pointers, where[order], impact[mine][order], maxima, parts))
-    return Index(vocabulary, idf, np.array(ids, np.int64), classes)
+    return Index(vocabulary, idf, ids, classes)
 
 
-def search(index: Index, data: np.ndarray, offsets: np.ndarray, least_score: float, least_overlap: float) -> list[tuple[int, int, float, float, float, int]]:
+def search(index: Index, data: np.ndarray, offsets: np.ndarray, least_score: float, least_overlap: float) -> list[tuple[int, int | None, float, float, float, int]]:
     """(row, item id, best score, question overlap, answer overlap, passages) of the rows in a piece."""
     h, first = words(data, offsets, punctuation_bytes())
     if not len(h) or not index.classes:
@@ -176,7 +177,7 @@ def search(index: Index, data: np.ndarray, offsets: np.ndarray, least_score: flo
                 key = (int(row[w]), int(c.items[i]))
                 best = found.get(key, (0.0, 0.0, 0.0, 0))
                 found[key] = (*max(best[:3], (float(scores[i]), *map(float, shares))), best[3] + 1)
-    return [(r, int(index.ids[i]), *v) for (r, i), v in found.items()]
+    return [(r, index.ids[i], *v) for (r, i), v in found.items()]
 
 
 def word_lists(items: DataFrame) -> DataFrame:
@@ -197,10 +198,10 @@ def word_lists(items: DataFrame) -> DataFrame:
 def find_leaks(docs: DataFrame, benchmark: DataFrame, least_score: float = 0.5, least_overlap: float = 0.7, id_columns: tuple[str, ...] = ("doc_id",), text_column: str = "text", max_index_bytes: int = 32 << 20) -> DataFrame:
     """A row for each document and item found in it: ids, item_id, score, question_overlap, answer_overlap, passages."""
     sc = docs.sparkSession.sparkContext
-    items = columns_or_null(benchmark, item_id="long", text="string").filter("item_id is not null")
+    items = columns_or_null(benchmark, item_id="long", text="string")
     size = items.agg(F.sum(F.octet_length("text"))).collect()[0][0] or 0
     slices = max(1, -(-size // max_index_bytes))
-    items = items.withColumn("slice", F.pmod(F.xxhash64("item_id"), F.lit(slices)).cast("int"))
+    items = items.withColumn("slice", F.pmod(F.xxhash64("item_id", "text"), F.lit(slices)).cast("int"))
     if slices > 1:
         scratch = Scratch(docs.sparkSession, "decontaminate")
         measured = scratch.table(word_lists(items))

@@ -27,3 +27,13 @@ def test_slices_do_not_change_the_result(spark):
     assert any(r[2] < 0.75 for r in whole) and any(min(r[3:5]) < 0.75 for r in whole)
     for most in (4000, 1000):
         assert sorted(tuple(r) for r in decontaminate.find_leaks(docs, items, max_index_bytes=most).collect()) == whole
+
+
+def test_items_without_id(spark):
+    rng = random.Random(3)
+    texts = [" ".join(f"w{rng.randrange(500)}" for _ in range(30)) for _ in range(4)]
+    items = spark.createDataFrame([(1, texts[0]), (None, texts[1]), (None, texts[2]), (None, None)], "item_id long, text string")
+    docs = spark.createDataFrame([(i, f"before {t} after") for i, t in enumerate(texts)], "doc_id long, text string")
+    for most in (1 << 20, 150):
+        got = decontaminate.find_leaks(docs, items, max_index_bytes=most).collect()
+        assert {(r.doc_id, r.item_id) for r in got} == {(0, 1), (1, None), (2, None)} and len(got) == 3
