@@ -25,10 +25,10 @@ def _key_of(rows: DataFrame) -> DataFrame:
     return rows.withColumn("doc", F.coalesce("doc_id", F.lit(-(1 << 63))))
 
 
-def _once(keyed: DataFrame) -> DataFrame:
-    """One row of each key. Rows are shuffled with their texts only if some key is there more than once."""
-    if keyed.groupBy(*KEY).count().filter("count > 1").limit(1).count():
-        return keyed.dropDuplicates(KEY)
+def _once(keyed: DataFrame, each: str = "false") -> DataFrame:
+    """One row of each key, but all rows where ``each`` holds. Rows are shuffled with their texts only if some key is there more than once."""
+    if keyed.filter(f"not ({each})").groupBy(*KEY).count().filter("count > 1").limit(1).count():
+        return keyed.withColumn("nth", F.when(F.expr(each), F.monotonically_increasing_id())).dropDuplicates([*KEY, "nth"]).drop("nth")
     return keyed
 
 
@@ -40,12 +40,18 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def join_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near duplicates the document with the least doc_id stays (nulls last, then by text hash)."""
+    """Of each component of near duplicates the document with the least doc_id stays (nulls last, then by text hash).
+
+    Documents without words are in no component: each of their rows stays, repeated ones too.
+    """
     scratch = Scratch(spark, "pipeline")
     found = jaccard.join_components(docs)
     first = found.filter("component_key is not null").groupBy("component_key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("kept"))
-    kept = first.select("kept.doc_id", "kept.text_key").union(found.filter("component_key is null").select("doc_id", "text_key")).distinct()
-    rows = _once(checked_join(_keyed(docs), scratch.table(_key_of(kept).select(*KEY)), KEY, "left_semi", row_bytes=48))
+    alone = found.filter("component_key is null").select("doc_id", "text_key", F.lit(True).alias("alone")).distinct()
+    kept = first.select("kept.doc_id", "kept.text_key", F.lit(False).alias("alone")).union(alone)
+    # distinct by key: a null id has the key of the least long
+    keys = _key_of(kept).groupBy(*KEY).agg(F.max("alone").alias("alone"))
+    rows = _once(checked_join(_keyed(docs), scratch.table(keys), KEY, row_bytes=49), "alone")
     return rows.select(*COLUMNS)
 
 
