@@ -517,13 +517,25 @@ def graph_expand(spark, sf_dir):
     return expand.expand(seeds, chunks, edges)
 
 
+def _word_vector(text, size=64):
+    """How many words of a text fall into each of ``size`` bins, by their hashes."""
+    bins = F.transform(lexical.terms_of(F.coalesce(text, F.lit(""))), lambda w: F.pmod(F.xxhash64(w), F.lit(size)).cast("int"))
+    counts = lambda held: F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.size(F.filter(held, lambda b: b == i)).cast("double"))
+    return X.let(bins, counts)
+
+
 @query()
 def hybrid_retrieve(spark, sf_dir):
-    """Lexical search, fusion, graph expansion and rerank in one plan."""
+    """Lexical and dense search, fusion, graph expansion and rerank in one plan.
+
+    The tables have no document vectors: counts of hashed words stand in, of a text's first 200 characters (as its summary) and of all of it.
+    """
     docs, chunks, links = _graph(spark, sf_dir)
     edges = graph.build(docs, chunks, links, LABELS, CONCEPTS)[1]
     questions = T(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), F.col("text").alias("question"))
-    return stages.retrieve(questions, chunks, edges).select("qid", "chunk_id", "rerank_score", "rank")
+    vectors = chunks.select("chunk_id", _word_vector(F.substring("enriched_text", 1, 200)).alias("summary"), _word_vector(F.col("enriched_text")).alias("full"))
+    asked = questions.select(F.col("id").alias("qid"), _word_vector(F.col("question")).alias("vector"))
+    return stages.retrieve(questions, chunks, edges, vectors, asked).select("qid", "chunk_id", "rerank_score", "rank")
 
 
 _OVERLAP = "len(list_intersect(list_distinct({q}), list_distinct({t})))::DOUBLE / len(list_distinct({q}))"
