@@ -10,7 +10,7 @@ returns each query's best; their union holds the best of all. Equal codes are on
 vector, however many, cost no more than one.
 
 Defined results: a null vector has no code: it is neither found nor a query. Null or NaN components count as not positive. The
-code has the signs of the first 64 components. A query is not its own neighbour, but other rows with equal vectors are; ties go
+code has the signs of all components, in words of 64 bits; a shorter vector's further bits are 0. A query is not its own neighbour, but other rows with equal vectors are; ties go
 to the smaller id. Rows with one id and code are one entry. Empty tables give no rows; fewer than k others give fewer rows.
 """
 
@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from .common import Scratch, columns_or_null
 from .decontaminate import ranges
 
+#: Bits of a word of a code.
 BITS = 64
 #: Codes and queries that one task holds at most, but for hashing's unevenness.
 BLOCK_CODES, BLOCK_QUERIES, LEAST_BLOCKS = 200_000, 20_000, 8
@@ -35,22 +36,30 @@ STEP = 1 << 20
 
 
 def sign_codes(vectors: DataFrame, id_column: str, vector_column: str) -> DataFrame:
-    """id, code (long)."""
+    """id, code (binary: words of 64 bits, without zero words at the end but for the first)."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             lists = b.column(1)
-            positive = np.zeros((len(lists), BITS), bool)
             size = np.asarray(pa.compute.list_value_length(lists).fill_null(0))
+            n_words = max(1, -(-int(size.max(initial=0)) // BITS))
+            positive = np.zeros((len(lists), n_words * BITS), bool)
             flat = lists.flatten().to_numpy(zero_copy_only=False) > 0
             row = np.repeat(np.arange(len(lists)), size)
             place = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
-            near = place < BITS
-            positive[row[near], place[near]] = flat[near]
-            codes = np.packbits(positive, axis=1).view(">u8").ravel().astype(np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(codes)], names=["id", "code"])
+            positive[row, place] = flat
+            packed = np.packbits(positive, axis=1)
+            used = np.maximum(1, ((packed.view(">u8") != 0) * np.arange(1, n_words + 1)).max(1, initial=1)) * (BITS // 8)
+            codes = [x[:n].tobytes() for x, n in zip(packed, used, strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(codes, pa.binary())], names=["id", "code"])
 
-    return columns_or_null(vectors, **{id_column: "long", vector_column: "array<double>"}).filter(f"`{vector_column}` is not null and `{id_column}` is not null").mapInArrow(encode, "id long, code long")
+    return columns_or_null(vectors, **{id_column: "long", vector_column: "array<double>"}).filter(f"`{vector_column}` is not null and `{id_column}` is not null").mapInArrow(encode, "id long, code binary")
+
+
+def unpacked(codes: list[bytes], n_words: int) -> np.ndarray:
+    """A row of words for each code."""
+    size = n_words * BITS // 8
+    return np.frombuffer(b"".join(x.ljust(size, b"\0") for x in codes), ">u8").astype(np.uint64).reshape(-1, n_words)
 
 
 def _patterns(width: int, radius: int) -> np.ndarray:
@@ -59,27 +68,31 @@ def _patterns(width: int, radius: int) -> np.ndarray:
 
 
 def search_block(codes: np.ndarray, least_id: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, code, distance) of each query's k nearest codes, ties by least_id; exact."""
+    """(query, code, distance) of each query's k nearest codes, ties by least_id; exact. Codes and queries: words, or rows of words."""
     n = len(codes)
+    codes, queries = (x.reshape(-1, 1) if x.ndim == 1 else x for x in (codes, queries))
     if not n or not len(queries):
         return (np.zeros(0, np.int64),) * 3
     m = max(4, round(BITS / max(4, np.log2(n))))
     widths = [BITS // m + (i < BITS % m) for i in range(m)]
     shifts = np.concatenate([[0], np.cumsum(widths)[:-1]]).astype(np.uint64)
+    n_words = codes.shape[1]
+    word = np.repeat(np.arange(n_words), m)  # no segment lies in two words
+    m, widths, shifts = m * n_words, widths * n_words, np.tile(shifts, n_words)
     tables = []
-    for width, shift in zip(widths, shifts, strict=True):
-        part = (codes >> shift) & np.uint64((1 << width) - 1)
+    for at, width, shift in zip(word, widths, shifts, strict=True):
+        part = (codes[:, at] >> shift) & np.uint64((1 << width) - 1)
         order = np.argsort(part, kind="stable")
         tables.append((order, np.searchsorted(part[order], np.arange((1 << width) + 1, dtype=np.uint64))))
     q_found, c_found, d_found = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    kth = np.full(len(queries), BITS + 1)
+    kth = np.full(len(queries), BITS * n_words + 1)
     active = np.arange(len(queries))
     for radius in range(max(widths) + 1):
         for s in range(m):
             if radius <= widths[s]:
                 order, starts = tables[s]
                 flips = _patterns(widths[s], radius)
-                own = (queries[active] >> shifts[s]) & np.uint64((1 << widths[s]) - 1)
+                own = (queries[active, word[s]] >> shifts[s]) & np.uint64((1 << widths[s]) - 1)
                 fresh = []
                 per = max(1, STEP // len(flips))
                 for lo in range(0, len(active), per):
@@ -89,7 +102,7 @@ def search_block(codes: np.ndarray, least_id: np.ndarray, queries: np.ndarray, k
                     q = np.broadcast_to(active[lo : lo + per, None], values.shape)[held]
                     c = order[ranges(first[held], last[held])]
                     q = np.repeat(q, (last - first)[held])
-                    d = np.bitwise_count(queries[q] ^ codes[c]).astype(np.int64)
+                    d = np.bitwise_count(queries[q] ^ codes[c]).sum(1, dtype=np.int64)
                     near = d <= kth[q]
                     fresh.append((q[near], c[near], d[near]))
                 if sum(len(x[0]) for x in fresh):
@@ -124,11 +137,12 @@ def nearest(vectors: DataFrame, is_query, k: int = 10, id_column: str = "vec_id"
     right = asked.select(F.explode(F.sequence(F.lit(0), F.lit(code_blocks - 1))).alias("i"), block(query_blocks).alias("j"), "code")
 
     def meet(codes: pa.Table, wanted: pa.Table) -> pa.Table:
-        own, q = codes["code"].to_numpy().view(np.uint64), wanted["code"].to_numpy().view(np.uint64)
-        at, c, d = search_block(own, codes["least"].to_numpy(), q, k + 1)
-        return pa.table({"asked": q[at].view(np.int64), "code": own[c].view(np.int64), "distance": d.astype(np.int32)})
+        own, q = codes["code"].to_pylist(), wanted["code"].to_pylist()
+        n_words = max((len(x) for x in own + q), default=8) * 8 // BITS
+        at, c, d = search_block(unpacked(own, n_words), codes["least"].to_numpy(), unpacked(q, n_words), k + 1)
+        return pa.table({"asked": pa.array([q[i] for i in at], pa.binary()), "code": pa.array([own[i] for i in c], pa.binary()), "distance": d.astype(np.int32)})
 
-    met = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(meet, "asked long, code long, distance int")
+    met = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(meet, "asked binary, code binary, distance int")
     best = met.join(entries, "code").select("asked", "distance", F.explode("ids").alias("neighbour_id"))
     best = scratch.table(best.withColumn("place", F.row_number().over(W.partitionBy("asked").orderBy("distance", "neighbour_id"))).filter(F.col("place") <= k + 1))
     pairs = queries.join(best.drop("place"), F.col("code") == F.col("asked")).filter(F.col("id") != F.col("neighbour_id"))
