@@ -6,16 +6,19 @@ a token within their prefixes of n - ceil(t * n) + 1 tokens; with l - 1 more tok
 lengthens its prefix by the candidates that the sketch lets expect for its tokens, and a pair is verified only if it shares as
 many prefix tokens as the smaller of its two l asks.
 
-Equal sets are one class (by a signature), so copies cost nothing more. Within a token's list no full set of pairs is made:
-1. every class is paired with the list's greatest class (a star; class numbers rise with the commonness of a set's tokens, so
-   this is a group's middle), promising pairs are compared, and components are formed;
+Equal sets are one class (by a 64-bit signature), so copies cost nothing more. Prefix tokens are shuffled once, packed in blocks
+by ranges of the token hash (``token_lists``); tokens that only one class has go there. Within a token's list no full set of
+pairs is made:
+1. every class is paired with the list's pivot, the class whose tokens are commonest (a star; this is a group's middle).
+   Promising pairs, and all pairs of pivots with more than MANY partners, are compared, and components are formed;
 2. lists that lie in one component are done. In the others every pair that could still join two components is compared;
    ``open_pairs`` tells how groups around one pivot are kept from meeting as all pairs.
 Verification compares whole sets. So components are exact (up to collisions of 64-bit hashes), while links inside a known
 component are not listed.
 
-Memory: one document's tokens, the sketch (``2 ** SKETCH_BITS`` counters) and, in verification, one set at a time. Classes with
-very many partners are salted. All intermediate tables lie in the shared folder.
+Memory: one document's tokens, the sketch (``2 ** SKETCH_BITS`` counters), one slice of the lists (about SLICE_POSTINGS tokens;
+tokens that the sketch counts HOT times or more are dealt by token and class) and, in verification, one set at a time. Classes
+with very many partners are salted. All intermediate tables lie in the shared folder.
 
 Defined results: null and empty texts have an empty set and link with nothing, not even with each other. Texts with fewer words
 than ``width`` have one token, the whole sequence. A null doc_id is kept; the component is the least non-null doc_id in it.
@@ -41,12 +44,18 @@ SKETCH_BITS = 20
 SLICES = 64
 #: A token is frequent if its counter is above the mean by so much, or by so many standard deviations.
 FREQUENT, DEVIATIONS = 64, 6.0
+#: A token costs nothing while its counter is above the mean by fewer standard deviations than this: that is chance.
+CHANCE = 4.0
 #: One more prefix token for each so many expected candidates of a document, up to MOST_MATCHES in all.
-COST_OF_A_MATCH, MOST_MATCHES = 16, 4
+COST_OF_A_MATCH, MOST_MATCHES = 16, 16
+#: Prefix tokens in a block of the shuffle, and in a slice of the lists.
+BLOCK_POSTINGS, SLICE_POSTINGS = 1_000_000, 2_000_000
+#: A token in so many documents by the sketch is dealt by class too.
+HOT = 100_000
 #: Partners of one class that one task compares with it.
 SALT_ROWS = 256
-#: A class with more partners than this is a hot pivot.
-FEW = 16
+#: A class with more partners than this is a hot pivot; all partners of one with more than MANY are compared with it.
+FEW, MANY = 16, 64
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, width: int = 5) -> list[np.ndarray]:
@@ -69,14 +78,15 @@ def shingles(data: np.ndarray, offsets: np.ndarray, width: int = 5) -> list[np.n
     return out
 
 
-def signature(tokens: np.ndarray, expected: np.ndarray) -> int:
-    """The class of a set: a hash of it below seven bits that tell how common its tokens are, so never negative.
+def signature(tokens: np.ndarray) -> int:
+    """The class of a set: a hash of it."""
+    whole = (int(mix(tokens + np.uint64(len(tokens))).sum(dtype=np.uint64)) + len(tokens)) & MASK
+    return int(mix(np.array([whole], np.uint64)).view(np.int64)[0])
 
-    The set in the middle of a large group of near copies has the commonest tokens, and so the group's greatest class number.
-    """
-    common = min(127, int(8 * float(np.log2(1.0 + expected).mean())))
-    whole = mix(np.array([(int(mix(tokens + np.uint64(len(tokens))).sum(dtype=np.uint64)) + len(tokens)) & MASK], np.uint64))[0]
-    return (common << 56) | int(whole >> np.uint64(8))
+
+def commonness(expected: np.ndarray) -> int:
+    """How common a set's tokens are, 0 to 127. The set in the middle of a large group of near copies has the commonest."""
+    return min(127, int(8 * float(np.log2(1.0 + expected).mean())))
 
 
 def _places(tokens: np.ndarray) -> np.ndarray:
@@ -142,28 +152,113 @@ class Sketch:
 def sketch_of(scratch: Scratch, rows: DataFrame, width: int) -> Sketch:
     counts = count_sketch(scratch, rows, width)
     mean = counts.mean()
-    return Sketch(np.maximum(0, counts - mean).astype(np.float32), max(FREQUENT, DEVIATIONS * mean**0.5))
+    over = np.where(counts > mean + CHANCE * mean**0.5, counts - mean, 0)
+    return Sketch(over.astype(np.float32), max(FREQUENT, DEVIATIONS * mean**0.5))
+
+
+SKETCHED = "doc_id long, text_key long, n long, sig long, matches int, common int, k int, hot binary, tokens binary"
 
 
-def _sketched(scratch: Scratch, rows: DataFrame, sent, width: int, tenths: int) -> DataFrame:
-    """doc_id, text_key, n, sig, matches, tokens of every row. sent: the broadcast Sketch."""
-    schema = "doc_id long, text_key long, n long, sig long, matches int, tokens array<long>"
+def _sketched(scratch: Scratch, rows: DataFrame, sent, width: int, tenths: int, hot: int) -> DataFrame:
+    """Every row's class, set size and prefix: ``tokens`` are k 64-bit hashes, ``hot`` has a byte for each. sent: the broadcast Sketch."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo, hi, data, offsets in pieces(b):
-                n, sig, matches, tokens = [], [], [], []
+                n, sig, matches, common, k, hots, tokens = [], [], [], [], [], [], []
                 for t in shingles(data, offsets, width):
-                    chosen, l = sent.value.prefix(t, tenths) if len(t) else (t, 0)
                     n.append(len(t))
-                    sig.append(signature(t, sent.value.expected(t)) if len(t) else 0)
+                    over = sent.value.expected(t)
+                    sig.append(signature(t) if len(t) else 0)
+                    common.append(commonness(over) if len(t) else 0)
+                    chosen, l = sent.value.prefix(t, tenths) if len(t) else (t, 0)
                     matches.append(l)
-                    tokens.append(chosen.view(np.int64))
-                ends = np.concatenate([[0], np.cumsum([len(t) for t in tokens])]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(tokens) if tokens else np.zeros(0, np.int64)))
-                yield pa.RecordBatch.from_arrays([b.column(1)[lo:hi], b.column(2)[lo:hi], pa.array(n, pa.int64()), pa.array(sig, pa.int64()), pa.array(matches, pa.int32()), lists], names=["doc_id", "text_key", "n", "sig", "matches", "tokens"])
+                    k.append(len(chosen))
+                    hots.append((sent.value.expected(chosen) >= hot).tobytes())
+                    tokens.append(chosen.tobytes())
+                columns = [pa.array(n, pa.int64()), pa.array(sig, pa.int64()), *(pa.array(x, pa.int32()) for x in (matches, common, k)), pa.array(hots, pa.binary()), pa.array(tokens, pa.binary())]
+                yield pa.RecordBatch.from_arrays([b.column(1)[lo:hi], b.column(2)[lo:hi], *columns], names=["doc_id", "text_key", "n", "sig", "matches", "common", "k", "hot", "tokens"])
+
+    return scratch.table(rows.select("text", "doc_id", F.xxhash64("text").alias("text_key")).mapInArrow(work, SKETCHED))
+
+
+def slice_of(token: np.ndarray, slices: int) -> np.ndarray:
+    """Equal ranges of the token hash."""
+    return ((token >> np.uint64(32)) * np.uint64(slices) >> np.uint64(32)).astype(np.int64)
+
+
+def token_lists(scratch: Scratch, sketched: DataFrame) -> DataFrame:
+    """token, sig, pivot: the classes of every prefix token that more than one class has. The pivot has the commonest tokens.
+
+    Prefix tokens travel once, as blocks of (slice, classes with their tokens). A hot token's classes are dealt over as many
+    slices more by a hash of token and class, and meet by aggregation only.
+    """
+    spark = sketched.sparkSession
+    total = sketched.agg(F.coalesce(F.sum("k"), F.lit(0))).first()[0]
+    slices = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // SLICE_POSTINGS))
+
+    def block(held: list[tuple[int, int, bytes, bytes]]) -> pa.RecordBatch:
+        once = list({x[0]: x for x in held}.values())  # equal sets have equal prefixes
+        k = np.array([len(x[2]) for x in once])
+        sig, common = np.array([x[0] for x in once], np.int64), np.array([x[1] for x in once], np.uint8)
+        token, is_hot = np.frombuffer(b"".join(x[3] for x in once), np.uint64), np.frombuffer(b"".join(x[2] for x in once), bool)
+        of = np.repeat(np.arange(len(once)), k)
+        at = np.where(is_hot, slices + slice_of(mix(token ^ sig.view(np.uint64)[of]), slices), slice_of(token, slices))
+        order = np.argsort(at, kind="stable")
+        at, of, token = at[order], of[order], token[order]
+        first = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (of[1:] != of[:-1])]))  # a class in a slice
+        n = np.diff(np.concatenate([first, [len(at)]]))
+        cut = np.flatnonzero(np.concatenate([[True], at[first][1:] != at[first][:-1]]))
+        ends = np.concatenate([cut[1:], [len(first)]])
+        sig, common, n = sig[of[first]], common[of[first]], n.astype(np.uint32)
+        tokens = [token[first[i] : first[j] if j < len(first) else len(at)].tobytes() for i, j in zip(cut, ends, strict=True)]
+        each = lambda x: pa.array([x[i:j].tobytes() for i, j in zip(cut, ends, strict=True)], pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(at[first][cut], pa.int32()), each(sig), each(common), each(n), pa.array(tokens, pa.binary())], names=["slice", "sigs", "commons", "counts", "tokens"])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for b in batches:
+            for x in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                held.append(x)
+                size += len(x[2])
+                if size >= BLOCK_POSTINGS:
+                    yield block(held)
+                    held, size = [], 0
+        if size:
+            yield block(held)
+
+    def lists_of(at: int, parts: list[tuple[bytes, bytes, bytes, bytes]]) -> pa.RecordBatch | None:
+        sigs, commons, counts, tokens = (np.frombuffer(b"".join(x), kind) for x, kind in zip(zip(*parts, strict=True), (np.int64, np.uint8, np.uint32, np.uint64), strict=True))
+        sig, common = np.repeat(sigs, counts), np.repeat(commons, counts)
+        order = np.lexsort((sig, common, tokens))
+        sig, common, token = sig[order], common[order], tokens[order]
+        new = np.concatenate([[True], (token[1:] != token[:-1]) | (sig[1:] != sig[:-1])])
+        sig, common, token = sig[new], common[new], token[new]
+        first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+        n = np.diff(np.concatenate([first, [len(token)]]))
+        last = np.repeat(first + n - 1, n)
+        kept = np.arange(len(token)) if at >= slices else np.flatnonzero(np.repeat(n, n) > 1)
+        if not len(kept):
+            return None
+        columns = [token.view(np.int64)[kept], sig[kept], sig[last][kept], common[last][kept].astype(np.int32), np.full(len(kept), at >= slices)]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["token", "sig", "pivot", "common", "hot"])
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: dict[int, list] = {}
+        for b in batches:
+            for at, *x in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                parts.setdefault(at, []).append(x)
+        for at in list(parts):
+            if (out := lists_of(at, parts.pop(at))) is not None:
+                yield out
 
-    return scratch.table(rows.select("text", "doc_id", F.xxhash64("text").alias("text_key")).mapInArrow(work, schema))
+    blocks = sketched.filter("n > 0").select("sig", "common", "hot", "tokens").mapInArrow(pack, "slice int, sigs binary, commons binary, counts binary, tokens binary")
+    found = scratch.table(blocks.repartitionById(slices, F.expr(f"slice % {slices}")).mapInArrow(gather, "token long, sig long, pivot long, common int, hot boolean"))
+    if not found.filter("hot").limit(1).count():
+        return found.select("token", "sig", "pivot")
+    hot = found.filter("hot").select("token", "sig", "pivot", "common")
+    whole = hot.groupBy("token").agg(F.max_by("pivot", F.struct("common", "pivot")).alias("pivot"), F.min("sig").alias("x"), F.max("sig").alias("y")).filter("x <> y").select("token", "pivot")
+    return found.filter("not hot").select("token", "sig", "pivot").unionByName(checked_join(hot.select("token", "sig"), scratch.table(whole), ["token"], row_bytes=24).select("token", "sig", "pivot"))
 
 
 COMPARED = "a long, b long, linked boolean, inter int, whole boolean, held array<long>"
@@ -184,17 +279,16 @@ def compared(scratch: Scratch, pairs: DataFrame, classes: DataFrame, rows: DataF
         for b in batches:  # rows that share a doc_id may have other sets
             for lo, hi, data, offsets in pieces(b):
                 want = b.column(1)[lo:hi].to_pylist()
-                keep = [lo + i for i, t in enumerate(shingles(data, offsets, width)) if len(t) and signature(t, sent.value.expected(t)) == want[i]]
+                keep = [lo + i for i, t in enumerate(shingles(data, offsets, width)) if len(t) and signature(t) == want[i]]
                 yield b.take(pa.array(keep, pa.int64()))
 
     texts = scratch.table(found.mapInArrow(own, "text string, sig long"))
     salts = pairs.groupBy("a").agg(F.count("*").alias("partners")).withColumn("salts", F.ceil(F.col("partners") / SALT_ROWS).cast("int"))
     salted = pairs.join(salts, "a").withColumn("salt", F.pmod(F.xxhash64("b", F.lit(3)), F.col("salts")).cast("int"))
-    head = texts.join(salts.select(F.col("a").alias("sig"), "salts", "partners"), "sig")
-    heads = head.select(F.col("sig").alias("a"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("long").alias("b"), "text", "partners")
-    members = salted.join(texts.withColumnRenamed("sig", "b"), "b").select("a", "salt", "b", "text", "partners")
+    heads = salts.select(F.col("a").alias("sig"), "a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("long").alias("b"), "partners")
+    needs = heads.unionByName(salted.select(F.col("b").alias("sig"), "a", "salt", "b", "partners"))
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    together = heads.union(members).repartition(n, "a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
+    together = needs.join(texts, "sig").select("a", "salt", "b", "text", "partners").repartition(n, "a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head, of, done = np.zeros(0, np.uint64), None, None
@@ -280,22 +374,21 @@ def join_components(docs: DataFrame, width: int = 5, tenths: int = 8) -> DataFra
     scratch = Scratch(docs.sparkSession, "jaccard")
     rows = columns_or_null(docs, doc_id="long", text="string")
     sent = docs.sparkSession.sparkContext.broadcast(sketch_of(scratch, rows, width))
-    sketched = _sketched(scratch, rows, sent, width, tenths)
+    sketched = _sketched(scratch, rows, sent, width, tenths, HOT)
     narrow = scratch.table(sketched.select("doc_id", "text_key", "n", "sig"))
     classes = scratch.table(sketched.filter("n > 0").groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.max("matches").alias("matches")))
-    postings = sketched.filter("n > 0").select("sig", F.explode("tokens").alias("token"))
-    shared = postings.groupBy("token").agg(F.max("sig").alias("pivot"), F.min("sig").alias("other")).filter("pivot <> other").select("token", "pivot")
-    lists = scratch.table(postings.join(shared, "token").distinct())
+    lists = token_lists(scratch, sketched)
     scratch.drop(sketched)
     size = classes.select("sig", "n", "matches")
     of = lambda side: size.select(F.col("sig").alias(side), F.col("n").alias(f"n_{side}"), F.col("matches").alias(f"m_{side}"))
     near_size = f"10 * least(n_a, n_b) >= {tenths} * greatest(n_a, n_b)"
 
-    # 1. stars. Pairs with few tokens in common wait for step 2, which leaves nothing out.
-    star = lists.filter("sig <> pivot").groupBy(F.col("pivot").alias("a"), F.col("sig").alias("b")).agg(F.count("*").alias("common"))
-    star = star.join(of("a"), "a").join(of("b"), "b").filter(near_size)
-    promising = f"common >= least(m_a, m_b) and 4 * common >= least(n_a, n_b) * {10 - tenths} / 10"
-    stars = compared(scratch, scratch.table(star.filter(promising).select("a", "b")), classes, rows, sent, width, tenths)
+    # 1. stars. Pairs with few tokens in common wait for step 2, which leaves nothing out, unless very many share their pivot.
+    star = scratch.table(lists.filter("sig <> pivot").groupBy(F.col("pivot").alias("a"), F.col("sig").alias("b")).agg(F.count("*").alias("common")))
+    hot = star.groupBy("a").agg(F.count("*").alias("partners")).filter(f"partners > {MANY}").select("a", F.lit(True).alias("hot"))
+    star = star.join(of("a"), "a").join(of("b"), "b").join(hot, "a", "left")
+    promising = f"{near_size} and common >= least(m_a, m_b) and 4 * common >= least(n_a, n_b) * {10 - tenths} / 10"
+    stars = compared(scratch, scratch.table(star.filter(f"hot or {promising}").select("a", "b")), classes, rows, sent, width, tenths)
     links = stars.filter("linked").select("a", "b")
     parts = connected_components(scratch, links)
 
