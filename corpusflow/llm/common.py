@@ -98,6 +98,17 @@ def checked_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "in
     return big.join(F.broadcast(small) if small.count() * row_bytes <= max_bytes else small, on, how)
 
 
+def split_join(scratch: Scratch, big: DataFrame, small: DataFrame, on: list[str], hot: DataFrame, row_bytes: int = 64) -> DataFrame:
+    """Inner join. ``hot`` holds the keys that very many rows of ``big`` have: these rows stay where they are and meet their
+    partners by a checked broadcast, so that no task gets all rows of a key."""
+    hot = scratch.table(hot.select(*on))
+    if not hot.limit(1).count():
+        return big.join(small, on)
+    warm = scratch.table(checked_join(small, hot, on, "left_semi"))
+    cold = checked_join(big, hot, on, "left_anti").join(checked_join(small, hot, on, "left_anti"), on)
+    return cold.unionByName(checked_join(big, warm, on, row_bytes=row_bytes))
+
+
 # --- running totals over a global order ---------------------------------------------------------
 
 

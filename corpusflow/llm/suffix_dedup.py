@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, columns_or_null, mix, pieces, powers
+from .common import PIECE_BYTES, Scratch, columns_or_null, mix, pieces, powers, split_join
 from .decontaminate import ranges
 
 LENGTH = 400
@@ -38,6 +38,8 @@ LENGTH = 400
 GRAM = 96
 #: Different pieces of one anchor that are compared in one block.
 GROUP = 2000
+#: An anchor, or a piece, with more copies than this is joined without dealing its rows by it.
+MANY = 10_000
 #: Bytes of a block.
 BLOCK_BYTES = 1 << 20
 #: Symbols of the first sort key, nine bits each.
@@ -195,7 +197,7 @@ def _names(ddl: str) -> list[str]:
 
 
 def _arrow(ddl: str) -> pa.Schema:
-    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "string": pa.string()}
     return pa.schema([(x.split()[0], kinds[x.split()[1]]) for x in ddl.split(", ")])
 
 
@@ -252,12 +254,13 @@ def repeated_spans(scratch: Scratch, rows: DataFrame, length: int, gram: int, gr
     cut = scratch.table(_pieces(rows, length, gram))
     counted = cut.groupBy("anchor").agg(F.count("*").alias("n"), F.min("same").alias("x"), F.max("same").alias("y")).filter("n > 1")
     # one kind of piece only: all of its copies repeat each other
-    found = scratch.table(cut.join(counted.select("anchor", (F.col("x") == F.col("y")).alias("equal")), "anchor"))
-    scratch.drop(cut)
+    counted = scratch.table(counted.select("anchor", "n", (F.col("x") == F.col("y")).alias("equal")))
+    found = scratch.table(split_join(scratch, cut, counted.select("anchor", "equal"), ["anchor"], counted.filter(F.col("n") > MANY)))
+    scratch.drop(cut, counted)
     whole = found.filter("equal").select("doc", "hash", F.col("first").alias("s"), (F.col("first") + F.col("windows") - 1 + length).alias("e"))
     mixed = found.filter("not equal")
     which = ["anchor", "same", "windows", "off"]
-    kinds = mixed.groupBy(*which).agg(F.count("*").alias("times"), F.min(F.struct("doc", "hash", "first")).alias("from"))
+    kinds = scratch.table(mixed.groupBy(*which).agg(F.count("*").alias("times"), F.min(F.struct("doc", "hash", "first")).alias("from")))
     parts = scratch.table(_texts(rows, scratch, kinds, length, gram))
     spans = []
     while True:
@@ -273,12 +276,16 @@ def repeated_spans(scratch: Scratch, rows: DataFrame, length: int, gram: int, gr
     known = spans[0]
     for x in spans[1:]:
         known = known.unionByName(x)
-    again = mixed.join(scratch.table(known.distinct()), which).select("doc", "hash", (F.col("first") + F.col("s")).alias("s"), (F.col("first") + F.col("e") + length).alias("e"))
+    known = scratch.table(known.distinct())
+    again = split_join(scratch, mixed, known, which, kinds.filter(F.col("times") > MANY)).select("doc", "hash", (F.col("first") + F.col("s")).alias("s"), (F.col("first") + F.col("e") + length).alias("e"))
     return whole.unionByName(again)
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group: int = GROUP, with_kept: bool = True) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and (with_kept) kept, the bytes that are left, of every row."""
+KEPT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+
+
+def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group: int = GROUP) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept, the bytes that are left, of every row."""
     scratch = Scratch(docs.sparkSession, "suffix")
     rows = columns_or_null(docs, doc_id="long", text="string").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.withColumn("doc", F.coalesce("doc_id", F.lit(-(1 << 63)))).withColumn("hash", F.xxhash64("text"))
@@ -286,34 +293,32 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, grou
     by_doc = scratch.table(spans.groupBy("doc", "hash").agg(F.array_sort(F.collect_set(F.struct("s", "e"))).alias("spans")))
     scratch.keep_only(by_doc)
     joined = rows.join(by_doc, ["doc", "hash"], "left")
+    schema = _arrow(KEPT)
+
+    def left_of(raw: memoryview, cuts: list[dict]) -> tuple[int, int, int, str, bytes]:
+        kept, at, gone, runs, edge = [], 0, 0, 0, -1
+        for c in cuts:
+            s, e = c["s"], c["e"]
+            if s > edge:
+                runs += 1
+                kept.append(raw[at:s])
+                gone += e - s
+                at = edge = e
+            elif e > edge:
+                gone += e - edge
+                at = edge = e
+        kept.append(raw[at:])
+        rest = b"".join(kept)
+        return len(raw), gone, runs, hashlib.sha256(rest).hexdigest(), rest
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            size, removed, n_spans, sha, left = [], [], [], [], []
-            for text, cuts in zip(b.column(1), b.column(2), strict=True):
-                raw, kept, at, gone, runs = memoryview(text.as_buffer()), [], 0, 0, 0
-                edge = -1
-                for c in cuts.as_py() or ():
-                    s, e = c["s"], c["e"]
-                    if s > edge:
-                        runs += 1
-                        kept.append(raw[at:s])
-                        gone += e - s
-                        at = edge = e
-                    elif e > edge:
-                        gone += e - edge
-                        at = edge = e
-                kept.append(raw[at:])
-                rest = b"".join(kept)
-                size.append(len(raw))
-                removed.append(gone)
-                n_spans.append(runs)
-                sha.append(hashlib.sha256(rest).hexdigest())
-                if with_kept:
-                    left.append(rest)
-            columns = [b.column(0), pa.array(size, pa.int64()), pa.array(removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(sha, pa.string())]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(left, pa.binary())] if with_kept else columns, names=names)
-
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_kept
-    names = _names(schema)
-    return joined.select("doc_id", "text", "spans").mapInArrow(apply, schema)
+            out, size = [], 0
+            for i in range(b.num_rows):
+                out.append((b.column(0)[i].as_py(), *left_of(memoryview(b.column(1)[i].as_buffer()), b.column(2)[i].as_py() or ())))
+                size += out[-1][1]
+                if size >= PIECE_BYTES or i + 1 == b.num_rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+                    out, size = [], 0
+
+    return joined.select("doc_id", "text", "spans").mapInArrow(apply, KEPT)

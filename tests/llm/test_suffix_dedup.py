@@ -6,6 +6,7 @@ import random
 import numpy as np
 import pytest
 
+from corpusflow.llm import queries
 from corpusflow.llm import suffix_dedup as S
 
 
@@ -44,8 +45,9 @@ def corpus(rng, n):
     return rows
 
 
-@pytest.mark.parametrize("seed, group", [(1, 2000), (2, 3)])
-def test_against_brute_force(spark, seed, group):
+@pytest.mark.parametrize("seed, group, many", [(1, 2000, 10_000), (2, 3, 4)])
+def test_against_brute_force(spark, monkeypatch, seed, group, many):
+    monkeypatch.setattr(S, "MANY", many)
     rng = random.Random(seed)
     rows = corpus(rng, 150)
     rows += [(200, "ab" * 60), (201, "x" * 30), (202, None), (203, ""), (None, rows[0][1]), (7, rows[7][1]), (7, rows[7][1]), (204, "ngắn"), (205, "\0" * 50)]
@@ -61,6 +63,17 @@ def test_production_length(spark):
     assert run(spark, rows) == brute(rows, 400)
 
 
+def test_text_that_is_left(spark, tmp_path):
+    """The query's text is what is left; a cut character is marked."""
+    rng = random.Random(8)
+    shared = "".join(rng.choice("abcdefé ") for _ in range(500))
+    rows = [(1, "xyz" + shared + "é!"), (2, "q" + shared + "è"), (3, None), (4, "whole")]  # é and è begin with the same byte
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in queries.op3_suffix_dedup(spark, str(tmp_path)).collect()}
+    assert got[3].text == "" and got[4].text == "whole" and got[2].text == "q\ufffd" and got[1].text == "xyz\ufffd!"
+    assert got[1].kept_sha256 == hashlib.sha256(b"xyz\xa9!").hexdigest()
+
+
 def test_blocks_alone():
     rng = random.Random(9)
     for _ in range(30):
