@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import argparse
 import sys
-import time
 
 from pyspark.sql import functions as F
 
@@ -37,7 +36,7 @@ def summarise(spark, a) -> None:
     chunks = spark.read.parquet(a.chunks)
     if a.limit:
         chunks = chunks.orderBy("chunk_id").limit(a.limit)
-    out = stages.enrich_stage(chunks, a.log, int(time.time()), retry_empty=a.retry_empty)
+    out = stages.enrich_stage(chunks, a.log, retry_empty=a.retry_empty)
     sinks.write_parquet(enrich.at_rest(out), a.output)
     enrich.coverage(out).show()
 

@@ -11,8 +11,10 @@ from . import dedup, joins
 
 
 def last_records(log: DataFrame) -> DataFrame:
-    """Of each chunk_id the record with the greatest ``seq``; records without an id don't count."""
-    return dedup.first_of(log.filter("coalesce(chunk_id, '') <> ''"), ["chunk_id"], [F.col("seq").desc()]).drop("seq")
+    """Of each chunk_id the record with the greatest ``seq``, without one by place; records without an id don't count."""
+    place = [c for c in ("_file", "_block", "_row") if c in log.columns]
+    order = [F.col("seq").desc_nulls_last(), *(F.col(c).desc() for c in place)]
+    return dedup.first_of(log.filter("coalesce(chunk_id, '') <> ''"), ["chunk_id"], order).drop("seq", *place)
 
 
 def pending(chunks: DataFrame, cache: DataFrame, retry_empty: bool = False) -> DataFrame:

@@ -23,7 +23,7 @@ def scope_stage(metadata: DataFrame, content: DataFrame, settings: config.Scope
 def parse_documents(scoped: DataFrame, content: DataFrame, patterns: segment.Patterns | None = None, limits: config.Limits | None = None, to_text=html_to_text) -> DataFrame:
     """Scoped documents with records, reason and num_dieu. The join comes before the HTML is parsed."""
     docs = dedup.keep_first(scoped.withColumn("_id", F.col("id").cast("string")), ["_id"], ["id"])
-    bodies = readers.content_of(content).withColumnRenamed("id", "_id")
+    bodies = readers.content_of(content, docs.select(F.col("_id").alias("id"))).withColumnRenamed("id", "_id")
     texts = docs.join(bodies, "_id").withColumn("html", to_text(F.col("html")))
     return segment.outcome(texts.withColumn("clean_text", X.clean_text(F.col("html"))).drop("html", "_id"), patterns or segment.Patterns(), limits or config.Limits())
 
@@ -48,11 +48,12 @@ def chunk_stage(articles: DataFrame, fixes: DataFrame | None = None, most: int =
     return chunk.chunk_articles(articles, most)
 
 
-def enrich_stage(chunks: DataFrame, log_path: str, seq: int, summarise: Summariser = first_sentence_summary, retry_empty: bool = False) -> DataFrame:
+def enrich_stage(chunks: DataFrame, log_path: str, summarise: Summariser = first_sentence_summary, retry_empty: bool = False) -> DataFrame:
     """Summarises what the log lacks, appends it, and returns all chunks enriched."""
     spark = chunks.sparkSession
-    cache = enrich.last_records(readers.read_summary_log(spark, log_path))
-    sinks.append_summaries(enrich.summarise_pending(chunks, cache, summarise, retry_empty), log_path, seq)
+    log = readers.read_summary_log(spark, log_path)
+    seq = readers.next_seq(log)
+    sinks.append_summaries(enrich.summarise_pending(chunks, enrich.last_records(log), summarise, retry_empty), log_path, seq)
     return enrich.enrich(chunks, enrich.last_records(readers.read_summary_log(spark, log_path)))
 
 

@@ -22,7 +22,7 @@ ARTICLES = _schema(_ARTICLE)
 FAILURES = _schema("doc_id string, title string, num_dieu int, reason string, text_preview string")
 _CHUNK = _ARTICLE + ", breadcrumb string, chunk_id string, part_idx int, chunk_text string"
 CHUNKS = _schema(_CHUNK)
-#: ``seq`` is the position in the log; the last record of a chunk counts.
+#: ``seq`` numbers the appends; the last record of a chunk counts.
 SUMMARY_LOG = _schema("chunk_id string, short string, key array<string>, seq long")
 ENRICHED = _schema(_CHUNK + ", short string, key array<string>, enriched_text string")
 NODES = _schema("node_id string, type string, attributes map<string,string>")

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import schemas
+from ..operators import dedup
 
 #: What a source may be called, in the order in which it is looked for.
 CANDIDATES = ("content.parquet", "content.jsonl", "content.json", "content.jsonl.gz")
@@ -44,9 +46,16 @@ def read_ids(spark: SparkSession, path: str, key: str = "id") -> DataFrame:
     return spark.read.parquet(path).select(F.col(key).cast("string").alias(key))
 
 
-def with_ordinal(df: DataFrame) -> DataFrame:
-    """Adds _file and _row: the place of each row in its Parquet file, to order by."""
-    return df.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+PLACE = ("_file", "_block", "_row")
+
+
+def with_place(df: DataFrame) -> DataFrame:
+    """Adds _file, _block and _row: rows ordered by them stand as in their files. Tables that aren't files have one place order."""
+    row = F.monotonically_increasing_id().alias("_row")
+    try:
+        return df.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), row)
+    except AnalysisException:  # not a scan
+        return df.select("*", F.lit("").alias("_file"), F.lit(0).cast("long").alias("_block"), row)
 
 
 def read_fixes(spark: SparkSession, path: str) -> DataFrame:
@@ -61,24 +70,34 @@ def read_fixes(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_summary_log(spark: SparkSession, path: str) -> DataFrame:
-    """chunk_id, short, key, seq of the lines that are whole records with an id. Missing log: an empty table.
+    """chunk_id, short, key, seq and the place of the lines that are whole records with an id. Missing log: an empty table.
 
-    Logs written here carry ``seq``. For others the line's place in its file counts.
+    Appends made here carry ``seq``, from 1 up; lines that another program wrote have none and come before them, by place.
     """
     if not exists(spark, path):
-        return spark.createDataFrame([], schemas.SUMMARY_LOG)
-    lines = spark.read.text(path).filter("trim(value) <> ''").withColumn("_order", F.monotonically_increasing_id())
+        return with_place(spark.createDataFrame([], schemas.SUMMARY_LOG))
+    lines = with_place(spark.read.text(path).filter("trim(value) <> ''"))
     record = F.from_json("value", schemas.SUMMARY_LOG, {"mode": "PERMISSIVE"})
     rows = lines.withColumn("r", record).filter("r is not null and coalesce(r.chunk_id, '') <> ''")
-    return rows.select("r.chunk_id", F.coalesce("r.short", F.lit("")).alias("short"), F.coalesce("r.key", F.array().cast("array<string>")).alias("key"), F.coalesce("r.seq", F.col("_order")).alias("seq"))
+    return rows.select("r.chunk_id", F.coalesce("r.short", F.lit("")).alias("short"), F.coalesce("r.key", F.array().cast("array<string>")).alias("key"), "r.seq", *PLACE)
+
 
+def next_seq(log: DataFrame) -> int:
+    """The number of the append after all that the log holds."""
+    return 1 + (log.agg(F.max("seq")).first()[0] or 0)
 
-def content_of(content: DataFrame) -> DataFrame:
-    """id (string) and html: content_html, else content, else ''; one row per id."""
+
+def content_of(content: DataFrame, ids: DataFrame | None = None) -> DataFrame:
+    """id (string) and html: content_html, else content, else ''. Of an id's rows the first with a body counts.
+
+    ``ids`` (a table with id): only these are looked up. The others go before any body is shuffled.
+    """
     have = set(content.columns)
     parts = [F.nullif(F.col(c), F.lit("")) for c in ("content_html", "content") if c in have]
-    rows = content.select(F.col("id").cast("string").alias("id"), F.coalesce(*parts, F.lit("")).alias("html"))
-    return rows.groupBy("id").agg(F.min("html").alias("html"))
+    rows = with_place(content).select(F.col("id").cast("string").alias("id"), F.coalesce(*parts, F.lit("")).alias("html"), *PLACE)
+    if ids is not None:
+        rows = rows.join(ids.select(F.col("id").cast("string").alias("id")).distinct(), "id", "left_semi")
+    return dedup.first_of(rows, ["id"], [(F.col("html") == "").asc(), *(F.col(c).asc() for c in PLACE)]).select("id", "html")
 
 
 @dataclass(frozen=True)

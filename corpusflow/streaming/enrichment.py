@@ -17,9 +17,9 @@ from ..sources import readers, sinks
 
 def start(spark: SparkSession, chunks_path: str, log_path: str, checkpoint: str, summarise: Summariser = first_sentence_summary, files_per_batch: int = 100) -> StreamingQuery:
     def batch(df: DataFrame, number: int) -> None:
-        cache = enrich.last_records(readers.read_summary_log(df.sparkSession, log_path))
-        new = enrich.summarise_pending(df.dropDuplicates(["chunk_id"]), cache, summarise)
-        sinks.append_summaries(new, log_path, number)
+        log = readers.read_summary_log(df.sparkSession, log_path)
+        new = enrich.summarise_pending(df.dropDuplicates(["chunk_id"]), enrich.last_records(log), summarise)
+        sinks.append_summaries(new, log_path, readers.next_seq(log))
 
     stream = spark.readStream.schema(schemas.CHUNKS).option("maxFilesPerTrigger", files_per_batch).parquet(chunks_path)
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

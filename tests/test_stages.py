@@ -122,9 +122,9 @@ def chunks(spark, n):
 
 def test_resumed_enrichment_equals_one_run(spark, tmp_path):
     one, two = str(tmp_path / "one"), str(tmp_path / "two")
-    whole = stages.enrich_stage(chunks(spark, 6), one, 1)
-    stages.enrich_stage(chunks(spark, 3), two, 1)
-    resumed = stages.enrich_stage(chunks(spark, 6), two, 2)
+    whole = stages.enrich_stage(chunks(spark, 6), one)
+    stages.enrich_stage(chunks(spark, 3), two)
+    resumed = stages.enrich_stage(chunks(spark, 6), two)
     assert sorted(map(str, whole.collect())) == sorted(map(str, resumed.collect())) and resumed.count() == 6
     assert readers.read_summary_log(spark, two).count() == 6
     assert enrich.coverage(whole).first().short_rate == 1.0
@@ -136,6 +136,29 @@ def test_log_survives_bad_lines(spark, tmp_path):
     assert [(r.chunk_id, r.short, r.key) for r in rows] == [("a", "2", ["k"])]
 
 
+def test_the_last_append_wins_over_foreign_logs(spark, tmp_path):
+    log = tmp_path / "log"
+    log.mkdir()
+    line = lambda c, s: json.dumps({"chunk_id": c, "short": s, "key": []}) + "\n"
+    (log / "a.json").write_text(line("x", "1") + line("y", "1") + line("z", "1"), encoding="utf-8")
+    (log / "b.json").write_text(line("y", "2") + line("x", "2") + line("x", "3"), encoding="utf-8")
+    read = lambda: {r.chunk_id: r.short for r in enrich.last_records(readers.read_summary_log(spark, str(log))).collect()}
+    assert read() == {"x": "3", "y": "2", "z": "1"}
+    for short in ("4", "5"):  # appends count after all lines before them, however soon they follow each other
+        new = spark.createDataFrame([("x", short, [])], "chunk_id string, short string, key array<string>")
+        sinks.append_summaries(new, str(log), readers.next_seq(readers.read_summary_log(spark, str(log))))
+        assert read() == {"x": short, "y": "2", "z": "1"}
+
+
+def test_the_first_body_of_an_id_counts(spark, tmp_path):
+    rows = [(1, "<p>law</p>"), (1, ""), (1, None), (2, ""), (2, "b"), (2, "c"), (3, None), (4, "a")]
+    spark.createDataFrame(rows, schemas.CONTENT).coalesce(1).write.parquet(str(tmp_path / "c"))
+    for content in (spark.createDataFrame(rows, schemas.CONTENT), spark.read.parquet(str(tmp_path / "c"))):
+        assert {r.id: r.html for r in readers.content_of(content).collect()} == {"1": "<p>law</p>", "2": "b", "3": "", "4": "a"}
+        some = readers.content_of(content, spark.createDataFrame([("2",), ("9",), ("2",)], "id string"))
+        assert [tuple(r) for r in some.collect()] == [("2", "b")]
+
+
 def test_stream_summarises_each_chunk_once(spark, tmp_path):
     empty = {f.name: "" for f in schemas.CHUNKS} | dict(start_char=0, end_char=0, part_idx=0)
     row = lambda i: tuple((empty | dict(chunk_id=f"c{i}", chunk_text=f"Câu {i}."))[f.name] for f in schemas.CHUNKS)
