@@ -1,15 +1,32 @@
-"""BM25 (Okapi) as postings tables and one join."""
+"""BM25 (Okapi) over a stored postings table.
+
+``build_index`` reads and splits the texts once. A search joins postings with the queries' terms; the terms are broadcast if
+they are few enough (counted), else the postings of frequent terms are salted. With very many hits, only documents that can
+still be among the k best are scored in full: the terms that together cannot lift a document to the k-th score found by the
+query's strongest terms alone add to the candidates of the others, but make none (max-score pruning).
+"""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..scratch import Scratch
 from . import dedup
 
+#: Query terms that are broadcast at most.
+MOST_TERMS = 200_000
+#: Postings of a term in one task, where terms are too many to broadcast.
+SALT_ROWS = 1_000_000
+#: Hits (postings times queries that ask for their term) up to which pruning isn't worth its passes.
+PRUNE_FROM = 500_000_000
+#: A score below the k-th by this much is no tie after rounding.
+MARGIN = 1e-5
+
 
 def terms_of(text: Column) -> Column:
     """Lower-case whitespace tokens: the default word segmentation."""
@@ -18,46 +35,91 @@ def terms_of(text: Column) -> Column:
 
 @dataclass
 class LexicalIndex:
-    """postings(term, key, tf), terms(term, idf), sizes(key, dl), and the corpus totals."""
+    """postings(key, dl, term, tf), terms(term, df, idf), and the corpus totals."""
 
     postings: DataFrame
     terms: DataFrame
-    sizes: DataFrame
     n_docs: int
     avgdl: float
     key: str
 
 
-def build_index(docs: DataFrame, key: str, text: str, tokenise=terms_of, epsilon: float = 0.25) -> LexicalIndex:
-    """Terms in more than half of the documents have a negative idf; it is replaced by epsilon times the mean idf."""
+def build_index(docs: DataFrame, key: str, text: str, tokenise=terms_of, epsilon: float = 0.25, scratch: Scratch | None = None) -> LexicalIndex:
+    """Terms in more than half of the documents have a negative idf; it is replaced by epsilon times the mean idf.
+
+    Postings and terms are scratch tables: texts are read once.
+    """
+    scratch = scratch or Scratch(docs.sparkSession, "bm25")
     tokens = docs.select(F.col(key), tokenise(F.coalesce(F.col(text), F.lit(""))).alias("tokens"))
-    sizes = tokens.select(key, F.size("tokens").cast("long").alias("dl"))
-    n, total = sizes.agg(F.count("*"), F.coalesce(F.sum("dl"), F.lit(0))).first()
-    postings = tokens.select(key, F.explode("tokens").alias("term")).groupBy("term", key).agg(F.count("*").alias("tf"))
+    exploded = tokens.select(key, F.size("tokens").cast("long").alias("dl"), F.explode("tokens").alias("term"))
+    postings = scratch.table(exploded.groupBy(key, "dl", "term").agg(F.count("*").alias("tf")))
+    n, total = docs.count(), postings.agg(F.coalesce(F.sum("tf"), F.lit(0))).first()[0]
     raw = postings.groupBy("term").agg(F.count("*").alias("df")).withColumn("raw", F.log(F.lit(n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    raw = scratch.table(raw)
     mean = raw.agg(F.avg("raw")).first()[0] or 0.0
-    terms = raw.select("term", F.when(F.col("raw") < 0, epsilon * mean).otherwise(F.col("raw")).alias("idf"))
-    return LexicalIndex(postings, terms, sizes, n, (total / n) if n else 0.0, key)
+    terms = raw.select("term", "df", F.when(F.col("raw") < 0, epsilon * mean).otherwise(F.col("raw")).alias("idf"))
+    return LexicalIndex(postings, terms, n, (total / n) if n else 0.0, key)
 
 
 def save(index: LexicalIndex, path: str) -> None:
     """Tables under ``path``; a later run loads them instead of tokenising again."""
-    for name in ("postings", "terms", "sizes"):
+    for name in ("postings", "terms"):
         getattr(index, name).write.mode("overwrite").parquet(f"{path}/{name}")
-    index.sizes.sparkSession.createDataFrame([(index.n_docs, index.avgdl, index.key)], "n_docs long, avgdl double, key string").coalesce(1).write.mode("overwrite").parquet(f"{path}/totals")
+    index.terms.sparkSession.createDataFrame([(index.n_docs, index.avgdl, index.key)], "n_docs long, avgdl double, key string").coalesce(1).write.mode("overwrite").parquet(f"{path}/totals")
 
 
 def load(spark, path: str) -> LexicalIndex:
-    postings, terms, sizes, totals = (spark.read.parquet(f"{path}/{name}") for name in ("postings", "terms", "sizes", "totals"))
+    postings, terms, totals = (spark.read.parquet(f"{path}/{name}") for name in ("postings", "terms", "totals"))
     t = totals.first()
-    return LexicalIndex(postings, terms, sizes, t.n_docs, t.avgdl, t.key)
+    return LexicalIndex(postings, terms, t.n_docs, t.avgdl, t.key)
+
+
+def _with_terms(postings: DataFrame, asked: DataFrame, few: bool) -> DataFrame:
+    """Postings joined with asked terms (term, df, ...)."""
+    if few:
+        return postings.join(F.broadcast(asked), "term")
+    salts = F.ceil(F.col("df") / SALT_ROWS).cast("int")
+    dealt = asked.select("*", F.explode(F.sequence(F.lit(0), salts - 1)).alias("_salt"))
+    frequent = postings.join(asked.select("term", salts.alias("_salts")).distinct(), "term")
+    return frequent.withColumn("_salt", F.pmod(F.xxhash64("tf", "dl", F.monotonically_increasing_id()), "_salts").cast("int")).join(dealt, ["term", "_salt"]).drop("_salt", "_salts")
 
 
-def search(index: LexicalIndex, queries: DataFrame, query_key: str, query_text: str, k: int = 50, k1: float = 1.5, b: float = 0.75, tokenise=terms_of) -> DataFrame:
+def search(index: LexicalIndex, queries: DataFrame, query_key: str, query_text: str, k: int = 50, k1: float = 1.5, b: float = 0.75, tokenise=terms_of, scratch: Scratch | None = None, prune_from: int = PRUNE_FROM) -> DataFrame:
     """query_key, key, score, rank: the k best of each query. Repeated query tokens count again. Ties go to the smaller key."""
+    scratch = scratch or Scratch(queries.sparkSession, "bm25")
     asked = queries.select(F.col(query_key), F.explode(tokenise(F.coalesce(F.col(query_text), F.lit("")))).alias("term")).groupBy(query_key, "term").agg(F.count("*").alias("qtf"))
-    weighted = asked.join(index.terms, "term")
-    hits = index.postings.join(weighted, "term").join(index.sizes, index.key)
-    part = F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(index.avgdl)))
-    scores = hits.groupBy(query_key, index.key).agg(F.round(F.sum(part), 6).alias("score"))
-    return dedup.top_k(scores, [query_key], [F.col("score").desc(), F.col(index.key).asc()], k)
+    asked = scratch.table(asked.join(index.terms, "term").withColumn("weight", F.col("qtf") * F.col("idf")).drop("qtf", "idf"))
+    n_terms, n_hits, least = asked.agg(F.count("*"), F.coalesce(F.sum("df"), F.lit(0)), F.coalesce(F.min("weight"), F.lit(0.0))).first()
+    few = n_terms <= MOST_TERMS
+    part = F.col("weight") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(index.avgdl)))
+    best = [F.col("score").desc(), F.col(index.key).asc()]
+
+    def scored(hits: DataFrame) -> DataFrame:
+        return hits.groupBy(query_key, index.key).agg(F.round(F.sum("part"), 6).alias("score"))
+
+    def parts(terms: DataFrame) -> DataFrame:
+        return _with_terms(index.postings, terms, few).select(query_key, index.key, part.alias("part"))
+
+    if n_hits <= prune_from or least < 0:  # a negative weight would break the bounds
+        return dedup.top_k(scored(parts(asked)), [query_key], best, k)
+    # no posting of a term adds more than its weight times (k1 + 1)
+    upper = F.col("weight") * (k1 + 1)
+    order = W.partitionBy(query_key).orderBy("df", "term")
+    rare_first = asked.withColumn("_seen", F.sum("df").over(order) - F.col("df"))
+    # the rarest terms, until they have met 20 k documents: their k-th score is a lower bound of the final one
+    seeds = rare_first.filter(F.col("_seen") < 20 * k).drop("_seen")
+    found = dedup.top_k(scored(parts(seeds)), [query_key], best, k).filter(F.col("rank") == k)
+    floor = found.select(query_key, F.col("score").alias("floor"))
+    weakest = W.partitionBy(query_key).orderBy(upper, F.col("df").desc(), "term")
+    sums = asked.withColumn("_below", F.sum(upper).over(weakest)).join(floor, query_key, "left")
+    split = scratch.table(sums.withColumn("makes", F.coalesce(F.col("_below") >= F.col("floor") - MARGIN, F.lit(True))).drop("_below", "floor"))
+    strong = parts(split.filter("makes").drop("makes"))
+    held = scratch.table(strong.groupBy(query_key, index.key).agg(F.sum("part").alias("part")))
+    # a candidate must come within reach of the floor with all that the weak terms can add
+    reach = split.filter("not makes").groupBy(query_key).agg(F.sum(upper).alias("reach"))
+    able = held.join(reach, query_key, "left").join(floor, query_key, "left").filter("floor is null or part + coalesce(reach, 0.0) >= floor - 1e-5").select(query_key, index.key, "part")
+    able = scratch.table(able)
+    wanted = able.select(index.key).distinct()
+    weak = _with_terms(index.postings.join(wanted, index.key, "left_semi"), split.filter("not makes").drop("makes"), few).select(query_key, index.key, part.alias("part"))
+    more = weak.join(able.select(query_key, index.key), [query_key, index.key], "left_semi")
+    return dedup.top_k(scored(able.unionByName(more)), [query_key], best, k)

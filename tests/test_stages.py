@@ -306,6 +306,24 @@ def test_index_is_saved_and_loaded(spark, tmp_path):
     assert lexical.search(lexical.load(spark, str(tmp_path)), q, "id", "q").collect() == want and want[0].k == "b"
 
 
+def test_pruned_search_equals_the_whole(spark):
+    from corpusflow.operators import lexical
+
+    rng = random.Random(5)
+    weights = [1 / (i + 1) for i in range(300)]
+    text = lambda n: " ".join(rng.choices([f"w{i}" for i in range(300)], weights, k=n))
+    docs = spark.createDataFrame([(i, text(rng.randrange(0, 60))) for i in range(800)] + [(900, None)], "k long, t string")
+    q = spark.createDataFrame([(i, text(rng.randrange(0, 25))) for i in range(40)] + [(99, None)], "id int, q string")
+    index = lexical.build_index(docs, "k", "t")
+    found = [sorted(map(tuple, lexical.search(index, q, "id", "q", 3, prune_from=p).collect())) for p in (0, 10**12)]
+    assert found[0] == found[1] and len(found[0]) > 100
+    lexical_few, lexical.MOST_TERMS = lexical.MOST_TERMS, 0  # terms too many to broadcast
+    try:
+        assert sorted(map(tuple, lexical.search(index, q, "id", "q", 3).collect())) == found[1]
+    finally:
+        lexical.MOST_TERMS = lexical_few
+
+
 def test_stages_from_a_shell(spark, tmp_path, monkeypatch):
     from corpusflow import cli
 
