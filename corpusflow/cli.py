@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from . import config, schemas
 from .functions.html import html_to_text
-from .operators import diagnose, enrich, evaluate, segment
+from .operators import diagnose, enrich, evaluate, lexical, segment
 from .plans import stages
+from .scratch import Scratch
 from .session import session
 from .sources import readers, settings, sinks
 
@@ -48,10 +49,25 @@ def graph(spark, a) -> None:
     sinks.write_parquet(edges, f"{a.output}/edges")
 
 
+def index(spark, a) -> None:
+    enriched = spark.read.parquet(a.enriched)
+    lexical.save(lexical.build_index(enriched, "chunk_id", "enriched_text"), f"{a.output}/bm25")
+    stages.vectors_stage(enriched.withColumn("key", F.from_json("key", "array<string>")), f"{a.output}/vectors")
+
+
 def answer(spark, a) -> None:
     questions = readers.read_table(spark, a.questions, schema=schemas.QUESTIONS)
-    hits = stages.retrieve(questions, spark.read.parquet(a.enriched), spark.read.parquet(f"{a.graph}/edges"))
-    print(sinks.write_submission(stages.answer_stage(questions, hits), a.output))
+    enriched, edges, nodes = spark.read.parquet(a.enriched), spark.read.parquet(f"{a.graph}/edges"), spark.read.parquet(f"{a.graph}/nodes")
+    names = nodes.filter("type = 'Document'").select("node_id", F.col("attributes")["ten"].alias("name"))
+    bm25, vectors = (lexical.load(spark, f"{a.index}/bm25"), spark.read.parquet(f"{a.index}/vectors")) if a.index else (None, None)
+
+    def some(part):
+        scratch = Scratch(spark, "answer")
+        asked = stages.question_vectors(part) if a.index else None
+        hits = scratch.table(stages.retrieve(part, enriched, edges, vectors, asked, index=bm25))
+        return stages.generate_stage(part, hits, edges, names) if a.generate else stages.answer_stage(part, hits)
+
+    print(sinks.write_submission(stages.answer_in_parts(questions, f"{a.output}/records", some, a.part), a.output))
 
 
 def score(spark, a) -> None:
@@ -73,7 +89,8 @@ STAGES = {
     chunk: dict(articles=None, output=None, fixes="", max_tokens=1024),
     summarise: dict(chunks=None, log=None, output=None, limit=0, retry_empty=False),
     graph: dict(scoped=None, enriched=None, relationships=None, output=None),
-    answer: dict(questions=None, enriched=None, graph=None, output=None),
+    index: dict(enriched=None, output=None),
+    answer: dict(questions=None, enriched=None, graph=None, output=None, index="", part=50, generate=False),
     score: dict(results=None, gold=None),
     failures: dict(failures=None, content=None, articles=None, sample=10, seed=42),
 }

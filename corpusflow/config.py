@@ -74,6 +74,28 @@ SUMMARY_PROMPT = """Hãy tạo HAI tóm tắt cho điều luật dưới đây:
    (đối tượng áp dụng, nghĩa vụ, quyền, điều kiện, chế tài).
 
 Trả về JSON: {"short": "...", "key": ["...", "..."]}"""
+SUMMARY_SYSTEM = "Bạn là chuyên gia tóm tắt văn bản pháp luật Việt Nam."
+#: A model's reply: a flat JSON object with both fields, else the widest braces.
+REPLY_PATTERNS = (r'(?s)(\{[^{}]*"short"\s*:\s*"[^"]*"(?:,\s*"key"\s*:\s*\[[^\]]*\])?[^{}]*\})', r"(?s)(\{.*\})")
+ANSWER_SYSTEM = """Bạn là Trợ lý Pháp lý cho doanh nghiệp nhỏ và vừa (SME) tại Việt Nam.
+Bạn CHỈ được dùng các CĂN CỨ PHÁP LUẬT được cung cấp; tuyệt đối không
+bịa ra điều luật hay văn bản khác. Luôn trích dẫn dưới dạng "Điều X của
+<Tên văn bản>". Khi căn cứ không đủ → nói rõ và đề xuất tham vấn chuyên gia."""
+RELATIONS_HEADING = "QUAN HỆ VĂN BẢN LIÊN QUAN (từ knowledge graph):"
+ANSWER_PROMPT = """CÂU HỎI: {question}
+
+CĂN CỨ PHÁP LUẬT TOP-{K}:
+{contexts}
+
+QUAN HỆ VĂN BẢN LIÊN QUAN (từ knowledge graph):
+{graph_context}
+
+Hãy trả lời theo cấu trúc:
+1) KẾT LUẬN NGẮN GỌN (2-3 câu)
+2) PHÂN TÍCH CHI TIẾT — mỗi luận điểm trích dẫn "Điều X của <Tên văn bản>"
+3) LƯU Ý TUÂN THỦ / RỦI RO (nếu có)
+4) CẢNH BÁO: "Thông tin mang tính tham khảo, không thay thế tư vấn pháp lý chính thức."
+"""
 # --- end of fixed values ------------------------------------------------------------------------
 
 
@@ -103,6 +125,16 @@ class Retrieval:
     b: float = 0.75
 
 
+@dataclass(frozen=True)
+class Decoding:
+    """What a model behind a Generator is asked for."""
+
+    max_new_tokens: int = 900
+    do_sample: bool = False
+    temperature: float = 0.1
+    repetition_penalty: float = 1.05
+
+
 @dataclass(frozen=True)
 class Limits:
     min_body: int = 30

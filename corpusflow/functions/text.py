@@ -5,6 +5,7 @@ Regexes over Unicode text take the flags d (only newline ends a line), m, i, u a
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -169,14 +170,18 @@ def _reply(candidate: Column) -> Column:
 
 def summary_reply(reply: Column) -> Column:
     """struct(short, key) from a model's reply: the first flat JSON object with both fields, else the widest braces; else null."""
-    strict = F.regexp_extract(reply, r'(?s)(\{[^{}]*"short"\s*:\s*"[^"]*"(?:,\s*"key"\s*:\s*\[[^\]]*\])?[^{}]*\})', 1)
-    widest = F.regexp_extract(reply, r"(?s)(\{.*\})", 1)
+    strict, widest = (F.regexp_extract(reply, p, 1) for p in config.REPLY_PATTERNS)
     return F.coalesce(_reply(strict), _reply(widest))
 
 
 def summary_prompt(text: Column, most: int) -> Column:
-    head, _, tail = config.SUMMARY_PROMPT.partition("{text}")
-    return F.concat(F.lit(head), F.substring(text, 1, most), F.lit(tail))
+    return filled(config.SUMMARY_PROMPT, text=F.substring(text, 1, most))
+
+
+def filled(template: str, **values: Column) -> Column:
+    """The template with each {name} replaced by its column; the columns' own braces stay."""
+    parts = re.split(r"\{(" + "|".join(values) + r")\}", template)
+    return F.concat(*(values[x] if i % 2 else F.lit(x) for i, x in enumerate(parts)))
 
 
 def law_numbers(text: Column, pattern: str = config.LAW_NUMBER_PATTERN) -> Column:

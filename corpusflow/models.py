@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import functools
+import hashlib
 from typing import Protocol
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import config
 from .functions import text as X
 
 
@@ -15,6 +20,16 @@ class Summariser(Protocol):
         """chunk_id, chunk_text -> chunk_id, short, key."""
 
 
+class Embedder(Protocol):
+    def __call__(self, text: Column) -> Column:
+        """A vector (array<double>) of fixed length."""
+
+
+class Generator(Protocol):
+    def __call__(self, prompts: DataFrame) -> DataFrame:
+        """qid, system, prompt -> qid, answer. Decoding must be greedy: equal prompts give equal answers."""
+
+
 class Reranker(Protocol):
     def __call__(self, question: Column, text: Column) -> Column:
         """A relevance in [0, 1]."""
@@ -26,6 +41,41 @@ def first_sentence_summary(chunks: DataFrame, most_points: int = 5, most_chars:
     return chunks.select("chunk_id", F.coalesce(F.try_element_at(X.sentences(text), F.lit(1)), F.lit("")).alias("short"), F.slice(X.clauses(text), 1, most_points).alias("key"))
 
 
+#: Places of ``word_counts``: a word's place is its MD5's first hexadecimal digits.
+WORD_PLACES = 256
+
+
+def word_counts(text: Column) -> Column:
+    """How often words of each hash occur: a stand-in for an embedding model, the same in every language that knows MD5."""
+
+    @F.pandas_udf("array<double>")
+    def count(texts: pd.Series) -> pd.Series:
+        place = functools.cache(lambda w: int(hashlib.md5(w.encode(), usedforsecurity=False).hexdigest()[:2], 16))
+        return texts.map(lambda t: np.bincount([place(w) for w in (t or "").split()], minlength=WORD_PLACES).astype(float))
+
+    return count(F.array_join(X.tokens(F.lower(F.coalesce(text, F.lit("")))), " "))
+
+
+def first_context_answer(prompts: DataFrame) -> DataFrame:
+    """A generator without a model: the first context of the prompt with its heading, and the disclaimer."""
+    context = F.regexp_extract("prompt", r"(?s)\n\[1\] (.*?)(?:\n\n\[2\] |\n\n" + config.RELATIONS_HEADING.replace("(", r"\(").replace(")", r"\)") + ")", 1)
+    return prompts.select("qid", F.concat(F.lit("1) "), context, F.lit("\n4) " + config.DISCLAIMER)).alias("answer"))
+
+
+def pandas_generator(generate):
+    """Wraps ``generate(system prompts, user prompts) -> answers`` (a model loaded once per worker) as a Generator."""
+
+    def answer(prompts: DataFrame) -> DataFrame:
+        def run(batches):
+            for pdf in batches:
+                yield pd.DataFrame({"qid": pdf["qid"], "answer": generate(list(pdf["system"]), list(pdf["prompt"]))})
+
+        qid = prompts.schema["qid"].dataType.simpleString()
+        return prompts.select("qid", "system", "prompt").mapInPandas(run, f"qid {qid}, answer string")
+
+    return answer
+
+
 def lexical_overlap(question: Column, text: Column) -> Column:
     """The share of the question's distinct lower-case tokens that the text has."""
     asked, held = F.array_distinct(X.tokens(F.lower(question))), F.array_distinct(X.tokens(F.lower(text)))
@@ -36,8 +86,6 @@ def pandas_summariser(generate, max_input_chars: int = 3000):
     """Wraps ``generate(list of prompts) -> list of replies`` (a model loaded once per worker) as a Summariser."""
 
     def summarise(chunks: DataFrame) -> DataFrame:
-        import pandas as pd
-
         def run(batches):
             for pdf in batches:
                 yield pd.DataFrame({"chunk_id": pdf["chunk_id"], "reply": generate(list(pdf["prompt"]))})

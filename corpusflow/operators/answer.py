@@ -42,6 +42,15 @@ def graph_contexts(hits: DataFrame, edges: DataFrame, documents: DataFrame, show
     return hits.select("qid").distinct().join(lists, "qid", "left").withColumn("graph_context", F.coalesce("graph_context", F.lit(none)))
 
 
+def prompts(questions: DataFrame, hits: DataFrame, edges: DataFrame, documents: DataFrame, most_chars: int = 1500) -> DataFrame:
+    """qid, system, prompt of every question with hits. questions: id, question."""
+    k = hits.groupBy("qid").agg(F.count("*").cast("string").alias("k"))
+    rows = contexts(hits, most_chars).join(graph_contexts(hits, edges, documents), "qid").join(k, "qid")
+    rows = rows.join(questions.select(F.col("id").alias("qid"), F.coalesce("question", F.lit("")).alias("question")), "qid")
+    c = F.col
+    return rows.select("qid", F.lit(config.ANSWER_SYSTEM).alias("system"), X.filled(config.ANSWER_PROMPT, question=c("question"), K=c("k"), contexts=c("contexts"), graph_context=c("graph_context")).alias("prompt"))
+
+
 def _cited(answer: Column, number: Column, strict: bool) -> Column:
     if strict:  # 'Điều 1' is not found inside 'Điều 13'
         return F.rlike(answer, F.concat(F.lit("(?iuU)"), X.quoted(number), F.lit("(?![0-9a-zđ])")))

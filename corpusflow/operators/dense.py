@@ -1,31 +1,102 @@
-"""Exact inner-product search. Queries are few: they are broadcast in blocks of a fixed size, and the corpus is scanned once per block."""
+"""Exact inner-product search over the two vector indexes of the enriched chunks, one of summaries and one of full texts.
+
+Queries are broadcast in blocks of a fixed number of bytes. A task multiplies each Arrow batch of vectors with a block and keeps
+its own k best of each query, so k rows per query and task go on, not a row per query and vector.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..functions import text as X
 from ..functions import vectors as V
+from ..models import Embedder, word_counts
 from . import dedup
 
-#: Queries in one broadcast block.
-BLOCK = 1000
+#: Bytes of the queries in one broadcast block (8 a component).
+BLOCK_BYTES = 32 << 20
+#: Scores worked out at once.
+SCORES = 4_000_000
+
+
+def summary_text(short: Column, key: Column) -> Column:
+    """What the summary index holds of a chunk: the short summary and the key points."""
+    return X.strip(F.concat_ws(" ", F.coalesce(short, F.lit("")), F.array_join(key, " ")))
+
+
+def build_vectors(enriched: DataFrame, embed: Embedder = word_counts) -> DataFrame:
+    """chunk_id, summary, full: both vectors of unit length. Write it as Parquet to keep it."""
+    texts = enriched.select("chunk_id", summary_text(F.col("short"), F.col("key")).alias("_short"), F.coalesce("enriched_text", F.lit("")).alias("_full"))
+    return texts.select("chunk_id", V.normalise(embed(F.col("_short"))).alias("summary"), V.normalise(embed(F.col("_full"))).alias("full"))
+
+
+def matrix(column: pa.Array) -> np.ndarray:
+    """Vectors of one length as rows, in double precision."""
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    return flat.reshape(len(column), -1) if len(flat) else np.zeros((len(column), 0))
+
 
+def _units(m: np.ndarray) -> np.ndarray:
+    length = np.sqrt((m * m).sum(1, keepdims=True))
+    return np.divide(m, length, out=m.copy(), where=length > 0)
 
-def search(vectors: DataFrame, queries: DataFrame, key: str, vector: str, query_key: str, query_vector: str, k: int = 50, normalised: bool = True) -> DataFrame:
-    """query_key, key, score, rank. With ``normalised`` both sides are brought to unit length first."""
-    unit = V.normalise if normalised else (lambda c: c)
-    corpus = vectors.select(F.col(key), unit(F.col(vector)).alias("_v"))
-    asked = queries.select(F.col(query_key), unit(F.col(query_vector)).alias("_q"))
-    blocks = max(1, -(-asked.count() // BLOCK))
+
+def _block(corpus: DataFrame, asked: pa.Table, key: str, query_key: str, k: int, normalised: bool, schema: T.StructType) -> DataFrame:
+    names = asked[query_key].combine_chunks()
+    questions = matrix(asked["_q"].combine_chunks())
+    sent = corpus.sparkSession.sparkContext.broadcast((names, _units(questions) if normalised else questions))
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, questions = sent.value
+        held: pa.Table | None = None
+        floor = np.full(len(questions), -np.inf)
+        step = max(1, SCORES // max(1, len(questions)))
+
+        def cut(t: pa.Table) -> pa.Table:
+            """The k best of each query, ties by key."""
+            t = t.sort_by([("q", "ascending"), ("score", "descending"), (key, "ascending")])
+            q = t["q"].to_numpy()
+            first = np.flatnonzero(np.concatenate([[True], q[1:] != q[:-1]])) if len(q) else np.zeros(0, np.int64)
+            place = np.arange(len(q)) - np.repeat(first, np.diff(np.concatenate([first, [len(q)]])))
+            full = np.flatnonzero(place == k - 1)
+            floor[q[full]] = t["score"].to_numpy()[full]
+            return t.filter(pa.array(place < k))
+
+        for b in batches:
+            for lo in range(0, b.num_rows, step):
+                some = b.slice(lo, step)
+                vectors = matrix(some.column(1))
+                if not vectors.shape[1]:
+                    continue
+                scores = np.round((_units(vectors) if normalised else vectors) @ questions.T, 6)
+                row, q = np.nonzero(scores >= floor)
+                if len(row):
+                    new = pa.table({"q": q, key: some.column(0).take(pa.array(row)), "score": scores[row, q]})
+                    held = cut(pa.concat_tables([held, new]) if held is not None else new)
+        if held is not None and held.num_rows:
+            out = pa.table([names.take(held["q"].combine_chunks()), held[key].combine_chunks(), held["score"].combine_chunks()], names=[query_key, key, "score"])
+            yield from out.combine_chunks().to_batches()
+
+    return corpus.mapInArrow(best, schema)
+
+
+def search(vectors: DataFrame, queries: DataFrame, key: str, vector: str, query_key: str, query_vector: str, k: int = 50, normalised: bool = True, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """query_key, key, score, rank. With ``normalised`` both sides are brought to unit length first. Null vectors match nothing."""
+    corpus = vectors.filter(F.col(vector).isNotNull()).select(F.col(key), F.col(vector).alias("_v"))
+    asked = queries.filter(F.col(query_vector).isNotNull()).select(F.col(query_key), F.col(query_vector).alias("_q"))
+    n, longest = asked.agg(F.count("*"), F.coalesce(F.max(F.size("_q")), F.lit(1))).first()
+    blocks = max(1, -(-n * longest * 8 // block_bytes))
+    fields = {f.name: f.dataType for f in [*corpus.schema.fields, *asked.schema.fields]}
+    schema = T.StructType([T.StructField(query_key, fields[query_key]), T.StructField(key, fields[key]), T.StructField("score", T.DoubleType())])
     parts = []
     for i in range(blocks):
         some = asked if blocks == 1 else asked.filter(F.pmod(F.xxhash64(query_key), F.lit(blocks)) == i)
-        held = F.broadcast(some.agg(F.collect_list(F.struct(query_key, "_q")).alias("_block")))
-        pairs = corpus.join(held).select(key, "_v", F.explode("_block").alias("_x"))
-        scores = pairs.select(F.col(f"_x.{query_key}").alias(query_key), key, F.round(V.dot(F.col("_v"), F.col("_x._q")), 6).alias("score"))
-        parts.append(dedup.top_k(scores, [query_key], [F.col("score").desc(), F.col(key).asc()], k))
-    return reduce(DataFrame.unionByName, parts)
-
+        parts.append(_block(corpus, some.toArrow(), key, query_key, k, normalised, schema))
+    return dedup.top_k(reduce(DataFrame.unionByName, parts), [query_key], [F.col("score").desc(), F.col(key).asc()], k)

@@ -16,6 +16,8 @@ from ..functions import text as X
 from ..functions.html import html_to_text
 from ..models import first_sentence_summary
 from ..operators import answer, chunk, dedup, dense, diagnose, enrich, evaluate, expand, fuse, gates, graph, joins, lexical, scope, segment
+from ..scratch import Scratch
+from ..sources import readers, sinks
 from . import stages
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -72,9 +74,9 @@ def in_list_null_safe(spark, sf_dir):
     return docs.filter(scope.in_list_null_as_none(F.col("kind"), ("en", "None"))).select("doc_id")
 
 
-@query("SELECT p_partkey FROM part WHERE contains(p_type, 'STEEL')")
+@query("SELECT p_partkey FROM part WHERE contains(p_type, 'AND')")
 def substring_status(spark, sf_dir):
-    return T(spark, sf_dir, "part").filter(scope.has_status(F.col("p_type"), "STEEL")).select("p_partkey")
+    return T(spark, sf_dir, "part").filter(scope.has_status(F.col("p_type"), "AND")).select("p_partkey")
 
 
 @query(r"SELECT doc_id, regexp_matches(source, '\b(src1|src2)\b') AS law_like FROM documents")
@@ -260,22 +262,58 @@ def last_span_end(spark, sf_dir):
     return d.select("doc_id", long("a.end_char").alias("n_chars"), long("a.start_char").alias("last_start"))
 
 
-@query(rf"""
-WITH m AS (SELECT doc_id, line, i, regexp_matches(line, '^[A-Ea-e][\pL\pN_]* ') AS head FROM ({LINES})),
+def _policy_sql(docs: str, more: str = "") -> str:
+    """What becomes of the documents of a table (doc_id, source, text), and ``more`` columns of it. Headings: lines that begin with a word from A to E."""
+    lines = LINES.replace("FROM documents", f"FROM {docs}")
+    return rf"""
+WITH m AS (SELECT doc_id, line, i, regexp_matches(line, '^[A-Ea-e][\pL\pN_]* ') AS head FROM ({lines})),
 g AS (SELECT *, sum(CASE WHEN head THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS part FROM m),
 b AS (SELECT doc_id, part, {STRIP.format("coalesce(string_agg(CASE WHEN NOT head THEN line END, chr(10) ORDER BY i), '')")} AS body FROM g WHERE part > 0 GROUP BY doc_id, part),
-s AS (SELECT d.doc_id, {STRIP.format("d.text")} AS bare, regexp_matches(d.source, '\b(src1|src2|src3|src4)\b') AS law, count(b.part) AS n, count(*) FILTER (WHERE length(b.body) >= 30) AS r, coalesce(sum(length(b.body)) FILTER (WHERE length(b.body) >= 30), 0) AS chars
-      FROM documents d LEFT JOIN b USING (doc_id) GROUP BY ALL),
+s AS (SELECT d.doc_id, {STRIP.format("d.text")} AS bare{more}, regexp_matches(d.source, '\b(src1|src2|src3|src4)\b') AS law, count(b.part) AS n, count(*) FILTER (WHERE length(b.body) >= 30) AS r, coalesce(sum(length(b.body)) FILTER (WHERE length(b.body) >= 30), 0) AS chars
+      FROM {docs} d LEFT JOIN b USING (doc_id) GROUP BY ALL),
 o AS (SELECT *, CASE WHEN r = 0 AND length(bare) < 30 THEN 'text_too_short_after_cleaning' WHEN n = 0 AND law THEN 'zero_dieu_law_like_doc' WHEN r = 0 AND n > 0 AND law THEN 'zero_parsable_dieu_law_like_doc' WHEN r = 1 AND law THEN 'single_dieu_law_like_doc' END AS reason FROM s)
 SELECT doc_id, reason, CASE reason WHEN 'zero_parsable_dieu_law_like_doc' THEN n WHEN 'single_dieu_law_like_doc' THEN 1 ELSE 0 END AS num_dieu,
   CASE WHEN reason IN ('text_too_short_after_cleaning', 'zero_parsable_dieu_law_like_doc') THEN 0 WHEN r = 0 THEN 1 ELSE r END AS n_records,
-  CAST(CASE WHEN reason IN ('text_too_short_after_cleaning', 'zero_parsable_dieu_law_like_doc') THEN 0 WHEN r = 0 THEN length(bare) ELSE chars END AS BIGINT) AS n_chars FROM o""")
+  CAST(CASE WHEN reason IN ('text_too_short_after_cleaning', 'zero_parsable_dieu_law_like_doc') THEN 0 WHEN r = 0 THEN length(bare) ELSE chars END AS BIGINT) AS n_chars{", clean_md5" if more else ""} FROM o"""
+
+
+POLICY = segment.Patterns(heading=r"^([A-E]\w*)( )(.*)$", headers={}, law_like=r"\b(src1|src2|src3|src4)\b")
+
+
+def _policy_columns() -> list[F.Column]:
+    chars = F.aggregate("records", F.lit(0), lambda s, a: s + F.length(a["noi_dung"]))
+    return [F.col("reason"), long("num_dieu").alias("num_dieu"), long(F.size("records")).alias("n_records"), long(chars).alias("n_chars")]
+
+
+@query(_policy_sql("documents"))
 def keep_drop_policy(spark, sf_dir):
-    p = segment.Patterns(heading=r"^([A-E]\w*)( )(.*)$", headers={}, law_like=r"\b(src1|src2|src3|src4)\b")
     d = T(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("clean_text"), F.col("source").alias("title"), F.col("source").alias("ten_van_ban"))
-    o = segment.outcome(d, p, config.Limits())
-    chars = F.aggregate("records", F.lit(0), lambda s, a: s + F.length(a["noi_dung"]))
-    return o.select("doc_id", "reason", long("num_dieu").alias("num_dieu"), long(F.size("records")).alias("n_records"), long(chars).alias("n_chars"))
+    return segment.outcome(d, POLICY, config.Limits()).select("doc_id", *_policy_columns())
+
+
+_STRIPPED = f"list_filter(list_transform(string_split(text, chr(10)), lambda x: {STRIP.format('x')}), lambda x: x <> '')"
+_CLEANED = rf"""(SELECT doc_id, source, list_filter(l, lambda x, i: i = 1 OR x <> l[i - 1]) AS k, array_to_string(k, chr(10)) AS text, md5(array_to_string(k, chr(10))) AS clean_md5
+  FROM (SELECT doc_id, source, list_transform({_STRIPPED}, lambda x: regexp_replace(x, '[ \t]+', ' ', 'g')) AS l FROM documents WHERE doc_id % 4 <> 1))"""
+
+
+@query(_policy_sql(_CLEANED, ", d.clean_md5"))
+def parse_content(spark, sf_dir):
+    """The parse stage on made-up pages: every line of a text is a paragraph, in markup with hidden parts and character references.
+
+    Metadata has three documents in four. Every fifth document's body comes after an empty and a null one, and before another;
+    every seventh has it in ``content``.
+    """
+    d, line = T(spark, sf_dir, "documents"), F.lit("</p>\n<p class='x'>")
+    escaped = F.replace(F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit("é"), F.lit("&eacute;"))
+    page = F.concat(F.lit("<html><head><style>p{}</style></head><body><!-- c --><script>if (1 < 2) x()</script><p>"), F.replace(escaped, F.lit("\n"), line), F.lit("</p></body></html>"))
+    rest = F.when(F.col("doc_id") % 5 == 0, F.array(F.lit(""), F.lit(None).cast("string"), page, F.lit("<p>later</p>"))).otherwise(F.array(page))
+    rows = d.select(F.col("doc_id").alias("id"), F.explode(rest).alias("html"))
+    seventh = F.col("id") % 7 == 0
+    content = rows.select("id", F.when(~seventh, F.col("html")).alias("content_html"), F.when(seventh, F.col("html")).otherwise("unused").alias("content"))
+    content = content.withColumn("content", F.when(F.col("content_html").isNull() & ~seventh, None).otherwise(F.when((F.col("content_html") == "") & ~seventh, "").otherwise(F.col("content"))))
+    scoped = d.filter("doc_id % 4 <> 1").select(F.col("doc_id").alias("id"), F.col("source").alias("title"), F.col("source").alias("ten_van_ban"))
+    out = stages.parse_documents(scoped, content, POLICY)
+    return out.select(F.col("id").alias("doc_id"), *_policy_columns(), F.md5("clean_text").alias("clean_md5"))
 
 
 SENTENCES = rf"list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: {STRIP.format('x')}), lambda x: x <> '')"
@@ -287,7 +325,7 @@ def sentence_split(spark, sf_dir):
     return d.select("doc_id", long(F.size("s")).alias("n_sentences"), F.md5(F.array_join("s", "|")).alias("sentences_md5"))
 
 
-@query()
+@query("SELECT doc_id, len(string_split(text, chr(10))) AS n_clauses FROM documents")
 def clause_split(spark, sf_dir):
     numbered = F.concat(F.lit("1. "), F.replace("text", F.lit("\n"), F.lit("\n2. ")))
     return T(spark, sf_dir, "documents").select("doc_id", long(F.size(X.clauses(numbered))).alias("n_clauses"))
@@ -364,6 +402,21 @@ def cache_last_wins(spark, sf_dir):
     return enrich.last_records(_log(spark, sf_dir)).select("chunk_id", "short", F.array_join("key", ",").alias("key"))
 
 
+@query("SELECT CAST(conv_id AS VARCHAR) AS chunk_id, coalesce(max_by(role || '!', turn) FILTER (WHERE turn % 2 = 0), max_by(role, turn)) AS short, coalesce(max_by(md5(text), turn) FILTER (WHERE turn % 2 = 0), max_by(md5(text), turn)) AS said FROM conversations WHERE conv_id % 10 <> 0 GROUP BY conv_id")
+def summary_log(spark, sf_dir):
+    """Last records of a log on disk: lines of another program with broken ones among them, then one append for each even turn."""
+    scratch = Scratch(spark, "log")
+    path = f"{scratch.root}/log"
+    c = T(spark, sf_dir, "conversations").select(F.when(F.col("conv_id") % 10 != 0, F.col("conv_id").cast("string")).otherwise("").alias("chunk_id"), F.col("role").alias("short"), F.array(F.md5("text")).alias("key"), "turn")
+    line = F.to_json(F.struct("chunk_id", "short", "key"))
+    foreign = c.select("turn", "chunk_id", F.explode(F.array(F.lit("{broken"), line, F.lit(" "))).alias("value"))
+    foreign.repartitionByRange(4, "chunk_id").sortWithinPartitions("chunk_id", "turn").select("value").write.text(path)
+    for turn in (r.turn for r in c.filter("turn % 2 = 0").select("turn").distinct().orderBy("turn").collect()):  # as many as a conversation has turns
+        part = c.filter(F.col("turn") == turn).withColumn("short", F.concat("short", F.lit("!")))
+        sinks.append_summaries(part, path, readers.next_seq(readers.read_summary_log(spark, path)))
+    return enrich.last_records(readers.read_summary_log(spark, path)).select("chunk_id", "short", F.element_at("key", 1).alias("said"))
+
+
 def _as_chunks(spark, sf_dir):
     return T(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("chunk_id"), F.col("text").alias("chunk_text"))
 
@@ -464,9 +517,11 @@ def _score(name: str, b: float) -> str:
   SELECT item_id, doc_id, round(sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (1 - {b} + {b} * dl / avgdl))), 6) AS score FROM post JOIN ask USING (term) JOIN idf USING (term) JOIN dl USING (doc_id), tot GROUP BY item_id, doc_id))"""
 
 
-def _bm25(spark, sf_dir, k, b=0.75):
+def _bm25(spark, sf_dir, k, *bs):
+    """A ranking for each b, from one index."""
     index = lexical.build_index(T(spark, sf_dir, "documents"), "doc_id", "text")
-    return lexical.search(index, T(spark, sf_dir, "benchmark"), "item_id", "text", k, b=b)
+    found = [lexical.search(index, T(spark, sf_dir, "benchmark"), "item_id", "text", k, b=b) for b in bs or (0.75,)]
+    return found if bs else found[0]
 
 
 @query(f"WITH {BM25}, {_score('hits', 0.75)} SELECT item_id, doc_id, score, rank FROM hits WHERE rank <= 50")
@@ -477,15 +532,9 @@ def bm25_topk(spark, sf_dir):
 @query("""
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings), u AS (SELECT vec_id, list_transform(e, lambda x: x / sqrt(list_inner_product(e, e))) AS e FROM v)
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM (
-  SELECT q.vec_id AS query_id, c.vec_id, round(list_inner_product(q.e, c.e), 6) AS score FROM u q, u c WHERE q.vec_id < 10)) WHERE rank <= 50""")
+  SELECT q.vec_id AS query_id, c.vec_id, round(list_inner_product(q.e, c.e), 6) AS score FROM u q, u c WHERE q.vec_id % 20 = 0)) WHERE rank <= 50""")
 def dense_topk(spark, sf_dir):
-    v = T(spark, sf_dir, "embeddings")
-    return dense.search(v, v.filter("vec_id < 10").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), "vec_id", "embedding", "query_id", "q")
-
-
-@query()
-def dense_topk_all(spark, sf_dir):
-    """The whole job of ``dense_topk``, whose SQL asks ten rows only: every row whose id is divisible by 20, against all rows."""
+    """Queries: every row whose id is divisible by 20, against all rows."""
     v = T(spark, sf_dir, "embeddings")
     return dense.search(v, v.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), "vec_id", "embedding", "query_id", "q")
 
@@ -494,7 +543,7 @@ FUSED = "SELECT item_id, doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS sco
 
 
 def _fused(spark, sf_dir):
-    return fuse.fuse([_bm25(spark, sf_dir, 50), _bm25(spark, sf_dir, 50, 0.0)], "item_id", "doc_id")
+    return fuse.fuse(_bm25(spark, sf_dir, 50, 0.75, 0.0), "item_id", "doc_id")
 
 
 @query(f"WITH {BM25}, {_score('a', 0.75)}, {_score('b', 0.0)} SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM ({FUSED})) WHERE rank <= 30")
@@ -502,14 +551,15 @@ def rrf_fusion(spark, sf_dir):
     return _fused(spark, sf_dir)
 
 
-@query(f"""
-WITH {BM25}, {_score('a', 0.75)}, seeds AS (SELECT item_id AS qid, a.doc_id, score AS s, source FROM a JOIN documents USING (doc_id) WHERE rank <= 5),
-ment AS ({MENTIONS}), links AS ({LINKS}),
+EXPAND = f"""ment AS ({MENTIONS}), links AS ({LINKS}),
 d AS (SELECT s.qid, x.doc_id, max(s.s) * 0.6 AS d FROM seeds s JOIN links l ON l.a = s.source AND l.rel IN ('DETAILS', 'AMENDS') JOIN documents x ON x.source = l.b GROUP BY ALL),
 c AS (SELECT s.qid, o.doc_id, max(s.s) * 0.3 AS c FROM seeds s JOIN ment m ON m.doc_id = s.doc_id JOIN ment o ON o.concept = m.concept AND o.doc_id <> s.doc_id GROUP BY ALL),
 m AS (SELECT qid, doc_id, max(s) AS s, max(d) AS d, max(c) AS c FROM (SELECT qid, doc_id, s, NULL AS d, NULL AS c FROM seeds UNION ALL SELECT qid, doc_id, NULL, d, NULL FROM d UNION ALL SELECT qid, doc_id, NULL, NULL, c FROM c) GROUP BY ALL),
-r AS (SELECT qid, CAST(doc_id AS VARCHAR) AS chunk_id, round(CASE WHEN s IS NOT NULL THEN greatest(s, coalesce(d, s)) ELSE greatest(coalesce(d, c), coalesce(c, d)) END, 9) AS score FROM m)
-SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS rank FROM r) WHERE rank <= 50""")
+r AS (SELECT qid, CAST(doc_id AS VARCHAR) AS chunk_id, round(CASE WHEN s IS NOT NULL THEN greatest(s, coalesce(d, s)) ELSE greatest(coalesce(d, c), coalesce(c, d)) END, 9) AS score FROM m),
+wide AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS rank FROM r) WHERE rank <= 50)"""
+
+
+@query(f"WITH {BM25}, {_score('a', 0.75)}, seeds AS (SELECT item_id AS qid, a.doc_id, score AS s, source FROM a JOIN documents USING (doc_id) WHERE rank <= 5), {EXPAND} SELECT * FROM wide")
 def graph_expand(spark, sf_dir):
     docs, chunks, links = _graph(spark, sf_dir)
     edges = graph.build(docs, chunks, links, LABELS, CONCEPTS)[1]
@@ -517,30 +567,42 @@ def graph_expand(spark, sf_dir):
     return expand.expand(seeds, chunks, edges)
 
 
-def _word_vector(text, size=64):
-    """How many words of a text fall into each of ``size`` bins, by their hashes."""
-    bins = F.transform(lexical.terms_of(F.coalesce(text, F.lit(""))), lambda w: F.pmod(F.xxhash64(w), F.lit(size)).cast("int"))
-    counts = lambda held: F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.size(F.filter(held, lambda b: b == i)).cast("double"))
-    return X.let(bins, counts)
+_OVERLAP = "len(list_intersect(list_distinct({q}), list_distinct({t})))::DOUBLE / len(list_distinct({q}))"
+_SAME = _OVERLAP.format(q=_LOW.replace("lower(text)", "lower(q.text)"), t=_LOW.replace("lower(text)", "lower(substr(d.text, 1, 2000))"))
+
 
+def _bins(name: str, key: str, text: str, table: str) -> str:
+    """Unit vectors of word counts, one row for each place that isn't zero."""
+    words = _LOW.replace("lower(text)", f"lower({text})")
+    return f"""{name} AS (SELECT *, c / sqrt(sum(c * c) OVER (PARTITION BY {key})) AS u FROM (
+  SELECT {key}, bin, count(*)::DOUBLE AS c FROM (SELECT {key}, substr(md5(unnest({words})), 1, 2) AS bin FROM {table}) GROUP BY ALL))"""
 
-@query()
-def hybrid_retrieve(spark, sf_dir):
-    """Lexical and dense search, fusion, graph expansion and rerank in one plan.
 
-    The tables have no document vectors: counts of hashed words stand in, of a text's first 200 characters (as its summary) and of all of it.
-    """
+def _dense_sql(name: str, held: str) -> str:
+    return f"""{name} AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, CAST(doc_id AS VARCHAR)) AS rank FROM (
+  SELECT item_id, doc_id, round(sum(a.u * v.u), 6) AS score FROM asked a JOIN {held} v USING (bin) GROUP BY ALL))"""
+
+
+@query(f"""
+WITH {BM25}, {_score("a", 0.75).replace("score DESC, doc_id", "score DESC, CAST(doc_id AS VARCHAR)")},
+{_bins("asked", "item_id", "text", "benchmark")}, {_bins("v_short", "doc_id", "substr(text, 1, 200)", "documents")}, {_bins("v_full", "doc_id", "text", "documents")},
+{_dense_sql("near_short", "v_short")}, {_dense_sql("near_full", "v_full")},
+fused AS (SELECT item_id AS qid, doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS s FROM (SELECT item_id, doc_id, rank FROM a UNION ALL SELECT * FROM near_short UNION ALL SELECT * FROM near_full) WHERE rank <= 50 GROUP BY ALL),
+seeds AS (SELECT qid, f.doc_id, s, source FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY s DESC, CAST(doc_id AS VARCHAR)) AS place FROM fused) f JOIN documents USING (doc_id) WHERE place <= 30),
+{EXPAND}, best AS (SELECT w.qid, w.chunk_id, round({_SAME}, 6) AS rerank_score FROM wide w JOIN benchmark q ON q.item_id = w.qid JOIN documents d ON CAST(d.doc_id AS VARCHAR) = w.chunk_id)
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY rerank_score DESC, chunk_id) AS rank FROM best) WHERE rank <= 5""")
+def hybrid_retrieve(spark, sf_dir):
+    """BM25 and two dense searches, fusion, graph expansion and rerank. A text's first 200 characters are its summary."""
     docs, chunks, links = _graph(spark, sf_dir)
     edges = graph.build(docs, chunks, links, LABELS, CONCEPTS)[1]
+    chunks = chunks.withColumn("short", F.substring("enriched_text", 1, 200)).withColumn("key", F.array().cast("array<string>"))
     questions = T(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), F.col("text").alias("question"))
-    vectors = chunks.select("chunk_id", _word_vector(F.substring("enriched_text", 1, 200)).alias("summary"), _word_vector(F.col("enriched_text")).alias("full"))
-    asked = questions.select(F.col("id").alias("qid"), _word_vector(F.col("question")).alias("vector"))
-    return stages.retrieve(questions, chunks, edges, vectors, asked).select("qid", "chunk_id", "rerank_score", "rank")
+    vectors = Scratch(spark, "vectors").table(dense.build_vectors(chunks))
+    return stages.retrieve(questions, chunks, edges, vectors, stages.question_vectors(questions)).select("qid", "chunk_id", "rerank_score", "rank")
 
 
-_OVERLAP = "len(list_intersect(list_distinct({q}), list_distinct({t})))::DOUBLE / len(list_distinct({q}))"
 HITS = f"""hits AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY rerank_score DESC, chunk_id) AS rank FROM (
-  SELECT a.item_id AS qid, a.doc_id AS chunk_id, round({_OVERLAP.format(q=_LOW.replace("lower(text)", "lower(q.text)"), t=_LOW.replace("lower(text)", "lower(substr(d.text, 1, 2000))"))}, 6) AS rerank_score
+  SELECT a.item_id AS qid, a.doc_id AS chunk_id, round({_SAME}, 6) AS rerank_score
   FROM a JOIN benchmark q USING (item_id) JOIN documents d USING (doc_id) WHERE a.rank <= 10)),
 top AS (SELECT h.qid, h.chunk_id, h.rank, h.rerank_score, d.text, d.source, d.lang, 'Điều ' || d.doc_id AS dieu_so FROM hits h JOIN documents d ON d.doc_id = h.chunk_id WHERE rank <= 5)"""
 
@@ -551,7 +613,7 @@ def _hits(spark, sf_dir):
     q = T(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("question"))
     c = _bm25(spark, sf_dir, 10).select("item_id", "doc_id").join(d, "doc_id").join(q, "item_id")
     c = c.select(F.col("item_id").alias("qid"), F.col("doc_id").alias("chunk_id"), F.col("doc_id"), "question", "law_id", "ten_van_ban", "dieu_so", F.lit("").alias("dieu_ten"), F.lit("").alias("short"), F.col("text").alias("noi_dung"), F.col("text").alias("enriched_text"))
-    return answer.rerank(c)
+    return Scratch(spark, "hits").table(answer.rerank(c))
 
 
 @query(f"WITH {BM25}, {_score('a', 0.75)}, {HITS} SELECT qid, chunk_id, rerank_score, rank FROM top")
@@ -592,10 +654,12 @@ def citation_augment(spark, sf_dir):
     return answer.add_citations(_answers(hits), hits).select("qid", "answer")
 
 
-@query(f"""
-WITH {BM25}, {_score('a', 0.75)}, {HITS}, {ANSWERED}
-SELECT qid, true AS v01, qid % 3 <> 0 AS v02, qid % 3 = 1 AS v03, length(answer) >= 200 AS v04, qid % 3 <> 0 AND length(answer) >= 200 AS passed,
-  answer || CASE WHEN qid % 3 = 1 THEN '' ELSE chr(10) || '{config.DISCLAIMER}' END AS answer FROM ans""")
+JUDGED = """judged AS (SELECT qid, answer, (SELECT bool_or(contains(answer, t.dieu_so)) FROM top t WHERE t.qid = ans.qid) AS v01,
+  (SELECT coalesce(bool_and(coalesce(len(list_filter(k.laws, lambda law: starts_with(law, x.n))) > 0, false)), true) FROM (SELECT unnest(regexp_extract_all(answer, '\\d+/\\d{4}/[A-ZĐ-]+')) AS n) x, (SELECT list(DISTINCT source) AS laws FROM top t WHERE t.qid = ans.qid) k) AS v02,
+  contains(answer, 'tham khảo') OR contains(answer, 'không thay thế') AS v03, length(answer) >= 200 AS v04 FROM ans)"""
+
+
+@query(f"WITH {BM25}, {_score('a', 0.75)}, {HITS}, {ANSWERED}, {JUDGED} SELECT qid, v01, v02, v03, v04, v01 AND v02 AND v04 AS passed, answer || CASE WHEN v03 THEN '' ELSE chr(10) || '{config.DISCLAIMER}' END AS answer FROM judged")
 def guardrail_flags(spark, sf_dir):
     hits = _hits(spark, sf_dir)
     return answer.guardrails(_answers(hits), hits).select("qid", "v01", "v02", "v03", "v04", "passed", "answer")
@@ -621,8 +685,15 @@ def submission_records(spark, sf_dir):
 
 
 @query("""
-SELECT item_id AS id, rule FROM (SELECT item_id, unnest(CASE item_id % 5 WHEN 0 THEN ['bad_doc'] WHEN 1 THEN ['bad_article', 'no_citation'] WHEN 2 THEN ['repeated_item'] WHEN 3 THEN ['missing_record'] ELSE ['short_answer'] END) AS rule FROM benchmark)
-WHERE rule <> 'none'""")
+WITH rec AS (SELECT item_id AS id, 'Điều 1' || CASE WHEN item_id % 5 = 4 THEN '' ELSE repeat(' x', 150) END AS answer, CASE item_id % 5 WHEN 0 THEN ['a'] WHEN 2 THEN ['a|b', 'a|b'] ELSE ['a|b'] END AS docs,
+  CASE WHEN item_id % 5 = 1 THEN ['a|b|Art 9'] ELSE ['a|b|Điều 1'] END AS arts FROM benchmark WHERE item_id % 5 <> 3),
+marks AS (SELECT id, answer, docs, arts, list_transform(arts, lambda x: string_split(x, '|')) AS cut FROM rec)
+SELECT id, 'bad_doc' AS rule FROM marks WHERE len(list_filter(docs, lambda x: len(string_split(x, '|')) <> 2)) > 0
+UNION ALL SELECT id, 'bad_article' FROM marks WHERE len(list_filter(cut, lambda x: len(x) <> 3 OR NOT starts_with(x[-1], 'Điều'))) > 0
+UNION ALL SELECT id, 'repeated_item' FROM marks WHERE len(list_distinct(docs)) < len(docs) OR len(list_distinct(arts)) < len(arts)
+UNION ALL SELECT id, 'short_answer' FROM marks WHERE length(answer) < 200
+UNION ALL SELECT id, 'no_citation' FROM marks WHERE len(list_filter(cut, lambda x: contains(answer, x[-1]))) = 0
+UNION ALL SELECT item_id, 'missing_record' FROM benchmark WHERE item_id NOT IN (SELECT id FROM rec)""")
 def submission_violations(spark, sf_dir):
     """Records broken on purpose, one way for each remainder of the id."""
     b = T(spark, sf_dir, "benchmark")
@@ -634,6 +705,37 @@ def submission_violations(spark, sf_dir):
     return answer.violations(r, b.select(F.col("item_id").alias("id")))
 
 
+PROMPT_GRAPH = f"""links AS ({LINKS}), gr AS (SELECT q.qid, coalesce(g, '{config.NO_RELATIONS}') AS graph_context FROM (SELECT DISTINCT qid FROM top) q LEFT JOIN (
+  SELECT qid, string_agg(line, chr(10) ORDER BY line) AS g FROM (SELECT DISTINCT qid, '• ' || rel || ': ' || b AS line FROM top JOIN links ON a = source WHERE rel IN ('DETAILS', 'AMENDS', 'REPLACES')) GROUP BY qid) x ON x.qid = q.qid),
+ctx AS (SELECT qid, count(*) AS k, string_agg('[' || rank || '] ' || lang || ' — ' || dieu_so || ': ' || chr(10) || 'Tóm tắt: ' || chr(10) || 'Nội dung: ' || substr(text, 1, 1500), chr(10) || chr(10) ORDER BY rank) AS contexts FROM top GROUP BY qid)"""
+
+
+def _with_graph(spark, sf_dir):
+    docs, _, links = _graph(spark, sf_dir)
+    hits = _hits(spark, sf_dir).withColumn("doc_id", F.col("law_id"))
+    questions = T(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), F.col("text").alias("question"))
+    return questions, hits, graph.relation_edges(links, docs, LABELS), graph.document_nodes(docs).select("node_id", F.col("attributes")["ten"].alias("name"))
+
+
+_FILLED = "replace(replace(replace(replace('{0}', '{{K}}', CAST(k AS VARCHAR)), '{{question}}', q.text), '{{contexts}}', contexts), '{{graph_context}}', graph_context)"
+
+
+@query(f"WITH {BM25}, {_score('a', 0.75)}, {HITS}, {PROMPT_GRAPH} SELECT qid, md5({_FILLED.format(config.ANSWER_PROMPT)}) AS prompt_md5, '{config.ANSWER_SYSTEM}' AS system FROM ctx JOIN gr USING (qid) JOIN benchmark q ON q.item_id = qid")
+def answer_prompts(spark, sf_dir):
+    return answer.prompts(*_with_graph(spark, sf_dir)).select("qid", F.md5("prompt").alias("prompt_md5"), "system")
+
+
+@query(f"""
+WITH {BM25}, {_score('a', 0.75)}, {HITS}, {PROMPT_GRAPH},
+ans AS (SELECT qid, '1) ' || lang || ' — ' || dieu_so || ': ' || chr(10) || 'Tóm tắt: ' || chr(10) || 'Nội dung: ' || substr(text, 1, 1500) || chr(10) || '4) {config.DISCLAIMER}' AS answer FROM top WHERE rank = 1),
+cited AS (SELECT qid, answer || coalesce(string_agg(CASE WHEN NOT contains(answer, dieu_so) THEN chr(10) || '(Căn cứ bổ sung: ' || dieu_so || ' của ' || lang || ')' END, '' ORDER BY rank), '') AS answer FROM ans JOIN top USING (qid) GROUP BY qid, answer),
+fall AS ({FALLBACK})
+SELECT b.item_id AS id, CASE WHEN length(c.answer) >= 200 THEN c.answer ELSE f.answer END AS answer FROM benchmark b LEFT JOIN cited c ON c.qid = b.item_id LEFT JOIN fall f ON f.qid = b.item_id""")
+def generated_answers(spark, sf_dir):
+    """Answers of a generator without a model, through prompts, citations, guardrails and fallback."""
+    return stages.generate_stage(*_with_graph(spark, sf_dir)).select("id", "answer")
+
+
 # --- evaluation ----------------------------------------------------------------------------------
 
 _PRED = "SELECT o_custkey AS id, list(DISTINCT CAST(o_orderkey % 7 AS VARCHAR)) AS p, list(DISTINCT CAST(o_orderkey % 5 AS VARCHAR)) FILTER (WHERE o_orderstatus = 'F') AS g FROM orders GROUP BY o_custkey"
@@ -659,7 +761,10 @@ def f2_macro(spark, sf_dir):
     return evaluate.macro(_scored(spark, sf_dir))
 
 
-@query(f"WITH {BM25}, {_score('a', 0.75)}, {HITS} SELECT count(DISTINCT qid) AS n_answers, count(DISTINCT qid) AS n_cited, round(count(DISTINCT CASE WHEN qid % 2 = 0 THEN qid END) / count(DISTINCT qid)::DOUBLE, 6) AS grounding_rate FROM top")
+@query(rf"""WITH {BM25}, {_score('a', 0.75)}, {HITS},
+said AS (SELECT qid, 'Theo ' || CASE WHEN qid % 2 = 0 THEN dieu_so ELSE 'Điều 999999999' END || '.' AS answer FROM top WHERE rank = 1),
+cites AS (SELECT qid, regexp_extract_all(lower(answer), 'điều\s+\d+[a-zđ]?') AS c, (SELECT list(lower(dieu_so)) FROM top t WHERE t.qid = said.qid) AS k FROM said)
+SELECT count(*) AS n_answers, count(*) FILTER (WHERE len(c) > 0) AS n_cited, round(avg(CASE WHEN len(c) > 0 AND len(list_filter(c, lambda x: NOT list_contains(k, x))) = 0 THEN 1 ELSE 0 END), 6) AS grounding_rate FROM cites""")
 def grounding_rate(spark, sf_dir):
     """Answers of odd questions cite an article that their hits lack."""
     hits = _hits(spark, sf_dir)

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .. import config
+from .. import config, schemas
 from ..functions import text as X
 from ..functions.html import html_to_text
-from ..models import Summariser, first_sentence_summary
+from ..models import Embedder, Generator, Summariser, first_context_answer, first_sentence_summary, word_counts
 from ..operators import answer, chunk, dedup, dense, enrich, expand, fuse, gates, graph, lexical, scope, segment
 from ..sources import readers, sinks
 
@@ -57,10 +57,20 @@ def enrich_stage(chunks: DataFrame, log_path: str, summarise: Summariser = first
     return enrich.enrich(chunks, enrich.last_records(readers.read_summary_log(spark, log_path)))
 
 
-def retrieve(questions: DataFrame, enriched: DataFrame, edges: DataFrame, vectors: DataFrame | None = None, question_vectors: DataFrame | None = None, params: config.Retrieval | None = None) -> DataFrame:
+def vectors_stage(enriched: DataFrame, path: str, embed: Embedder = word_counts) -> DataFrame:
+    """The summary and the full index, written to ``path``; reading that Parquet is loading them."""
+    sinks.write_parquet(dense.build_vectors(enriched, embed), path)
+    return enriched.sparkSession.read.parquet(path)
+
+
+def question_vectors(questions: DataFrame, embed: Embedder = word_counts) -> DataFrame:
+    return questions.select(F.col("id").alias("qid"), embed(F.col("question")).alias("vector"))
+
+
+def retrieve(questions: DataFrame, enriched: DataFrame, edges: DataFrame, vectors: DataFrame | None = None, question_vectors: DataFrame | None = None, params: config.Retrieval | None = None, index: lexical.LexicalIndex | None = None) -> DataFrame:
     """Hits (qid, rank, rerank_score and the chunk's columns). vectors: chunk_id, summary, full; question_vectors: qid, vector."""
     p = params or config.Retrieval()
-    index = lexical.build_index(enriched, "chunk_id", "enriched_text")
+    index = index or lexical.build_index(enriched, "chunk_id", "enriched_text")
     asked = questions.select(F.col("id").alias("qid"), "question")
     rankings = [lexical.search(index, asked, "qid", "question", p.top_lexical, p.k1, p.b)]
     if vectors is not None and question_vectors is not None:
@@ -77,5 +87,25 @@ def answer_stage(questions: DataFrame, hits: DataFrame, generated: DataFrame | N
     return answer.submission(questions, answers, hits)
 
 
+def generate_stage(questions: DataFrame, hits: DataFrame, edges: DataFrame, documents: DataFrame, generate: Generator = first_context_answer) -> DataFrame:
+    """Submission records with generated answers. documents: node_id, name."""
+    return answer_stage(questions, hits, generate(answer.prompts(questions, hits, edges, documents)))
+
+
+def answer_in_parts(questions: DataFrame, path: str, answer_some, part: int = 50) -> DataFrame:
+    """Records of all questions, written under ``path`` after every ``part`` questions, so that a broken run goes on where it was.
+
+    answer_some: questions -> records. Ids that ``path`` holds aren't asked again; a failed part leaves nothing behind.
+    """
+    spark = questions.sparkSession
+    read = lambda: spark.read.schema(schemas.RESULTS).parquet(path)
+    left = questions if not readers.exists(spark, path) else questions.join(read().select("id"), "id", "left_anti")
+    ids = [r.id for r in left.select("id").distinct().orderBy("id").limit(sinks.MOST_RECORDS).collect()]
+    for i in range(0, len(ids), part):
+        some = questions.filter(F.col("id").between(ids[i], ids[min(i + part, len(ids)) - 1])).join(left.select("id"), "id", "left_semi")
+        answer_some(some).write.mode("append").parquet(path)
+    return read() if ids or readers.exists(spark, path) else spark.createDataFrame([], schemas.RESULTS)
+
+
 def knowledge_graph(scoped: DataFrame, enriched: DataFrame, relationships: DataFrame) -> tuple[DataFrame, DataFrame]:
     return graph.build(scoped, enriched, relationships)

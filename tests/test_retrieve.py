@@ -1,6 +1,10 @@
 """Retrieval with vectors beside BM25."""
 
-from corpusflow.plans import queries, stages
+import pytest
+from pyspark.sql import functions as F
+
+from corpusflow.models import pandas_generator
+from corpusflow.plans import stages
 
 
 def test_dense_rankings_are_fused(spark):
@@ -14,12 +18,28 @@ def test_dense_rankings_are_fused(spark):
     assert {r.chunk_id for r in stages.retrieve(questions, chunks, edges, vectors, asked).collect()} == {"a", "b", "c"}
 
 
-def test_hybrid_passes_vectors(spark, sf, monkeypatch):
-    plain, seen = stages.retrieve, []
-    monkeypatch.setattr(stages, "retrieve", lambda *a: seen.extend(a[3:]) or plain(*a))
-    assert queries.QUERIES["hybrid_retrieve"](spark, sf).count() > 0
-    vectors, asked = seen
-    assert vectors.columns == ["chunk_id", "summary", "full"] and asked.columns == ["qid", "vector"]
-    texts = {str(r.doc_id): r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
-    for r in vectors.collect():
-        assert len(r.full) == 64 and sum(r.full) == len(texts[r.chunk_id].split()) >= sum(r.summary) - 1
+def test_a_broken_run_goes_on(spark, tmp_path):
+    """Records are written part by part; questions that have theirs aren't asked again."""
+    path, calls = str(tmp_path / "records"), []
+    questions = spark.createDataFrame([(i, f"q{i}") for i in range(7)], "id long, question string")
+
+    def some(part, fail=False):
+        ids = sorted(r.id for r in part.collect())
+        if fail and 4 in ids:
+            raise RuntimeError("broken")
+        calls.append(ids)
+        none = F.array().cast("array<string>")
+        return part.select("id", "question", F.lit("a").alias("answer"), none.alias("relevant_docs"), none.alias("relevant_articles"))
+
+    with pytest.raises(RuntimeError):
+        stages.answer_in_parts(questions, path, lambda p: some(p, True), 2)
+    assert calls == [[0, 1], [2, 3]]
+    out = stages.answer_in_parts(questions, path, some, 2)
+    assert calls[2:] == [[4, 5], [6]] and sorted(r.id for r in out.collect()) == list(range(7))
+    assert stages.answer_in_parts(questions, path, some, 2).count() == 7 and len(calls) == 4
+
+
+def test_generators(spark):
+    prompts = spark.createDataFrame([(1, "s", "p"), (2, "s", "q")], "qid long, system string, prompt string")
+    made = pandas_generator(lambda system, prompt: [f"{a}:{b}" for a, b in zip(system, prompt, strict=True)])(prompts)
+    assert sorted(map(tuple, made.collect())) == [(1, "s:p"), (2, "s:q")]
