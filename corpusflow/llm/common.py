@@ -2,87 +2,31 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Rows of one Arrow batch are worked on in pieces of about so many bytes of text.
-PIECE_BYTES = 1_000_000
-
+from ..scratch import Scratch, drop_path, shared_dir
 
-# --- scratch tables -----------------------------------------------------------------------------
+__all__ = ["Scratch", "drop_path", "shared_dir"]
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
-
-    Where it is unset, a local master gets a temporary folder; a cluster is refused.
-    """
-    sc = spark.sparkContext
-    path = sc.getConf().get("spark.checkpoint.dir") or sc._conf.get("corpusflow.scratch")
-    if not path:
-        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        path = tempfile.mkdtemp(prefix="corpusflow-")
-        sc._conf.set("corpusflow.scratch", path)
-    return path.rstrip("/")
-
-
-def drop_path(spark: SparkSession, path: str) -> None:
-    jvm = spark._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
-class Scratch:
-    """Tables written to the shared folder. They cut lineage, so a lost executor costs no more than its own tasks."""
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-        self.count, self.live = 0, set()
-        atexit.register(self._quiet_drop)
-
-    def table(self, df: DataFrame) -> DataFrame:
-        path = f"{self.root}/t{self.count}"
-        self.count += 1
-        df.write.option("compression", "zstd").parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        out.scratch_path = path
-        self.live.add(path)
-        return out
-
-    def drop(self, *tables: DataFrame) -> None:
-        """Delete tables that no result reads any more."""
-        for t in tables:
-            drop_path(self.spark, t.scratch_path)
-            self.live.discard(t.scratch_path)
-
-    def keep_only(self, *tables: DataFrame) -> None:
-        """Delete all tables but these."""
-        for path in self.live - {t.scratch_path for t in tables}:
-            drop_path(self.spark, path)
-        self.live = {t.scratch_path for t in tables}
-
-    def _quiet_drop(self) -> None:
-        try:
-            drop_path(self.spark, self.root)
-        except Exception:  # the session may be gone by now  # noqa: BLE001
-            pass
+#: Rows of one Arrow batch are worked on in pieces of about so many bytes of text.
+PIECE_BYTES = 1_000_000
 
 
 def columns_or_null(df: DataFrame, **types: str) -> DataFrame:
-    """Exactly these columns, in this order, cast; a column that is missing is null. Extra columns go."""
-    have = set(df.columns)
-    return df.select(*((F.col(f"`{c}`") if c in have else F.lit(None)).cast(t).alias(c) for c, t in types.items()))
+    """Exactly these columns, in this order, cast; a column that is missing is null. Extra columns go, also those whose names
+    differ from these in case only: such a name counts as another column while the exact one is there."""
+    names = df.columns
+    taken = {c: names.index(c) if c in names else next((i for i, x in enumerate(names) if x.lower() == c.lower()), None) for c in types}
+    plain = df.toDF(*(f"c{i}" for i in range(len(names))))
+    return plain.select(*((F.lit(None) if taken[c] is None else F.col(f"c{taken[c]}")).cast(t).alias(c) for c, t in types.items()))
 
 
 def extended(schema: T.StructType, **types: str) -> T.StructType:
@@ -166,16 +110,19 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-@cache
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     up, down = np.full(n, BASE, np.uint64), np.full(n, pow(BASE, -1, 1 << 64), np.uint64)
     up[0] = down[0] = 1
     return np.multiply.accumulate(up), np.multiply.accumulate(down)
 
 
+_kept_powers = cache(_powers)
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE^0.. and its inverses modulo 2^64, at least n of each; sizes are powers of two, so that few are kept."""
-    return _powers(1 << max(16, (max(1, n) - 1).bit_length()))
+    """BASE^0.. and its inverses modulo 2^64, at least n of each. Sizes are powers of two, and those for longer texts aren't kept."""
+    size = 1 << max(16, (max(1, n) - 1).bit_length())
+    return (_kept_powers if size <= 4 * PIECE_BYTES else _powers)(size)
 
 
 def space_bytes() -> np.ndarray:
@@ -210,10 +157,8 @@ def pieces(batch: pa.RecordBatch, column: str = "text", size: int = PIECE_BYTES)
         lo = hi
 
 
-def words(data: np.ndarray, offsets: np.ndarray, separator: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the words of rows, and for each row the number of its first word (one more entry than rows)."""
-    if not len(data):
-        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
+def word_bounds(data: np.ndarray, offsets: np.ndarray, separator: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First byte and end of every word; words don't cross rows."""
     inside = ~separator[data]
     start = inside.copy()
     start[1:] &= ~inside[:-1]
@@ -223,7 +168,14 @@ def words(data: np.ndarray, offsets: np.ndarray, separator: np.ndarray, lower: b
     edge = edge[(edge > 0) & (edge < len(data))]
     start[edge] = inside[edge]
     end[edge - 1] = inside[edge - 1]
-    s, e = np.flatnonzero(start), np.flatnonzero(end) + 1
+    return np.flatnonzero(start), np.flatnonzero(end) + 1
+
+
+def words(data: np.ndarray, offsets: np.ndarray, separator: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of rows, and for each row the number of its first word (one more entry than rows)."""
+    if not len(data):
+        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
+    s, e = word_bounds(data, offsets, separator)
     up, down = powers(len(data) + 1)
     values = (lower_bytes()[data] if lower else data).astype(np.uint64)
     values += np.uint64(1)
@@ -243,12 +195,29 @@ def fold_of(doc_id: str, k: int):
     return F.pmod(F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")), F.lit(k)).cast("int")
 
 
-def bounded_sample(df: DataFrame, rows: int, *keys: str) -> DataFrame:
-    """About ``rows`` rows at most, chosen by a hash of the keys: the same rows on every run, spread over all tasks."""
-    n = df.count()
-    if n <= rows:
-        return df
-    return df.filter(F.pmod(F.xxhash64(*keys), F.lit(1_000_003)) < int(1_000_003 * rows / n))
+def bounded_sample(docs: DataFrame, labels: DataFrame | None, most_rows: int, most_bytes: int) -> DataFrame:
+    """text, label, key of labelled documents: most_rows rows and most_bytes bytes of text at most, whatever the input holds.
+
+    docs: doc_id, text (and label, where ``labels`` is None); labels: doc_id, label. Rows that are alike in all of these count
+    once. Rows are taken in the order of a hash, the same on every run, until either bound is met; a text that the bytes
+    left can't hold is passed over. Only narrow rows are joined and sorted; the texts taken are then fetched by a broadcast.
+    """
+    spark = docs.sparkSession
+    key = F.xxhash64("doc_id", "text")
+    narrow = docs.filter("text is not null").select("doc_id", key.alias("key"), F.octet_length("text").cast("long").alias("size"), *(["label"] if labels is None else []))
+    if labels is not None:
+        narrow = narrow.join(labels, "doc_id")
+    narrow = narrow.filter("label is not null").groupBy("key", "label").agg(F.max("size").alias("size"))
+    first = narrow.orderBy(F.xxhash64("key", F.lit(5)), "label").limit(most_rows).collect()  # most_rows narrow rows
+    taken, left = [], most_bytes
+    for r in first:
+        if r["size"] <= left:
+            taken.append((r["key"], r["label"]))
+            left -= r["size"]
+    chosen = spark.createDataFrame(taken, T.StructType([T.StructField("key", T.LongType()), T.StructField("label", narrow.schema["label"].dataType)]))
+    on = ["key"] if labels is not None else ["key", "label"]
+    found = docs.select(key.alias("key"), "text", *on[1:]).join(F.broadcast(chosen), on)
+    return found.groupBy("key", "label").agg(F.first("text").alias("text")).select("text", "label", "key")
 
 
 def to_driver(df: DataFrame) -> pa.Table:

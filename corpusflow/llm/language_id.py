@@ -4,7 +4,7 @@ A word that the training texts know adds its log frequency in each language. A w
 longest character n-grams that are known (5 letters first, then 4, 3, 2, 1, with the word's edges marked), and their mean log
 frequency counts in its place.
 
-Training: counts over a bounded sample (``train_docs``) of labelled rows; the words and n-grams kept are the most frequent,
+Training: counts over a bounded sample of labelled rows (``train_docs`` rows, ``train_bytes`` bytes); the words and n-grams kept are the most frequent,
 ``max_entries`` of each, so the model has a fixed size bound and is broadcast. Prediction: one narrow pass over whole texts.
 
 Defined results: a null text, or one without a letter, gives ``und`` with score 0. Without any training row, all texts give
@@ -102,9 +102,9 @@ def _keep_frequent(counts: DataFrame, max_entries: int) -> DataFrame:
     return counts.join(frequent, ["kind", "entry"], "left_semi")
 
 
-def train(labelled: DataFrame, train_docs: int = 4_000, max_entries: int = 60_000) -> Model:
-    """labelled: text, lang (rows with a null lang or text don't count)."""
-    rows = bounded_sample(labelled.filter("lang is not null and text is not null"), train_docs, "text", "lang")
+def train(labelled: DataFrame, train_docs: int = 4_000, train_bytes: int = 64 << 20, max_entries: int = 60_000) -> Model:
+    """labelled: doc_id, text, lang (rows with a null lang or text don't count)."""
+    rows = bounded_sample(labelled.withColumnRenamed("lang", "label"), None, train_docs, train_bytes).withColumnRenamed("label", "lang")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by: dict[str, Counter] = {}
@@ -168,4 +168,4 @@ def identify(docs: DataFrame, model: Model, id_columns: tuple[str, ...] = ("doc_
 def language_of_documents(docs: DataFrame, is_training, **options) -> DataFrame:
     """Fit on the rows where ``is_training`` holds, and predict all rows: doc_id, lang_pred, score."""
     rows = columns_or_null(docs, doc_id="long", text="string", lang="string")
-    return identify(rows, train(rows.filter(is_training).select("text", "lang"), **options))
+    return identify(rows, train(rows.filter(is_training), **options))

@@ -1,13 +1,15 @@
 """Operator 2: quality classifier by ordinal cumulative-link regression on graded ratings.
 
 P(grade <= k) = sigmoid(threshold_k - s): one score s = w . x is shared by all grades, and the thresholds are ordered. x holds
-the shares of a text's byte trigrams, hashed to ``2 ** bits`` places. The fit goes over a bounded sample (``train_docs``) of
-graded rows; weights and thresholds have a fixed size and are broadcast; all rows are scored in one narrow pass over whole texts.
+the shares of a text's byte trigrams and of its words' shapes (case, length, ending, whether the word before is the same), hashed
+to ``2 ** bits`` places. The fit goes over a bounded sample of graded rows (``train_docs`` rows, ``train_bytes`` bytes); weights and
+thresholds have a fixed size and are broadcast; all rows are scored in one narrow pass over whole texts.
 Results: the expected grade, and the tail probability P(grade >= tail) by which documents are selected.
 
 Defined results: null texts and texts under three bytes have no trigrams; their s is 0, so they get the thresholds' own
-probabilities. Without graded rows all grades are alike. Rows with a null grade don't count. Repeated rows get equal results; an
-empty table gives no rows. Extra columns are ignored.
+probabilities. Without graded rows all grades are alike. Rows with a null doc_id or grade don't teach. Repeated rows get equal
+results and teach once; an empty table gives no rows. Extra columns are ignored. Very long texts are graded whole; they teach only
+if ``train_bytes`` can hold them.
 """
 
 from __future__ import annotations
@@ -20,10 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, columns_or_null, extended, mix, pieces, row_sums, to_driver
+from .common import bounded_sample, columns_or_null, extended, mix, pieces, row_sums, space_bytes, to_driver, word_bounds, words
 
 #: Shares are small numbers; this factor makes the steps of the fit about equal in all directions.
 SCALE = 30.0
+#: Shares of word shapes are larger; this factor brings them to the size of the trigrams' shares.
+SHAPE = 0.1
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -44,6 +48,29 @@ def trigrams(data: np.ndarray, offsets: np.ndarray, bits: int) -> tuple[np.ndarr
     return place[kept], np.searchsorted(kept, offsets)
 
 
+def shapes(data: np.ndarray, offsets: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed places of the shapes of all words, and the number of each row's first (one more entry than rows)."""
+    h, first = words(data, offsets, space_bytes())
+    if not len(h):
+        return np.zeros(0, np.int64), first
+    s, e = word_bounds(data, offsets, space_bytes())
+    same = np.zeros(len(h), bool)
+    same[1:] = h[1:] == h[:-1]
+    starts = first[:-1]
+    same[starts[starts < len(h)]] = False
+    upper = (data >= 65) & (data <= 90)
+    letter = upper | ((data >= 97) & (data <= 122)) | (data >= 128)
+    ends = np.where(letter[e - 1], 0, data[e - 1].astype(np.int64))
+    code = ((np.minimum(e - s, 15) // 3 * 2 + same) * 2 + upper[s]) * 2 + upper[np.minimum(s + 1, e - 1)]
+    both = (code * 2 + letter[np.maximum(e - 2, s)]) * 256 + ends
+    return (mix(both.astype(np.uint64) + np.uint64(1 << 40)) >> np.uint64(64 - bits)).astype(np.int64), first
+
+
+def features(data: np.ndarray, offsets: np.ndarray, bits: int) -> list[tuple[np.ndarray, np.ndarray, float]]:
+    """(places, each row's first, factor of the shares) of both kinds."""
+    return [(*trigrams(data, offsets, bits), 1.0), (*shapes(data, offsets, bits), SHAPE)]
+
+
 @dataclass
 class OrdinalModel:
     weights: np.ndarray
@@ -55,6 +82,17 @@ class OrdinalModel:
         return sigmoid(s[:, None] - self.thresholds[None, :])
 
 
+def likelihood(s: np.ndarray, grades: np.ndarray, theta: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """Mean log likelihood of the grades, its slope by each row's s, and by each threshold."""
+    cdf = np.concatenate([np.zeros((len(s), 1)), sigmoid(theta[None, :] - s[:, None]), np.ones((len(s), 1))], 1)
+    slope = cdf * (1 - cdf)
+    at = np.arange(len(s))
+    p = np.maximum(cdf[at, grades + 1] - cdf[at, grades], 1e-9)
+    up, down = slope[at, grades + 1] / p, slope[at, grades] / p
+    by_theta = np.array([up[grades == k].sum() - down[grades == k + 1].sum() for k in range(len(theta))]) / len(s)
+    return float(np.log(p).mean()), (down - up) / len(s), by_theta
+
+
 def fit(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, n_grades: int, bits: int, steps: int = 250, rate: float = 0.3, l2: float = 1e-4) -> OrdinalModel:
     """rows: (places, shares) of each text. Nesterov steps on the mean log likelihood; gaps between thresholds stay positive."""
     w, speed = np.zeros(1 << bits), np.zeros(1 << bits)
@@ -71,16 +109,9 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, n_grades:
     for _ in range(steps):
         theta = base + np.concatenate([[0.0], np.cumsum(np.exp(gaps))])
         ahead = w + 0.9 * speed
-        s = row_sums(ahead[place] * x, first)
-        cdf = np.concatenate([np.zeros((len(s), 1)), sigmoid(theta[None, :] - s[:, None]), np.ones((len(s), 1))], 1)
-        slope = cdf * (1 - cdf)
-        at = np.arange(len(s))
-        p = np.maximum(cdf[at, grades + 1] - cdf[at, grades], 1e-9)
-        up, down = slope[at, grades + 1] / p, slope[at, grades] / p
-        by_s = (down - up) / len(s)  # of the mean log likelihood
+        _, by_s, by_theta = likelihood(row_sums(ahead[place] * x, first), grades, theta)
         speed = 0.9 * speed + rate * (np.bincount(place, by_s[of] * x, 1 << bits) - l2 * ahead)
         w = w + speed
-        by_theta = np.array([up[grades == k].sum() - down[grades == k + 1].sum() for k in range(n_grades - 1)]) / len(s)
         later = np.cumsum(by_theta[::-1])[::-1]
         base += rate * later[0]
         gaps = np.clip(gaps + rate * later[1:] * np.exp(gaps), -7, 3)
@@ -88,20 +119,23 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, n_grades:
     return OrdinalModel((w * SCALE).astype(np.float32), theta, bits)
 
 
-def train(graded: DataFrame, n_grades: int, train_docs: int = 6_000, bits: int = 16) -> OrdinalModel:
-    """graded: text, grade (0 .. n_grades - 1)."""
+def train(docs: DataFrame, graded: DataFrame, n_grades: int, train_docs: int = 6_000, train_bytes: int = 32 << 20, bits: int = 16) -> OrdinalModel:
+    """docs: doc_id, text; graded: doc_id, label (0 .. n_grades - 1)."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo, hi, data, offsets in pieces(b):
-                place, first = trigrams(data, offsets, bits)
-                out = []
-                for a, z in zip(first, first[1:], strict=False):
-                    own, n = np.unique(place[a:z], return_counts=True)
-                    out.append((own.astype(np.int32).tobytes(), (n / max(1, z - a)).astype(np.float32).tobytes()))
+                kinds, out = features(data, offsets, bits), []
+                for i in range(hi - lo):
+                    places, shares = [], []
+                    for place, first, factor in kinds:
+                        own, n = np.unique(place[first[i] : first[i + 1]], return_counts=True)
+                        places.append(own)
+                        shares.append(factor * n / max(1, first[i + 1] - first[i]))
+                    out.append((np.concatenate(places).astype(np.int32).tobytes(), np.concatenate(shares).astype(np.float32).tobytes()))
                 yield pa.RecordBatch.from_arrays([b.column(1)[lo:hi], b.column(2)[lo:hi], pa.array([x for x, _ in out], pa.binary()), pa.array([x for _, x in out], pa.binary())], names=["grade", "key", "places", "shares"])
 
-    rows = bounded_sample(graded.filter(F.col("grade").between(0, n_grades - 1)), train_docs, "text").select("text", F.col("grade").cast("int"), F.xxhash64("text", "grade").alias("key"))
+    rows = bounded_sample(docs, graded.filter(F.col("label").between(0, n_grades - 1)), train_docs, train_bytes).select("text", F.col("label").cast("int"), "key")
     got = to_driver(rows.mapInArrow(encode, "grade int, key long, places binary, shares binary")).sort_by([("key", "ascending"), ("grade", "ascending")])
     texts = [(np.frombuffer(p, np.int32).astype(np.int64), np.frombuffer(v, np.float32).astype(np.float64)) for p, v in zip(got["places"].to_pylist(), got["shares"].to_pylist(), strict=True)]
     return fit(texts, got["grade"].to_numpy().astype(np.int64), n_grades, bits)
@@ -117,8 +151,10 @@ def grade(docs: DataFrame, model: OrdinalModel, tail: int, id_columns: tuple[str
         m = sent.value
         for b in batches:
             for lo, hi, data, offsets in pieces(b):
-                place, first = trigrams(data, offsets, m.bits)
-                tails = m.tails(row_sums(m.weights[place], first) / np.maximum(1, np.diff(first)))
+                s = np.zeros(hi - lo)
+                for place, first, factor in features(data, offsets, m.bits):
+                    s += factor * row_sums(m.weights[place], first) / np.maximum(1, np.diff(first))
+                tails = m.tails(s)
                 yield pa.RecordBatch.from_arrays([*(c[lo:hi] for c in b.columns[1:]), pa.array(tails.sum(1)), pa.array(np.ascontiguousarray(tails[:, tail - 1]))], names=schema.fieldNames())
 
     return rows.mapInArrow(judge, schema)
@@ -127,5 +163,6 @@ def grade(docs: DataFrame, model: OrdinalModel, tail: int, id_columns: tuple[str
 def select_by_quality(docs: DataFrame, ratings: DataFrame, is_training, n_grades: int, tail: int, least: float = 0.5, **options) -> DataFrame:
     """ratings: doc_id, grade. Fit where ``is_training`` holds; all rows: doc_id, expected_grade, tail_prob, selected."""
     rows = columns_or_null(docs, doc_id="long", text="string")
-    model = train(rows.join(columns_or_null(ratings, doc_id="long", grade="int").filter(is_training), "doc_id").select("text", "grade"), n_grades, **options)
+    graded = columns_or_null(ratings, doc_id="long", grade="int").filter(is_training).withColumnRenamed("grade", "label")
+    model = train(rows, graded, n_grades, **options)
     return grade(rows, model, tail).withColumn("selected", F.col("tail_prob") >= least)

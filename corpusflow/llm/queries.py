@@ -23,9 +23,9 @@ def op1_kdtree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Grades 0 to 3: low quality and toxic, low quality, toxic only, good. Selected: P(grade >= 2) of at least a half."""
-    labels = table(spark, sf_dir, "labels").select("doc_id", (2 * F.col("quality") + 1 - F.col("toxic")).alias("grade"))
-    out = quality.select_by_quality(table(spark, sf_dir, "documents"), labels, fold_of("doc_id", 5) != 0, n_grades=4, tail=2)
+    """Grades: 0 low quality, 1 good but toxic, 2 good. Selected: P(grade >= 1) of at least a half."""
+    labels = table(spark, sf_dir, "labels").select("doc_id", (F.col("quality") * (2 - F.col("toxic"))).alias("grade"))
+    out = quality.select_by_quality(table(spark, sf_dir, "documents"), labels, fold_of("doc_id", 5) != 0, n_grades=3, tail=1)
     return out.select("doc_id", (fold_of("doc_id", 5) == 0).alias("held_out"), "expected_grade", "tail_prob", "selected")
 
 
