@@ -35,7 +35,7 @@ def _once(keyed: DataFrame, each: str = "false") -> DataFrame:
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter, or of no language with more probability than the others together, go."""
     rows = columns_or_null(docs, **COLUMNS)
-    model = language_id.train(rows.filter(fold_of("doc_id", 4) != 2).select("text", "lang"))
+    model = language_id.train(rows.filter(fold_of("doc_id", 4) != 2).select("doc_id", "text", "lang"))
     return language_id.identify(rows, model, tuple(COLUMNS)).filter("lang_pred <> 'und' and score >= 0.5").select(*COLUMNS)
 
 
