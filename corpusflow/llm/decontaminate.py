@@ -1,10 +1,14 @@
 """Operator 7: benchmark decontamination. A BM25 inverted index of the test items is queried with every passage of every text.
 
 Items are put into classes by length; passages are overlapping windows of a class's words, so that any run of words as long as
-an item lies whole in one. Scores are divided by the item's score for itself, so one threshold holds for all items. Block-max
-WAND: the items of a class lie in blocks, and each term knows its largest impact in each block. The sum of those maxima bounds
-every score in the block; only blocks that can reach the threshold are scored exactly. All items above it are retrieved, and
-kept if the passage holds enough of the question's and of the answer's words (weighted by idf).
+an item lies whole in one. Scores are divided by the item's score for itself, so one threshold holds for all items.
+
+Block-max WAND: the items of a class lie in blocks of ``BLOCK_ITEMS``, items that share words near each other, and each term knows
+its largest impact in each block that holds it. A passage that can't reach the threshold in any of ``GROUPS`` ranges of blocks
+goes at once, whole batches of passages in one step. For the others the terms' block lists are walked by pivot: the first block
+at which the terms that have got so far could reach the threshold together; lists behind it skip to it, and its items are
+scored exactly only if the maxima in that very block suffice. All items above the threshold are retrieved, and kept if the
+passage holds enough of the question's and of the answer's words (weighted by idf).
 
 The index is broadcast while the items' text stays within ``max_index_bytes``; a larger test set is worked off in slices of
 items, one after another, each with an index of its own. Item count, document frequencies, average length and each class's
@@ -28,10 +32,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Scratch, columns_or_null, extended, pieces, punctuation_bytes, to_driver, words
+from .common import Scratch, columns_or_null, extended, mix, pieces, punctuation_bytes, to_driver, words
 
 K1, B = 1.5, 0.75
-BLOCKS = 8
+#: Items in a block, and ranges of blocks for the first bound.
+BLOCK_ITEMS, GROUPS = 16, 16
 #: Classes of items: up to so many words, and four times as many for each further class.
 SHORTEST_CLASS = 64
 
@@ -47,16 +52,61 @@ def ranges(first: np.ndarray, last: np.ndarray) -> np.ndarray:
 
 @dataclass
 class LengthClass:
-    """The index of the items of one length class. Postings lie by (term, block)."""
+    """The index of the items of one length class. A cell is a term in a block; cells lie by (term, block)."""
 
     stride: int
     items: np.ndarray
-    pointers: np.ndarray
+    #: Of each term and group of blocks: the first cell (one more entry), and the largest impact.
+    first_cell: np.ndarray
+    group_max: np.ndarray
+    #: Of each cell: block, largest impact, first posting (one more entry).
+    block: np.ndarray
+    cell_max: np.ndarray
+    first_posting: np.ndarray
     posting_items: np.ndarray
     impacts: np.ndarray
-    block_max: np.ndarray
     parts: list[tuple[np.ndarray, np.ndarray]]
 
+    def candidates(self, seen: np.ndarray, groups: np.ndarray, least: float) -> np.ndarray:
+        """The cells, for distinct terms, of all blocks whose maxima reach ``least``, in groups whose maxima do."""
+        if (len(self.items) - 1) // BLOCK_ITEMS < GROUPS:  # a group is a block
+            key = (seen[:, None] * GROUPS + groups[None, :]).ravel()
+            return ranges(self.first_cell[key], self.first_cell[key + 1])
+        return np.sort(np.concatenate([self._walk(seen, int(g), least) for g in groups]))
+
+    def scores(self, cells: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+        """Items of the class with at least that score from these cells, and the scores."""
+        at = ranges(self.first_posting[cells], self.first_posting[cells + 1])
+        if len(self.items) <= 1 << 14:
+            total = np.bincount(self.posting_items[at], self.impacts[at], len(self.items))
+            found = np.flatnonzero(total >= least)
+            return found, total[found]
+        held, of = np.unique(self.posting_items[at], return_inverse=True)
+        total = np.bincount(of, self.impacts[at])
+        return held[total >= least], total[total >= least]
+
+    def _walk(self, seen: np.ndarray, group: int, least: float) -> np.ndarray:
+        at, end, upper = self.first_cell[seen * GROUPS + group], self.first_cell[seen * GROUPS + group + 1], self.group_max[seen, group]
+        live = at < end
+        at, end, upper = at[live], end[live], upper[live]
+        out = []
+        while True:
+            block = self.block[at]
+            order = np.argsort(block, kind="stable")
+            pivot = int(np.searchsorted(np.cumsum(upper[order]), least))
+            if pivot >= len(order):
+                return np.concatenate(out) if out else np.zeros(0, np.int64)
+            here = block[order[pivot]]
+            behind = np.flatnonzero(block < here)
+            if len(behind):
+                at[behind] = [a + np.searchsorted(self.block[a:e], here) for a, e in zip(at[behind], end[behind], strict=True)]
+            met = np.flatnonzero((at < end) & (self.block[np.minimum(at, len(self.block) - 1)] == here))
+            if self.cell_max[at[met]].sum() >= least:
+                out.append(at[met])
+            at[met] += 1
+            live = at < end
+            at, end, upper = at[live], end[live], upper[live]
+
 
 @dataclass
 class Index:
@@ -113,19 +163,24 @@ def build_index(ids: list[int | None], texts: list[str | None], whole: Statistic
     own = np.bincount(of, raw, n_items)
     impact = raw / np.maximum(own[of], 1e-12)
     classes = []
+    sorted_words = [np.sort(mix(vocabulary[np.unique(term[i:j])])) for i, j in zip(first[:-1], first[1:], strict=True)]
     for c in np.unique(rank[length > 0]):
         items = np.flatnonzero((rank == c) & (length > 0))
+        # by the least hashes of their words, so that items with common words are near each other
+        items = items[np.lexsort(tuple(np.array([x[min(j, len(x) - 1)] for x in (sorted_words[i] for i in items)]) for j in (1, 0)))]
         place = np.full(n_items, -1)
         place[items] = np.arange(len(items))
         mine = place[of] >= 0
-        where, block = place[of][mine], place[of][mine] * BLOCKS // len(items)
-        key = term_of[mine] * BLOCKS + block
-        order = np.lexsort((where, key))
-        maxima = np.zeros((n_terms + 1) * BLOCKS, np.float32)
-        np.maximum.at(maxima, key, impact[mine].astype(np.float32))
+        where = place[of][mine]
+        cell_key = term_of[mine] * (1 + len(items) // BLOCK_ITEMS) + where // BLOCK_ITEMS
+        order = np.lexsort((where, cell_key))
+        where, cell_key, term_here, strength = where[order], cell_key[order], term_of[mine][order], impact[mine][order]
         # a little more than the largest impact, so that rounding never hides an item
-        maxima = (maxima * np.float32(1.0001)).reshape(n_terms + 1, BLOCKS)
-        pointers = np.searchsorted(key[order], np.arange((n_terms + 1) * BLOCKS + 1))
+        upper = (strength * 1.0001).astype(np.float32)
+        first_posting = np.flatnonzero(np.concatenate([[True], cell_key[1:] != cell_key[:-1]]))
+        cell_max, block, cell_term = np.maximum.reduceat(upper, first_posting), where[first_posting] // BLOCK_ITEMS, term_here[first_posting]
+        group, group_max = block * GROUPS // (1 + (len(items) - 1) // BLOCK_ITEMS), np.zeros((n_terms + 1, GROUPS), np.float32)
+        np.maximum.at(group_max, (cell_term, group), cell_max)
         parts = []
         for i in items:
             t, text = term[first[i] : first[i + 1]], texts[i] or ""
@@ -136,7 +191,7 @@ def build_index(ids: list[int | None], texts: list[str | None], whole: Statistic
             else:
                 n = (len(t) + 1) // 2
             parts.append((np.unique(t[:n]), np.unique(t[n:] if n < len(t) else t[:n])))
-        classes.append(LengthClass(whole.longest[int(c)], items, pointers, where[order], impact[mine][order], maxima, parts))
+        classes.append(LengthClass(whole.longest[int(c)], items, np.searchsorted(cell_term * GROUPS + group, np.arange((n_terms + 1) * GROUPS + 1)), group_max, block, cell_max, np.append(first_posting, len(where)), where, strength, parts))
     return Index(vocabulary, idf, ids, classes)
 
 
@@ -156,27 +211,23 @@ def search(index: Index, data: np.ndarray, offsets: np.ndarray, least_score: flo
         start = first[row] + (np.arange(len(row)) - np.repeat(np.cumsum(per_row) - per_row, per_row)) * c.stride
         end = np.minimum(start + 2 * c.stride, first[row + 1])
         lo, hi = np.searchsorted(known, start), np.searchsorted(known, end)  # words that no item has are left out
-        bound = np.zeros((len(row), BLOCKS))
-        for b in range(BLOCKS):
-            total = np.concatenate([[0.0], np.cumsum(c.block_max[term_known, b], dtype=np.float64)])
-            bound[:, b] = total[hi] - total[lo]
-        able = bound >= least_score
-        for w in np.flatnonzero(able.any(1)):
+        able = np.zeros(len(row), bool)
+        for g in range(GROUPS):
+            total = np.concatenate([[0.0], np.cumsum(c.group_max[term_known, g], dtype=np.float64)])
+            able |= total[hi] - total[lo] >= least_score
+        for w in np.flatnonzero(able):
             seen = np.unique(term_known[lo[w] : hi[w]])
-            # repeated words count once; most blocks that passed above fail here
-            blocks = np.flatnonzero(able[w] & (c.block_max[seen].sum(0) >= least_score))
-            if not len(blocks):
+            # repeated words count once; most passages that passed above fail here
+            groups = np.flatnonzero(c.group_max[seen].sum(0, dtype=np.float64) >= least_score)
+            if not len(groups):
                 continue
-            cells = (seen[:, None] * BLOCKS + blocks[None, :]).ravel()
-            at = ranges(c.pointers[cells], c.pointers[cells + 1])
-            scores = np.bincount(c.posting_items[at], c.impacts[at], len(c.items))
-            for i in np.flatnonzero(scores >= least_score):
+            for i, score in zip(*c.scores(c.candidates(seen, groups, least_score), least_score), strict=True):
                 shares = [index.idf[p[np.isin(p, seen, assume_unique=True)]].sum() / max(1e-12, index.idf[p].sum()) for p in c.parts[i]]
                 if min(shares) < least_overlap:
                     continue
                 key = (int(row[w]), int(c.items[i]))
                 best = found.get(key, (0.0, 0.0, 0.0, 0))
-                found[key] = (*max(best[:3], (float(scores[i]), *map(float, shares))), best[3] + 1)
+                found[key] = (*max(best[:3], (float(score), *map(float, shares))), best[3] + 1)
     return [(r, index.ids[i], *v) for (r, i), v in found.items()]
 
 

@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+
 from corpusflow.llm import decontaminate
 
 
@@ -37,3 +39,20 @@ def test_items_without_id(spark):
     for most in (1 << 20, 150):
         got = decontaminate.find_leaks(docs, items, max_index_bytes=most).collect()
         assert {(r.doc_id, r.item_id) for r in got} == {(0, 1), (1, None), (2, None)} and len(got) == 3
+
+
+def test_walk_by_pivots_loses_nothing(monkeypatch):
+    """Small blocks in few groups against one block that holds all items, over more than one piece of text."""
+    docs, items = edited_leaks(2)
+    items = [(1000 * k + i, t) for k in range(3) for i, t in items if t]  # equal items are reported each
+    texts = [t for _, t in docs] + ["", " ".join(t for _, t in docs) * 3]
+    cut = [t.encode() for t in texts]
+    data, offsets = np.frombuffer(b"".join(cut), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in cut])])
+    found = []
+    for block, groups in ((1 << 20, 1), (16, 16), (4, 3), (1, 2)):
+        monkeypatch.setattr(decontaminate, "BLOCK_ITEMS", block)
+        monkeypatch.setattr(decontaminate, "GROUPS", groups)
+        index = decontaminate.build_index(*map(list, zip(*items)))
+        hits = decontaminate.search(index, data, offsets, 0.5, 0.7)
+        found.append(sorted((r, i, *(round(x, 9) for x in v[:3]), v[3]) for r, i, *v in hits))
+    assert found[0] and all(f == found[0] for f in found) and len(found[0]) % 3 == 0
