@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from corpusflow.llm import decontaminate, jaccard, kdtree, language_id, mixing
 from corpusflow.llm.common import Scratch, checked_join, columns_or_null, fold_of
+from corpusflow.scratch import closed_after
 
 COLUMNS = {"doc_id": "long", "text": "string", "lang": "string", "source": "string", "n_chars": "long"}
 KEY = ["doc", "text_key"]
@@ -26,14 +27,24 @@ def _key_of(rows: DataFrame) -> DataFrame:
 
 
 def _once(keyed: DataFrame, each: str = "false") -> DataFrame:
-    """One row of each key, but all rows where ``each`` holds. Rows are shuffled with their texts only if some key is there more than once."""
+    """One row of each key, but all rows where ``each`` holds. Of rows that differ in other columns the least (lang, source, n_chars) stays.
+
+    Rows are shuffled with their texts only if some key is there more than once.
+    """
     if keyed.filter(f"not ({each})").groupBy(*KEY).count().filter("count > 1").limit(1).count():
-        return keyed.withColumn("nth", F.when(F.expr(each), F.monotonically_increasing_id())).dropDuplicates([*KEY, "nth"]).drop("nth")
+        rest = [c for c in keyed.columns if c not in (*KEY, "doc_id", "text")]
+        nth = keyed.withColumn("nth", F.when(F.expr(each), F.monotonically_increasing_id()))
+        one = nth.groupBy(*KEY, "nth").agg(F.min(F.struct(*rest)).alias("least"), F.first("doc_id").alias("doc_id"), F.first("text").alias("text"))
+        return one.select(*KEY, "doc_id", "text", "least.*")
     return keyed
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, or of no language with more probability than the others together, go."""
+    """Documents without a letter, or of no language with more probability than the others together, go.
+
+    Null and empty texts go. Repeated rows are judged alike, each stays or goes. Without a row to learn from all go. Of two languages
+    with equal scores none has more than a half, so the document goes. An empty table stays empty; extra columns are dropped.
+    """
     rows = columns_or_null(docs, **COLUMNS)
     model = language_id.train(rows.filter(fold_of("doc_id", 4) != 2).select("doc_id", "text", "lang"))
     return language_id.identify(rows, model, tuple(COLUMNS)).filter("lang_pred <> 'und' and score >= 0.5").select(*COLUMNS)
@@ -56,7 +67,10 @@ def join_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def remove_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a test item go."""
+    """Documents that hold a test item go.
+
+    Null and empty texts hold none and stay; repeated rows go or stay together; an empty table or benchmark changes nothing.
+    """
     scratch = Scratch(spark, "pipeline")
     keyed = _keyed(docs)
     leaks = decontaminate.find_leaks(keyed, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_columns=tuple(KEY)).select(*KEY).distinct()
@@ -64,7 +78,11 @@ def remove_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it: not at all, once or twice."""
+    """Each document as often as the mix takes it: not at all, once or twice.
+
+    Documents without words are never taken. Repeated rows share what the mix takes of them: as many rows stay as it takes in all,
+    with the least lang, source and n_chars of them. An empty table stays empty.
+    """
     scratch = Scratch(spark, "pipeline")
     taken = mixing.mix_sources(docs).filter("taken > 0").groupBy("doc_id", "text_key").agg(F.sum(F.expr("taken div size")).cast("int").alias("copies"))
     rows = checked_join(_once(_keyed(docs)), scratch.table(_key_of(taken).select(*KEY, "copies")), KEY, row_bytes=56)
@@ -72,6 +90,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, size, text_crc32, law, shard, slot and grown_shard of every row, repeated ones too; null texts have size 16."""
     return kdtree.shard_documents(docs, shards=40)
 
 
@@ -89,7 +108,11 @@ ORACLE_SQL: str | None = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "pipeline")
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for _, stage in STAGES[:-1]:
-        docs = scratch.table(stage(spark, docs, sf_dir))
+        with closed_after():
+            docs = scratch.table(stage(spark, docs, sf_dir))
+        if before is not None:
+            scratch.drop(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)

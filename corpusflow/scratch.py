@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,7 +35,10 @@ def drop_path(spark: SparkSession, path: str) -> None:
 class Scratch:
     """Tables written to the shared folder; what is left of them goes when the process ends."""
 
+    opened: list[Scratch] = []
+
     def __init__(self, spark: SparkSession, name: str):
+        Scratch.opened.append(self)
         self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.count, self.live = 0, set()
         atexit.register(self._quiet_drop)
@@ -59,8 +64,24 @@ class Scratch:
             drop_path(self.spark, path)
         self.live = {t.scratch_path for t in tables}
 
+    def close(self) -> None:
+        """Delete all tables. Results that still read them can't be worked out any more."""
+        drop_path(self.spark, self.root)
+        self.live = set()
+        Scratch.opened.remove(self)
+        atexit.unregister(self._quiet_drop)
+
     def _quiet_drop(self) -> None:
         try:
             drop_path(self.spark, self.root)
         except Exception:  # the session may be gone by now  # noqa: BLE001
             pass
+
+
+@contextmanager
+def closed_after() -> Iterator[None]:
+    """Scratch tables that operators open within go at the end: for results that are written by then."""
+    before = list(Scratch.opened)
+    yield
+    for s in [x for x in Scratch.opened if x not in before]:
+        s.close()
