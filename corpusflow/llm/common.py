@@ -20,13 +20,24 @@ __all__ = ["Scratch", "drop_path", "shared_dir"]
 PIECE_BYTES = 1_000_000
 
 
+def _places(df: DataFrame, names: list[str]) -> tuple[DataFrame, list[str | None]]:
+    """The table with columns c0, c1 ..., and for each name the column of exactly that name, else of one that differs in case only."""
+    have = df.columns
+    found = [have.index(c) if c in have else next((i for i, x in enumerate(have) if x.lower() == c.lower()), None) for c in names]
+    return df.toDF(*(f"c{i}" for i in range(len(have)))), [None if i is None else f"c{i}" for i in found]
+
+
 def columns_or_null(df: DataFrame, **types: str) -> DataFrame:
     """Exactly these columns, in this order, cast; a column that is missing is null. Extra columns go, also those whose names
-    differ from these in case only: such a name counts as another column while the exact one is there."""
-    names = df.columns
-    taken = {c: names.index(c) if c in names else next((i for i, x in enumerate(names) if x.lower() == c.lower()), None) for c in types}
-    plain = df.toDF(*(f"c{i}" for i in range(len(names))))
-    return plain.select(*((F.lit(None) if taken[c] is None else F.col(f"c{taken[c]}")).cast(t).alias(c) for c, t in types.items()))
+    differ from these in case only."""
+    plain, at = _places(df, list(types))
+    return plain.select(*((F.lit(None) if x is None else F.col(x)).cast(t).alias(c) for x, (c, t) in zip(at, types.items(), strict=True)))
+
+
+def columns_of(df: DataFrame, *names: str) -> DataFrame:
+    """These columns as they are; extra ones go, also those whose names differ in case only."""
+    plain, at = _places(df, list(names))
+    return plain.select(*(F.col(x).alias(c) for x, c in zip(at, names, strict=True)))
 
 
 def extended(schema: T.StructType, **types: str) -> T.StructType:

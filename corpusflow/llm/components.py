@@ -12,7 +12,7 @@ def connected_components(scratch: Scratch, edges: DataFrame) -> DataFrame:
     """edges: a, b (long). Gives node, component: the least node reachable. Nodes without an edge are absent.
 
     Each round takes the least label of a node's neighbours, then the label of its label, so that long chains halve. Minima are
-    aggregated before the shuffle, so a node with very many neighbours is no hot spot.
+    aggregated before the shuffle; the one join by a node with very many neighbours is split by Spark's skew join.
     """
     both = scratch.table(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct())
     labels = scratch.table(both.groupBy("a").agg(F.min("b").alias("least")).select(F.col("a").alias("node"), F.least("a", "least").alias("component")))

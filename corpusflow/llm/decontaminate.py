@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Scratch, columns_or_null, extended, mix, pieces, punctuation_bytes, to_driver, words
+from .common import Scratch, columns_of, columns_or_null, extended, mix, pieces, punctuation_bytes, to_driver, words
 
 K1, B = 1.5, 0.75
 #: Items in a block, and ranges of blocks for the first bound.
@@ -270,6 +270,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, least_score: float = 0.5,
         order = np.argsort(vocabulary)
         return Statistics(n_items, n_words / max(1, n_worded), {r["class"]: r[4] for r in by_class}, vocabulary[order], df[order])
 
+    docs = columns_of(docs, *dict.fromkeys((*id_columns, text_column)))
     rows = docs.select(F.col(f"`{text_column}`").cast("string").alias("text"), *(F.col(f"`{c}`").alias(f"id{i}") for i, c in enumerate(id_columns)))
     schema = extended(docs.select(*(F.col(f"`{c}`") for c in id_columns)).schema, item_id="long", score="double", question_overlap="double", answer_overlap="double", passages="int")
     kinds = [pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int32()]

@@ -9,7 +9,7 @@ Index and queries meet in blocks of bounded size: each task has one block of cod
 returns each query's best; their union holds the best of all. Equal codes are one entry with its smallest ids, so copies of one
 vector, however many, cost no more than one.
 
-Defined results: a null vector has no code: it is neither found nor a query. Null or NaN components count as not positive. The
+Defined results: a null vector has no code, and a row with a null id no name: neither is found nor a query. Null or NaN components count as not positive. The
 code has the signs of all components, in words of 64 bits; a shorter vector's further bits are 0. A query is not its own neighbour, but other rows with equal vectors are; ties go
 to the smaller id. Rows with one id and code are one entry. Empty tables give no rows; fewer than k others give fewer rows.
 """
@@ -142,6 +142,8 @@ def nearest(vectors: DataFrame, is_query, k: int = 10, id_column: str = "vec_id"
         at, c, d = search_block(unpacked(own, n_words), codes["least"].to_numpy(), unpacked(q, n_words), k + 1)
         return pa.table({"asked": pa.array([q[i] for i in at], pa.binary()), "code": pa.array([own[i] for i in c], pa.binary()), "distance": d.astype(np.int32)})
 
+    tasks = min(10_000, code_blocks * query_blocks)  # a number that is given stays: small blocks are long work
+    left, right = (x.repartition(tasks, "i", "j") for x in (left, right))
     met = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(meet, "asked binary, code binary, distance int")
     best = met.join(entries, "code").select("asked", "distance", F.explode("ids").alias("neighbour_id"))
     best = scratch.table(best.withColumn("place", F.row_number().over(W.partitionBy("asked").orderBy("distance", "neighbour_id"))).filter(F.col("place") <= k + 1))

@@ -6,11 +6,13 @@ dimension is the one whose extent in the node is the largest part of its extent
 
 A quantile is found by passes over the narrow metadata table: each pass sums bytes into ``BUCKETS`` equal ranges of the sort key
 for all nodes of a level at once, and narrows each node's range to the bucket where its quota falls. Only those sums (nodes x
-BUCKETS rows at most, whatever the input) reach the driver. The sort key is the dimension's value, then a hash of the row, so
-that a source, language or length with a third of all rows is split as finely as any other. Rows that are equal in all of that
-(repeated rows) are split by their number in the scratch table.
+BUCKETS rows at most, whatever the input) reach the driver. The sort key is the dimension's value, then a hash of the text, so
+that a source, language or length with a third of all rows is split as finely as any other, and copies of a text with equal
+metadata lie next to each other: they share a shard unless a cut falls among them, as it must where they outgrow a leaf. Rows
+with equal keys are split by a hash of their doc_id, and repeated rows by their number in the scratch table.
 
-Defined results: a null text has size ``overhead`` and the checksum of the empty text. Null dimensions are the smallest value.
+Defined results: a null text has size ``overhead`` and the checksum of the empty text. A null doc_id is one more id. Texts are read
+for their size and hashes only, however long they are; one that is larger than a leaf makes a larger shard. Null dimensions are the smallest value.
 An empty table gives no rows. Extra columns are ignored. With fewer rows than leaves some leaves stay empty.
 """
 
@@ -96,8 +98,8 @@ def metadata(docs: DataFrame, overhead: int) -> DataFrame:
         F.when(F.col("source").isNull(), 0).otherwise(name("source")).cast("long").alias("d_source"),
         F.when(F.col("lang").isNull(), 0).otherwise(name("lang")).cast("long").alias("d_lang"),
         (F.log2(F.length(text) + F.lit(1.0)) * (1 << 25)).cast("long").alias("d_length"),
-        F.shiftrightunsigned(F.xxhash64("doc_id", F.crc32(text)), 64 - DIM_BITS).alias("tie"),
-        F.monotonically_increasing_id().alias("uid"),
+        F.shiftrightunsigned(F.xxhash64(text), 64 - DIM_BITS).alias("tie"),
+        F.shiftleft(F.shiftrightunsigned(F.xxhash64("doc_id"), 64 - DIM_BITS), DIM_BITS).bitwiseOR(F.shiftrightunsigned(F.xxhash64(F.monotonically_increasing_id()), 64 - DIM_BITS)).alias("uid"),
     )
 
 

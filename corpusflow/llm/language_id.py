@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, columns_or_null, extended, to_driver
+from .common import bounded_sample, columns_of, columns_or_null, extended, to_driver
 
 WORD = re.compile(r"[^\W\d_]+")
 LONGEST = 5
@@ -151,6 +151,7 @@ def train(labelled: DataFrame, train_docs: int = 4_000, train_bytes: int = 64 <<
 def identify(docs: DataFrame, model: Model, id_columns: tuple[str, ...] = ("doc_id",), text_column: str = "text") -> DataFrame:
     """The id columns, lang_pred and score of every row."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
+    docs = columns_of(docs, *dict.fromkeys((*id_columns, text_column)))
     ids = docs.select(*(F.col(f"`{c}`") for c in id_columns))
     schema = extended(ids.schema, lang_pred="string", score="double")
     at = id_columns.index(text_column) if text_column in id_columns else len(id_columns)  # a text is sent once

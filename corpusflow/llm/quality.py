@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, columns_or_null, extended, mix, pieces, row_sums, space_bytes, to_driver, word_bounds, words
+from .common import bounded_sample, columns_of, columns_or_null, extended, mix, pieces, row_sums, space_bytes, to_driver, word_bounds, words
 
 #: Shares are small numbers; this factor makes the steps of the fit about equal in all directions.
 SCALE = 30.0
@@ -144,6 +144,7 @@ def train(docs: DataFrame, graded: DataFrame, n_grades: int, train_docs: int = 6
 def grade(docs: DataFrame, model: OrdinalModel, tail: int, id_columns: tuple[str, ...] = ("doc_id",), text_column: str = "text") -> DataFrame:
     """The id columns, expected_grade and tail_prob = P(grade >= tail) of every row."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
+    docs = columns_of(docs, *dict.fromkeys((*id_columns, text_column)))
     rows = docs.select(F.col(f"`{text_column}`").cast("string").alias("text"), *(F.col(f"`{c}`").alias(f"id{i}") for i, c in enumerate(id_columns)))
     schema = extended(docs.select(*(F.col(f"`{c}`") for c in id_columns)).schema, expected_grade="double", tail_prob="double")
 

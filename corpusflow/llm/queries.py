@@ -82,4 +82,21 @@ fits AS (
          row_number() OVER (PARTITION BY u.page_id ORDER BY length(r.rule_host) DESC NULLS LAST, length(r.rule_path) DESC) AS place
   FROM u LEFT JOIN rules r ON (u.host = r.rule_host OR ends_with(u.host, '.' || r.rule_host)) AND starts_with(u.path, r.rule_path))
 SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM fits WHERE place = 1""",
+    "op8_hamming_topk": """
+WITH c AS (SELECT vec_id, list_transform(embedding, lambda x: coalesce(x > 0 AND NOT isnan(x), false)) AS bits FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL),
+d AS (SELECT q.vec_id AS query_id, c.vec_id AS neighbour_id, CAST(len(list_filter(list_zip(q.bits, c.bits), lambda z: coalesce(z[1], false) <> coalesce(z[2], false))) AS INT) AS distance
+      FROM c q JOIN c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0)
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbour_id) AS place FROM d) WHERE place <= 10""",
+    "op10_jaccard_join": r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+sets AS (SELECT doc_id, CASE WHEN w IS NULL OR len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+  ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(list_slice(w, i, i + 4), ' '))) END AS s FROM w),
+class AS (SELECT min(doc_id) AS doc_id, s FROM (SELECT doc_id, list_sort(s) AS s FROM sets) WHERE len(s) > 0 GROUP BY s),
+member AS (SELECT x.doc_id, c.doc_id AS class FROM (SELECT doc_id, list_sort(s) AS s FROM sets) x JOIN class c USING (s)),
+post AS (SELECT doc_id, len(s) AS n, unnest(s) AS t FROM class),
+link AS (SELECT a.doc_id AS a, b.doc_id AS b FROM post a JOIN post b ON a.t = b.t AND a.doc_id <> b.doc_id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+reach AS (SELECT doc_id AS class, doc_id AS least FROM class UNION SELECT l.b, r.least FROM reach r JOIN link l ON l.a = r.class WHERE r.least < l.b),
+named AS (SELECT class, min(least) AS component_id FROM reach GROUP BY class)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, coalesce(n.component_id, s.doc_id) AS component_id FROM sets s LEFT JOIN member m USING (doc_id) LEFT JOIN named n USING (class)""",
 }

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, columns_or_null, extended, mix, pieces, punctuation_bytes, to_driver, words
+from .common import bounded_sample, columns_of, columns_or_null, extended, mix, pieces, punctuation_bytes, to_driver, words
 
 #: Multipliers that keep words, neighbours and skip-grams apart (fixed odd numbers).
 PAIR_LEFT, PAIR_RIGHT, SKIP_LEFT, SKIP_RIGHT = (np.uint64(x) for x in (0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53))
@@ -112,6 +112,7 @@ def score(docs: DataFrame, weights: np.ndarray, bias: float, id_columns: tuple[s
     """The id columns and the score (0 to 1) of every row."""
     sent = docs.sparkSession.sparkContext.broadcast((weights, bias))
     bits = int(len(weights)).bit_length() - 1
+    docs = columns_of(docs, *dict.fromkeys((*id_columns, text_column)))
     rows = docs.select(F.col(f"`{text_column}`").cast("string").alias("text"), *(F.col(f"`{c}`").alias(f"id{i}") for i, c in enumerate(id_columns)))
     schema = extended(docs.select(*(F.col(f"`{c}`") for c in id_columns)).schema, score="double")
 

@@ -48,3 +48,43 @@ def test_empty_and_few(spark):
     assert kdtree.shard_documents(spark.createDataFrame([], schema), shards=40).count() == 0
     rows = [(1, "a", "en", "s"), (2, "z" * 50_000, "en", "s")]
     check(rows, kdtree.shard_documents(spark.createDataFrame(rows, schema), shards=40).collect(), 40)
+
+
+def plain_tree(rows, leaves, whole, first=0):
+    """The same law by plain recursion: {row number: leaf}. rows: (number, size, {dimension: value}, tie, uid)."""
+    if leaves == 1 or not rows:
+        return {r[0]: first for r in rows}
+    spread = lambda d: (max(r[2][d] for r in rows) - min(r[2][d] for r in rows)) / max(1, whole[d])
+    dimension = max(kdtree.DIMENSIONS, key=spread)
+    order, quota = sorted(rows, key=lambda r: (r[2][dimension], r[3], r[4])), sum(r[1] for r in rows) * (leaves // 2) / leaves
+    seen, cut = 0, 0
+    while cut < len(order) and seen + order[cut][1] < quota:
+        seen, cut = seen + order[cut][1], cut + 1
+    if cut < len(order) and 2 * (quota - seen) >= order[cut][1]:
+        cut += 1
+    return plain_tree(order[:cut], leaves // 2, whole, first) | plain_tree(order[cut:], leaves - leaves // 2, whole, first + leaves // 2)
+
+
+def test_like_a_plain_tree(spark, monkeypatch):
+    monkeypatch.setattr(kdtree, "TOLERANCE", 0.0)
+    rng = random.Random(6)
+    rows = [(i, "z" * rng.choice([3, 40, rng.randrange(300)]) + rng.choice("abcdefgh"), rng.choice(["en", "de", None]), rng.choice(["s", "t", "hot", "hot", "hot"])) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").coalesce(1)
+    meta = kdtree.metadata(df, 16).collect()
+    plain = [(r.doc_id, r.size, {d: r[d] for d in kdtree.DIMENSIONS}, r.tie, r.uid) for r in meta]
+    whole = {d: max(r[2][d] for r in plain) - min(r[2][d] for r in plain) for d in kdtree.DIMENSIONS}
+    for leaves in (2, 7):
+        got = {r.doc_id: r.shard for r in kdtree.shard_documents(df, shards=leaves).collect()}
+        assert got == plain_tree(plain, leaves, whole)
+
+
+def test_copies_stay_together(spark):
+    """Copies with equal metadata share a shard, unless a cut falls among them."""
+    rng = random.Random(2)
+    texts = ["".join(rng.choice("abcdef ") for _ in range(rng.randrange(20, 200))) for _ in range(300)]
+    rows = [(i, rng.choice(texts[:30]) if i % 3 == 0 else texts[i % 300], "en", "s") for i in range(1200)]
+    shards = defaultdict(set)
+    text_of = dict((r[0], r[1]) for r in rows)
+    for r in kdtree.shard_documents(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), shards=10).collect():
+        shards[text_of[r.doc_id]].add(r.shard)
+    assert sum(len(s) > 1 for s in shards.values()) <= 9

@@ -5,6 +5,7 @@ import re
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from corpusflow.llm import mixing
 
@@ -58,3 +59,29 @@ def test_empty_and_wordless(spark):
     schema = "doc_id long, text string, source string"
     assert mixing.mix_sources(spark.createDataFrame([], schema)).count() == 0
     assert [r.taken for r in mixing.mix_sources(spark.createDataFrame([(1, None, "a"), (2, " ", None)], schema)).collect()] == [0, 0]
+
+
+def test_the_order_by_a_plain_loop(spark):
+    """Finish times, the global order and the cut, document by document."""
+    rng = random.Random(9)
+    rows = [(i, "w " * rng.randrange(1, 40), rng.choice(["a", "b", "hot", "hot", "c"])) for i in range(250)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    place = {r.doc_id: r.place for r in df.select("doc_id", F.xxhash64("doc_id", F.xxhash64("text"), F.lit(17)).alias("place")).collect()}
+    sizes = defaultdict(int)
+    for _, t, s in rows:
+        sizes[s] += len(t.split())
+    budget = 1.5 * sum(sizes.values())
+    goal = targets(sizes, {s: (5, 2, 1)[i % 3] for i, s in enumerate(sorted(sizes))}, budget)
+    turns = []
+    for s in sizes:
+        total = 0
+        for turn in (0, 1):
+            for i, t, _ in sorted((r for r in rows if r[2] == s), key=lambda r: place[r[0]]):
+                total += len(t.split())
+                turns.append((total / goal[s], place[i], i, len(t.split())))
+    want, whole = defaultdict(int), 0
+    for _, _, i, n in sorted(turns):
+        whole += n
+        if whole <= budget:
+            want[i] += n
+    assert {r.doc_id: r.taken for r in mixing.mix_sources(df).collect()} == {i: want[i] for i, *_ in rows}
