@@ -16,8 +16,8 @@ from ..scratch import Scratch, drop_path, shared_dir
 
 __all__ = ["Scratch", "drop_path", "shared_dir"]
 
-#: Rows of one Arrow batch are worked on in pieces of about so many bytes of text.
-PIECE_BYTES = 1_000_000
+#: Rows of one Arrow batch are worked on in pieces of about so many bytes of text: arrays over a piece have 8 bytes for each of them.
+PIECE_BYTES = 250_000
 
 
 def _places(df: DataFrame, names: list[str]) -> tuple[DataFrame, list[str | None]]:
@@ -133,7 +133,7 @@ _kept_powers = cache(_powers)
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE^0.. and its inverses modulo 2^64, at least n of each. Sizes are powers of two, and those for longer texts aren't kept."""
     size = 1 << max(16, (max(1, n) - 1).bit_length())
-    return (_kept_powers if size <= 4 * PIECE_BYTES else _powers)(size)
+    return (_kept_powers if size <= 1 << 19 else _powers)(size)
 
 
 def space_bytes() -> np.ndarray:

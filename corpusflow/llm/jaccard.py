@@ -103,7 +103,7 @@ def count_sketch(scratch: Scratch, rows: DataFrame, width: int) -> np.ndarray:
             for _, _, data, offsets in pieces(b):
                 found = [t for t in shingles(data, offsets, width) if len(t)]
                 if found:
-                    total += np.bincount(_places(np.concatenate(found)), minlength=len(total))
+                    np.add.at(total, _places(np.concatenate(found)), 1)
         if total.any():
             small = total.astype(np.uint16 if total.max() < 1 << 16 else np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([small[i * size : (i + 1) * size].tobytes() for i in range(SLICES)], pa.binary())], names=["slice", "counts"])

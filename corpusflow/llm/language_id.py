@@ -31,6 +31,8 @@ WORD = re.compile(r"[^\W\d_]+")
 LONGEST = 5
 #: Unseen words scored by n-grams are kept for the next text, so many at most.
 MEMORY = 50_000
+#: Rows that go back at once.
+ROWS = 1000
 
 
 def letters(text: str | None) -> list[str]:
@@ -159,7 +161,7 @@ def identify(docs: DataFrame, model: Model, id_columns: tuple[str, ...] = ("doc_
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory: dict = {}
-        for b in batches:
+        for b in (whole.slice(i, ROWS) for whole in batches for i in range(0, whole.num_rows, ROWS)):
             found = [sent.value.predict(t.as_py(), memory) for t in b.column(at)]
             yield pa.RecordBatch.from_arrays([*b.columns[: len(id_columns)], pa.array([f[0] for f in found], pa.string()), pa.array(np.array([f[1] for f in found], np.float64))], names=schema.fieldNames())
 
