@@ -49,7 +49,7 @@ CHANCE = 4.0
 #: One more prefix token for each so many expected candidates of a document, up to MOST_MATCHES in all.
 COST_OF_A_MATCH, MOST_MATCHES = 16, 16
 #: Prefix tokens in a block of the shuffle, and in a slice of the lists.
-BLOCK_POSTINGS, SLICE_POSTINGS = 1_000_000, 2_000_000
+BLOCK_POSTINGS, SLICE_POSTINGS = 250_000, 2_000_000
 #: A token in so many documents by the sketch is dealt by class too.
 HOT = 100_000
 #: Partners of one class that one task compares with it.
@@ -165,7 +165,7 @@ def _sketched(scratch: Scratch, rows: DataFrame, sent, width: int, tenths: int,
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo, hi, data, offsets in pieces(b):
-                n, sig, matches, common, k, hots, tokens = [], [], [], [], [], [], []
+                n, sig, matches, common, k, hots, tokens = ([] for _ in range(7))
                 for t in shingles(data, offsets, width):
                     n.append(len(t))
                     over = sent.value.expected(t)
@@ -229,7 +229,15 @@ def token_lists(scratch: Scratch, sketched: DataFrame) -> DataFrame:
 
     def lists_of(at: int, parts: list[tuple[bytes, bytes, bytes, bytes]]) -> pa.RecordBatch | None:
         sigs, commons, counts, tokens = (np.frombuffer(b"".join(x), kind) for x, kind in zip(zip(*parts, strict=True), (np.int64, np.uint8, np.uint32, np.uint64), strict=True))
-        sig, common = np.repeat(sigs, counts), np.repeat(commons, counts)
+        of = np.repeat(np.arange(len(sigs), dtype=np.uint32), counts)
+        if at < slices:  # most tokens occur once: they go before anything else is worked out
+            order = np.argsort(tokens)
+            again = tokens[order[1:]] == tokens[order[:-1]]
+            twice = order[np.concatenate([again, [False]]) | np.concatenate([[False], again])]
+            tokens, of = tokens[twice], of[twice]
+        if not len(tokens):
+            return None
+        sig, common = sigs[of], commons[of]
         order = np.lexsort((sig, common, tokens))
         sig, common, token = sig[order], common[order], tokens[order]
         new = np.concatenate([[True], (token[1:] != token[:-1]) | (sig[1:] != sig[:-1])])

@@ -31,6 +31,8 @@ WORD = re.compile(r"[^\W\d_]+")
 LONGEST = 5
 #: Unseen words scored by n-grams are kept for the next text, so many at most.
 MEMORY = 50_000
+#: Different words that a task counts before it passes them on.
+WORDS_HELD = 10_000
 #: Rows that go back at once.
 ROWS = 1000
 
@@ -108,21 +110,26 @@ def train(labelled: DataFrame, train_docs: int = 4_000, train_bytes: int = 64 <<
     """labelled: doc_id, text, lang (rows with a null lang or text don't count)."""
     rows = bounded_sample(labelled.withColumnRenamed("lang", "label"), None, train_docs, train_bytes).withColumnRenamed("label", "lang")
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by: dict[str, Counter] = {}
-        for b in batches:
-            for text, lang in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                by.setdefault(lang, Counter()).update(letters(text))
-        out: list[tuple[str, str, str, int]] = []
+    def entries(by: dict[str, Counter]) -> Iterator[pa.RecordBatch]:
         for lang, seen in by.items():
-            pieces: Counter = Counter()
+            parts: Counter = Counter()
             for word, times in seen.items():
                 for n in range(1, LONGEST + 1):
                     for g in grams(word, n):
-                        pieces[g] += times
-            out += [("w", w, lang, n) for w, n in seen.items()] + [("g", g, lang, n) for g, n in pieces.items()]
-        for lo in range(0, len(out), 50_000):
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out[lo : lo + 50_000], strict=True)], names=["kind", "entry", "lang", "n"])
+                        parts[g] += times
+            for kind, found in (("w", seen), ("g", parts)):
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array([kind] * len(found)), pa.array(list(found)), pa.array([lang] * len(found)), pa.array(list(found.values()), pa.int64())], names=["kind", "entry", "lang", "n"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by: dict[str, Counter] = {}
+        for b in batches:
+            for text, lang in zip(b.column(0), b.column(1), strict=True):
+                by.setdefault(lang.as_py(), Counter()).update(letters(text.as_py()))
+                if sum(map(len, by.values())) > WORDS_HELD:
+                    yield from entries(by)
+                    by = {}
+        yield from entries(by)
 
     counts = rows.select("text", "lang").mapInArrow(count, "kind string, entry string, lang string, n long").groupBy("kind", "entry", "lang").agg(F.sum("n").alias("n")).persist()
     try:
