@@ -24,7 +24,7 @@ def stratified_sample(rows: DataFrame, stratum: str, key: str, n: int, seed: int
     """The first row (by key) of each stratum, larger strata first, filled up to n in an order that a hash shuffles."""
     sizes = rows.groupBy(stratum).agg(F.count("*").alias("_size"))
     first = F.row_number().over(W.partitionBy(stratum).orderBy(key)) == 1
-    placed = rows.withColumn("_first", first).join(F.broadcast(sizes), stratum)
+    placed = rows.withColumn("_first", first).join(sizes, stratum)
     order = [F.col("_first").desc(), F.when(F.col("_first"), -F.col("_size")), F.when(F.col("_first"), F.col(stratum)), F.xxhash64(F.col(key).cast("string"), F.lit(seed)), F.col(key)]
     return placed.orderBy(*order).limit(n).drop("_first", "_size")
 

@@ -377,7 +377,39 @@ def _articles(spark, sf_dir):
     )
 
 
-@query()
+_COUNT = r"len(list_filter(string_split_regex({0}, '\s+'), lambda x: x <> ''))"
+_SENTENCES_OF = SENTENCES.replace("regexp_replace(text,", "regexp_replace(body,")
+
+
+def _greedy(name: str, units: str, keys: str, weight: str) -> str:
+    """Numbers the groups of units (keys, i from 1, weight): a group takes units while their sum stays within 128."""
+    same = " AND ".join(f"u.{k} = p.{k}" for k in keys.split(", "))
+    mine = ", ".join(f"u.{k}" for k in keys.split(", "))
+    return f"""{name} AS (SELECT {keys}, i, {weight} AS total, 0::BIGINT AS grp FROM {units} WHERE i = 1
+  UNION ALL SELECT {mine}, u.i, CASE WHEN p.total + u.{weight} <= 128 THEN p.total + u.{weight} ELSE u.{weight} END, p.grp + CASE WHEN p.total + u.{weight} <= 128 THEN 0 ELSE 1 END
+  FROM {name} p JOIN {units} u ON {same} AND u.i = p.i + 1)"""
+
+
+CHUNKS = rf"""
+WITH RECURSIVE lines AS (SELECT doc_id, i, line, sum(CASE WHEN regexp_matches(line, '^\s*\d+\.\s') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS clause FROM ({LINES})),
+bodies AS (SELECT doc_id, clause, {STRIP.format("string_agg(line, chr(10) ORDER BY i)")} AS body FROM lines GROUP BY doc_id, clause),
+clauses AS (SELECT *, {_COUNT.format("body")} AS n FROM bodies WHERE body <> ''),
+said AS (SELECT doc_id, clause, unnest(s) AS s, generate_subscripts(s, 1) AS i FROM (SELECT doc_id, clause, {_SENTENCES_OF} AS s FROM clauses WHERE n > 128)),
+sized AS (SELECT *, {_COUNT.format("s")} AS n, least({_COUNT.format("s")}, 129) AS w FROM said),
+{_greedy("runs", "sized", "doc_id, clause", "w")},
+units AS (SELECT doc_id, clause, 0 AS grp, 0 AS block, body AS piece FROM clauses WHERE n <= 128
+  UNION ALL SELECT doc_id, clause, grp, 0, string_agg(s, chr(10) ORDER BY i) FROM runs JOIN sized USING (doc_id, clause, i) WHERE n <= 128 GROUP BY doc_id, clause, grp
+  UNION ALL SELECT doc_id, clause, grp, b, array_to_string(list_slice(t, b + 1, b + 128), ' ') FROM (
+    SELECT doc_id, clause, grp, t, unnest(range(0, len(t), 128)) AS b FROM (SELECT doc_id, clause, grp, list_filter(string_split_regex(s, '\s+'), lambda x: x <> '') AS t FROM runs JOIN sized USING (doc_id, clause, i) WHERE n > 128))),
+pieces AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY clause, grp, block) AS i, piece, {_COUNT.format("piece")} AS n FROM units),
+{_greedy("packs", "pieces", "doc_id", "n")},
+chunks AS (SELECT doc_id, grp, string_agg(piece, chr(10) || chr(10) ORDER BY i) AS body, sum(n) AS n, max_by(piece, i) AS last, max_by(n, i) AS last_n FROM packs JOIN pieces USING (doc_id, i) GROUP BY doc_id, grp),
+wide AS (SELECT doc_id, grp, CASE WHEN n + lag(last_n) OVER w <= 128 THEN lag(last) OVER w || chr(10) || chr(10) || body ELSE body END AS body FROM chunks WINDOW w AS (PARTITION BY doc_id ORDER BY grp))
+SELECT d.source || '|' || d.source || '|' || d.doc_id AS doc_uid, d.source || '|' || d.source || '|' || d.doc_id || '#' || grp AS chunk_id, CAST(grp AS INT) AS part_idx,
+  d.lang || ' > ' || d.source || ' > Điều ' || d.doc_id AS breadcrumb, d.lang || ' > ' || d.source || ' > Điều ' || d.doc_id || chr(10) || body AS chunk_text FROM wide JOIN documents d USING (doc_id)"""
+
+
+@query(CHUNKS)
 def chunk_documents(spark, sf_dir):
     return chunk.chunk_articles(_articles(spark, sf_dir), 128).select("doc_uid", "chunk_id", "part_idx", "breadcrumb", "chunk_text")
 
