@@ -53,10 +53,10 @@ def build_index(docs: DataFrame, key: str, text: str, tokenise=terms_of, epsilon
     tokens = docs.select(F.col(key), tokenise(F.coalesce(F.col(text), F.lit(""))).alias("tokens"))
     exploded = tokens.select(key, F.size("tokens").cast("long").alias("dl"), F.explode("tokens").alias("term"))
     postings = scratch.table(exploded.groupBy(key, "dl", "term").agg(F.count("*").alias("tf")))
-    n, total = docs.count(), postings.agg(F.coalesce(F.sum("tf"), F.lit(0))).first()[0]
-    raw = postings.groupBy("term").agg(F.count("*").alias("df")).withColumn("raw", F.log(F.lit(n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    n = docs.count()
+    raw = postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("times")).withColumn("raw", F.log(F.lit(n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     raw = scratch.table(raw)
-    mean = raw.agg(F.avg("raw")).first()[0] or 0.0
+    mean, total = (x or 0 for x in raw.agg(F.avg("raw"), F.sum("times")).first())
     terms = raw.select("term", "df", F.when(F.col("raw") < 0, epsilon * mean).otherwise(F.col("raw")).alias("idf"))
     return LexicalIndex(postings, terms, n, (total / n) if n else 0.0, key)
 
