@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
-from functools import cache
+from contextlib import suppress
+from functools import cache, wraps
 
 import numpy as np
 import pyarrow as pa
@@ -64,6 +66,20 @@ def split_join(scratch: Scratch, big: DataFrame, small: DataFrame, on: list[str]
     return cold.unionByName(checked_join(big, warm, on, row_bytes=row_bytes))
 
 
+def trimmed(work):
+    """A mapInArrow function that gives its task's memory back to the system at the end: Python workers live on, and what their
+    allocators hold would add up on an executor."""
+
+    @wraps(work)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from work(batches)
+        pa.default_memory_pool().release_unused()
+        with suppress(OSError, AttributeError):  # not every C library has it
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return run
+
+
 # --- running totals over a global order ---------------------------------------------------------
 
 
@@ -98,7 +114,7 @@ def running_totals(scratch: Scratch, df: DataFrame, group: str, order: list[str]
                 segs[lo:hi] = seg
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(len(g), part, np.int32)), pa.array(segs), pa.array(local)], names=[*fields, "part", "seg", "local"])
 
-    placed = scratch.table(df.repartitionByRange(partitions, *keys).sortWithinPartitions(*keys).mapInArrow(sums, schema))
+    placed = scratch.table(df.repartitionByRange(partitions, *keys).sortWithinPartitions(*keys).mapInArrow(trimmed(sums), schema))
     # one row per (task, group); tasks are in order, and a group is one run of tasks
     tails = placed.groupBy("part", "seg", group).agg(F.max("local").alias("tail"))
     before = W.partitionBy(group).orderBy("part").rowsBetween(W.unboundedPreceding, -1)

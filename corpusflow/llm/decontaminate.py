@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Scratch, columns_of, columns_or_null, extended, mix, pieces, punctuation_bytes, to_driver, words
+from .common import Scratch, columns_of, columns_or_null, extended, mix, pieces, punctuation_bytes, to_driver, trimmed, words
 
 K1, B = 1.5, 0.75
 #: Items in a block, and ranges of blocks for the first bound.
@@ -243,7 +243,7 @@ def word_lists(items: DataFrame) -> DataFrame:
                 columns = [b.column(1).slice(lo, hi - lo), pa.array([class_of(int(x)) for x in n], pa.int32()), pa.array(n, pa.int64()), pa.array(sets, pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays(columns, names=["slice", "class", "n", "hashes"])
 
-    return items.select("text", "slice").mapInArrow(measure, "slice int, class int, n long, hashes array<long>")
+    return items.select("text", "slice").mapInArrow(trimmed(measure), "slice int, class int, n long, hashes array<long>")
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, least_score: float = 0.5, least_overlap: float = 0.7, id_columns: tuple[str, ...] = ("doc_id",), text_column: str = "text", max_index_bytes: int = 32 << 20) -> DataFrame:
@@ -287,6 +287,6 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, least_score: float = 0.5,
                         at = pa.array([lo + x[0] for x in hits])
                         yield pa.RecordBatch.from_arrays([*(c.take(at) for c in b.columns[1:]), *(pa.array([x[j + 1] for x in hits], k) for j, k in enumerate(kinds))], names=schema.fieldNames())
 
-        return rows.mapInArrow(probe, schema)
+        return rows.mapInArrow(trimmed(probe), schema)
 
     return reduce(DataFrame.unionByName, [one(i) for i in range(slices)])

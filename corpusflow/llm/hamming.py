@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Scratch, columns_or_null
+from .common import Scratch, columns_or_null, trimmed
 from .decontaminate import ranges
 
 #: Bits of a word of a code.
@@ -53,7 +53,7 @@ def sign_codes(vectors: DataFrame, id_column: str, vector_column: str) -> DataFr
             codes = [x[:n].tobytes() for x, n in zip(packed, used, strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(codes, pa.binary())], names=["id", "code"])
 
-    return columns_or_null(vectors, **{id_column: "long", vector_column: "array<double>"}).filter(f"`{vector_column}` is not null and `{id_column}` is not null").mapInArrow(encode, "id long, code binary")
+    return columns_or_null(vectors, **{id_column: "long", vector_column: "array<double>"}).filter(f"`{vector_column}` is not null and `{id_column}` is not null").mapInArrow(trimmed(encode), "id long, code binary")
 
 
 def unpacked(codes: list[bytes], n_words: int) -> np.ndarray:

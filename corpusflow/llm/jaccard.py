@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import BASE, MASK, Scratch, checked_join, columns_or_null, mix, pieces, space_bytes, words
+from .common import BASE, MASK, Scratch, checked_join, columns_or_null, mix, pieces, space_bytes, trimmed, words
 from .components import connected_components
 
 SKETCH_BITS = 20
@@ -117,7 +117,7 @@ def count_sketch(scratch: Scratch, rows: DataFrame, width: int) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["slice", "counts"])
 
     schema = "slice int, counts binary"
-    parts = rows.select("text").mapInArrow(count, schema).repartition(SLICES, "slice").mapInArrow(add, schema)
+    parts = rows.select("text").mapInArrow(trimmed(count), schema).repartition(SLICES, "slice").mapInArrow(trimmed(add), schema)
     sketch = np.zeros(1 << SKETCH_BITS, np.int64)
     for r in parts.toArrow().to_pylist():  # SLICES rows
         sketch[r["slice"] * size : (r["slice"] + 1) * size] += np.frombuffer(r["counts"], np.int64)
@@ -179,7 +179,7 @@ def _sketched(scratch: Scratch, rows: DataFrame, sent, width: int, tenths: int,
                 columns = [pa.array(n, pa.int64()), pa.array(sig, pa.int64()), *(pa.array(x, pa.int32()) for x in (matches, common, k)), pa.array(hots, pa.binary()), pa.array(tokens, pa.binary())]
                 yield pa.RecordBatch.from_arrays([b.column(1)[lo:hi], b.column(2)[lo:hi], *columns], names=["doc_id", "text_key", "n", "sig", "matches", "common", "k", "hot", "tokens"])
 
-    return scratch.table(rows.select("text", "doc_id", F.xxhash64("text").alias("text_key")).mapInArrow(work, SKETCHED))
+    return scratch.table(rows.select("text", "doc_id", F.xxhash64("text").alias("text_key")).mapInArrow(trimmed(work), SKETCHED))
 
 
 def slice_of(token: np.ndarray, slices: int) -> np.ndarray:
@@ -260,8 +260,8 @@ def token_lists(scratch: Scratch, sketched: DataFrame) -> DataFrame:
             if (out := lists_of(at, parts.pop(at))) is not None:
                 yield out
 
-    blocks = sketched.filter("n > 0").select("sig", "common", "hot", "tokens").mapInArrow(pack, "slice int, sigs binary, commons binary, counts binary, tokens binary")
-    found = scratch.table(blocks.repartitionById(slices, F.expr(f"slice % {slices}")).mapInArrow(gather, "token long, sig long, pivot long, common int, hot boolean"))
+    blocks = sketched.filter("n > 0").select("sig", "common", "hot", "tokens").mapInArrow(trimmed(pack), "slice int, sigs binary, commons binary, counts binary, tokens binary")
+    found = scratch.table(blocks.repartitionById(slices, F.expr(f"slice % {slices}")).mapInArrow(trimmed(gather), "token long, sig long, pivot long, common int, hot boolean"))
     if not found.filter("hot").limit(1).count():
         return found.select("token", "sig", "pivot")
     hot = found.filter("hot").select("token", "sig", "pivot", "common")
@@ -290,7 +290,7 @@ def compared(scratch: Scratch, pairs: DataFrame, classes: DataFrame, rows: DataF
                 keep = [lo + i for i, t in enumerate(shingles(data, offsets, width)) if len(t) and signature(t) == want[i]]
                 yield b.take(pa.array(keep, pa.int64()))
 
-    texts = scratch.table(found.mapInArrow(own, "text string, sig long"))
+    texts = scratch.table(found.mapInArrow(trimmed(own), "text string, sig long"))
     salts = pairs.groupBy("a").agg(F.count("*").alias("partners")).withColumn("salts", F.ceil(F.col("partners") / SALT_ROWS).cast("int"))
     salted = pairs.join(salts, "a").withColumn("salt", F.pmod(F.xxhash64("b", F.lit(3)), F.col("salts")).cast("int"))
     heads = salts.select(F.col("a").alias("sig"), "a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("long").alias("b"), "partners")
@@ -320,7 +320,7 @@ def compared(scratch: Scratch, pairs: DataFrame, classes: DataFrame, rows: DataF
                 kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.bool_(), pa.list_(pa.int64())]
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["a", "b", "linked", "inter", "whole", "held"])
 
-    out = scratch.table(together.select("text", "a", "b", "partners").mapInArrow(compare, COMPARED))
+    out = scratch.table(together.select("text", "a", "b", "partners").mapInArrow(trimmed(compare), COMPARED))
     scratch.drop(texts)
     return out
 

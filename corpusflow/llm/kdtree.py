@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
-from .common import Scratch, columns_or_null, extended, running_totals
+from .common import Scratch, columns_or_null, extended, running_totals, trimmed
 
 BUCKETS = 4096
 #: Passes stop when the bucket that holds the quota has less than this part of a leaf's bytes.
@@ -117,7 +117,7 @@ def _extents(rows: DataFrame, tree: dict[int, Node]) -> dict[int, Row]:
             out += [pa.array([int((x[d][g].min if e == "least" else x[d][g].max)()) for g in groups]) for d in DIMENSIONS for e in ("least", "most")]
             yield pa.RecordBatch.from_arrays(out, names=["node", "size", *ends])
 
-    found = rows.select(*COLUMNS).mapInArrow(measure, "node long, size long, " + ", ".join(f"{e} long" for e in ends))
+    found = rows.select(*COLUMNS).mapInArrow(trimmed(measure), "node long, size long, " + ", ".join(f"{e} long" for e in ends))
     return {r["node"]: r for r in found.groupBy("node").agg(F.sum("size").alias("size"), *((F.min if e.startswith("least") else F.max)(e).alias(e) for e in ends)).collect()}
 
 
@@ -143,7 +143,7 @@ def _histogram(rows: DataFrame, tree: dict[int, Node], searches: dict[int, Searc
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(full), k)), pa.array(full), pa.array(sums[full])], names=["node", "bucket", "size"])
 
     out: dict[int, dict[int, int]] = {}
-    for r in rows.select(*COLUMNS).mapInArrow(fill, "node long, bucket long, size long").groupBy("node", "bucket").agg(F.sum("size").alias("size")).collect():
+    for r in rows.select(*COLUMNS).mapInArrow(trimmed(fill), "node long, bucket long, size long").groupBy("node", "bucket").agg(F.sum("size").alias("size")).collect():
         out.setdefault(r["node"], {})[r["bucket"]] = r["size"]
     return out
 
@@ -211,7 +211,7 @@ def place(rows: DataFrame, tree: dict[int, Node]) -> DataFrame:
             leaf = np.array([tree[k].first_leaf for k in locate(columns_of(b), tree)], np.int32)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(leaf)], names=schema.fieldNames())
 
-    return rows.mapInArrow(put, schema)
+    return rows.mapInArrow(trimmed(put), schema)
 
 
 def shard_documents(docs: DataFrame, shards: int | None = None, target_bytes: int | None = None, overhead: int = 16) -> DataFrame:

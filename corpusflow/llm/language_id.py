@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, columns_of, columns_or_null, extended, to_driver
+from .common import bounded_sample, columns_of, columns_or_null, extended, to_driver, trimmed
 
 WORD = re.compile(r"[^\W\d_]+")
 LONGEST = 5
@@ -131,7 +131,7 @@ def train(labelled: DataFrame, train_docs: int = 4_000, train_bytes: int = 64 <<
                     by = {}
         yield from entries(by)
 
-    counts = rows.select("text", "lang").mapInArrow(count, "kind string, entry string, lang string, n long").groupBy("kind", "entry", "lang").agg(F.sum("n").alias("n")).persist()
+    counts = rows.select("text", "lang").mapInArrow(trimmed(count), "kind string, entry string, lang string, n long").groupBy("kind", "entry", "lang").agg(F.sum("n").alias("n")).persist()
     try:
         # entries of one letter run are held apart by the length of the n-gram, which is the length of the entry
         sums = counts.groupBy("kind", "lang", F.when(F.col("kind") == "w", 0).otherwise(F.length("entry")).alias("length")).agg(F.sum("n").alias("n")).collect()  # languages x 6 rows
@@ -172,7 +172,7 @@ def identify(docs: DataFrame, model: Model, id_columns: tuple[str, ...] = ("doc_
             found = [sent.value.predict(t.as_py(), memory) for t in b.column(at)]
             yield pa.RecordBatch.from_arrays([*b.columns[: len(id_columns)], pa.array([f[0] for f in found], pa.string()), pa.array(np.array([f[1] for f in found], np.float64))], names=schema.fieldNames())
 
-    return rows.mapInArrow(predict, schema)
+    return rows.mapInArrow(trimmed(predict), schema)
 
 
 def language_of_documents(docs: DataFrame, is_training, **options) -> DataFrame:

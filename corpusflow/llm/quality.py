@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, columns_of, columns_or_null, extended, mix, pieces, row_sums, space_bytes, to_driver, word_bounds, words
+from .common import bounded_sample, columns_of, columns_or_null, extended, mix, pieces, row_sums, space_bytes, to_driver, trimmed, word_bounds, words
 
 #: Shares are small numbers; this factor makes the steps of the fit about equal in all directions.
 SCALE = 30.0
@@ -136,7 +136,7 @@ def train(docs: DataFrame, graded: DataFrame, n_grades: int, train_docs: int = 6
                 yield pa.RecordBatch.from_arrays([b.column(1)[lo:hi], b.column(2)[lo:hi], pa.array([x for x, _ in out], pa.binary()), pa.array([x for _, x in out], pa.binary())], names=["grade", "key", "places", "shares"])
 
     rows = bounded_sample(docs, graded.filter(F.col("label").between(0, n_grades - 1)), train_docs, train_bytes).select("text", F.col("label").cast("int"), "key")
-    got = to_driver(rows.mapInArrow(encode, "grade int, key long, places binary, shares binary")).sort_by([("key", "ascending"), ("grade", "ascending")])
+    got = to_driver(rows.mapInArrow(trimmed(encode), "grade int, key long, places binary, shares binary")).sort_by([("key", "ascending"), ("grade", "ascending")])
     texts = [(np.frombuffer(p, np.int32).astype(np.int64), np.frombuffer(v, np.float32).astype(np.float64)) for p, v in zip(got["places"].to_pylist(), got["shares"].to_pylist(), strict=True)]
     return fit(texts, got["grade"].to_numpy().astype(np.int64), n_grades, bits)
 
@@ -158,7 +158,7 @@ def grade(docs: DataFrame, model: OrdinalModel, tail: int, id_columns: tuple[str
                 tails = m.tails(s)
                 yield pa.RecordBatch.from_arrays([*(c[lo:hi] for c in b.columns[1:]), pa.array(tails.sum(1)), pa.array(np.ascontiguousarray(tails[:, tail - 1]))], names=schema.fieldNames())
 
-    return rows.mapInArrow(judge, schema)
+    return rows.mapInArrow(trimmed(judge), schema)
 
 
 def select_by_quality(docs: DataFrame, ratings: DataFrame, is_training, n_grades: int, tail: int, least: float = 0.5, **options) -> DataFrame:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PIECE_BYTES, Scratch, columns_or_null, mix, pieces, powers, split_join
+from .common import PIECE_BYTES, Scratch, columns_or_null, mix, pieces, powers, split_join, trimmed
 from .decontaminate import ranges
 
 LENGTH = 400
@@ -174,7 +174,7 @@ def _pieces(rows: DataFrame, length: int, gram: int) -> DataFrame:
                     names=["doc", "hash", "first", "windows", "off", "anchor", "same"],
                 )
 
-    return rows.select("text", "doc", "hash").mapInArrow(cut, PIECE)
+    return rows.select("text", "doc", "hash").mapInArrow(trimmed(cut), PIECE)
 
 
 def _texts(rows: DataFrame, scratch: Scratch, wanted: DataFrame, length: int, gram: int) -> DataFrame:
@@ -189,7 +189,7 @@ def _texts(rows: DataFrame, scratch: Scratch, wanted: DataFrame, length: int, gr
                 out = [(x["anchor"], x["anchor"], x["same"], x["windows"], x["off"], x["times"], gram - length, 0, 0, x["windows"], x["same"], raw[x["first"] : x["first"] + x["windows"] + length - 1].to_pybytes()) for x in wants]
                 yield pa.RecordBatch.from_pylist([dict(zip(_names(PART), r, strict=True)) for r in out], _arrow(PART))
 
-    return joined.select("text", "wants").mapInArrow(take, PART)
+    return joined.select("text", "wants").mapInArrow(trimmed(take), PART)
 
 
 def _names(ddl: str) -> list[str]:
@@ -219,7 +219,7 @@ def _halves(parts: DataFrame, length: int) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_pylist(out, _arrow(PART))
 
-    return parts.select(*_names(PART)).mapInArrow(split, PART)
+    return parts.select(*_names(PART)).mapInArrow(trimmed(split), PART)
 
 
 def _blocks(parts: DataFrame, length: int) -> DataFrame:
@@ -245,7 +245,7 @@ def _blocks(parts: DataFrame, length: int) -> DataFrame:
         if held:
             yield solve(held)
 
-    return parts.select(*_names(PART)).mapInArrow(search, SPAN)
+    return parts.select(*_names(PART)).mapInArrow(trimmed(search), SPAN)
 
 
 def repeated_spans(scratch: Scratch, rows: DataFrame, length: int, gram: int, group: int) -> DataFrame:
@@ -321,4 +321,4 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, grou
                     yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
                     out, size = [], 0
 
-    return joined.select("doc_id", "text", "spans").mapInArrow(apply, KEPT)
+    return joined.select("doc_id", "text", "spans").mapInArrow(trimmed(apply), KEPT)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, columns_of, columns_or_null, extended, mix, pieces, punctuation_bytes, to_driver, words
+from .common import bounded_sample, columns_of, columns_or_null, extended, mix, pieces, punctuation_bytes, to_driver, trimmed, words
 
 #: Multipliers that keep words, neighbours and skip-grams apart (fixed odd numbers).
 PAIR_LEFT, PAIR_RIGHT, SKIP_LEFT, SKIP_RIGHT = (np.uint64(x) for x in (0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53))
@@ -97,7 +97,7 @@ def train(docs: DataFrame, labels: DataFrame, train_docs: int = 12_000, train_by
                 yield pa.RecordBatch.from_arrays([b.column(1)[lo:hi], b.column(2)[lo:hi], pa.array([place[x:y].tobytes() for x, y in zip(cuts, cuts[1:], strict=False)], pa.binary())], names=["label", "key", "places"])
 
     rows = bounded_sample(docs, labels, train_docs, train_bytes)
-    got = to_driver(rows.select("text", F.col("label").cast("int"), "key").mapInArrow(encode, "label int, key long, places binary")).sort_by([("key", "ascending"), ("label", "ascending")])
+    got = to_driver(rows.select("text", F.col("label").cast("int"), "key").mapInArrow(trimmed(encode), "label int, key long, places binary")).sort_by([("key", "ascending"), ("label", "ascending")])
     if not got.num_rows:
         return np.zeros(1 << bits, np.float32), 0.0
     places, label = [np.frombuffer(x, np.int32) for x in got["places"].to_pylist()], got["label"].to_numpy().astype(np.float64)
@@ -126,7 +126,7 @@ def score(docs: DataFrame, weights: np.ndarray, bias: float, id_columns: tuple[s
                 s = np.bincount(both >> bits, w[both & ((1 << bits) - 1)], hi - lo) + b0
                 yield pa.RecordBatch.from_arrays([*(c[lo:hi] for c in b.columns[1:]), pa.array(1.0 / (1.0 + np.exp(-np.clip(s, -35, 35))))], names=schema.fieldNames())
 
-    return rows.mapInArrow(judge, schema)
+    return rows.mapInArrow(trimmed(judge), schema)
 
 
 def toxicity_of_documents(docs: DataFrame, labels: DataFrame, is_training, **options) -> DataFrame:

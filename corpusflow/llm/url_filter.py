@@ -16,7 +16,7 @@ from dataclasses import dataclass, field
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import columns_or_null
+from .common import columns_or_null, trimmed
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -92,4 +92,4 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]], default: st
                 names=[id_column, "host", "path", "rule", "verdict"],
             )
 
-    return columns_or_null(pages, **{id_column: "long", url_column: "string"}).mapInArrow(judge, f"`{id_column}` long, host string, path string, rule string, verdict string")
+    return columns_or_null(pages, **{id_column: "long", url_column: "string"}).mapInArrow(trimmed(judge), f"`{id_column}` long, host string, path string, rule string, verdict string")
