@@ -73,6 +73,11 @@ _REST = "substr(url, position('://' in url) + 3)"
 _HOST = f"CASE WHEN coalesce(position('://' in url), 0) = 0 THEN '' ELSE translate(regexp_extract({_REST}, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') END"
 _PATH = f"CASE WHEN coalesce(position('://' in url), 0) = 0 THEN '' ELSE regexp_extract({_REST}, '^[^/?#]*([^?#]*)', 1) END"
 
+#: UTF-8 in hexadecimal digits: a whole character, and the longest beginning of a cut one or a byte out of place.
+_NEXT = "[89AB]."
+_WHOLE = f"[0-7].|(?:C[2-9A-F]|D.){_NEXT}|(?:E0[AB].|E[1-9ABCEF]{_NEXT}|ED[89].){_NEXT}|(?:F0[9AB].|F[123]{_NEXT}|F48.){_NEXT}{_NEXT}"
+_CUT = f"E0[AB].|E[1-9ABCEF]{_NEXT}|ED[89].|(?:F0[9AB].|F[123]{_NEXT}|F48.)(?:{_NEXT})?|.."
+
 ORACLE_SQL: dict[str, str] = {
     "op4_url_filter": f"""
 WITH u AS (SELECT page_id, {_HOST} AS host, {_PATH} AS path FROM pages),
@@ -82,6 +87,19 @@ fits AS (
          row_number() OVER (PARTITION BY u.page_id ORDER BY length(r.rule_host) DESC NULLS LAST, length(r.rule_path) DESC) AS place
   FROM u LEFT JOIN rules r ON (u.host = r.rule_host OR ends_with(u.host, '.' || r.rule_host)) AND starts_with(u.path, r.rule_path))
 SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM fits WHERE place = 1""",
+    "op3_suffix_dedup": rf"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS b FROM documents),
+windows AS (SELECT r, i, md5(array_slice(b, i + 1, i + 400)) AS m FROM (SELECT r, b, unnest(range(0, octet_length(b) - 399)) AS i FROM d)),
+again AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY m) AS n FROM windows) WHERE n > 1),
+begun AS (SELECT r, i, CAST(coalesce(i - lag(i) OVER (PARTITION BY r ORDER BY i) > 400, true) AS INT) AS fresh FROM again),
+spans AS (SELECT r, min(i) AS s, max(i) + 400 AS e FROM (SELECT r, i, sum(fresh) OVER (PARTITION BY r ORDER BY i) AS run FROM begun) GROUP BY r, run),
+gaps AS (SELECT r, s, coalesce(lag(e) OVER (PARTITION BY r ORDER BY s), 0) AS e FROM spans
+  UNION ALL SELECT d.r, max(octet_length(d.b)), coalesce(max(spans.e), 0) FROM d LEFT JOIN spans USING (r) GROUP BY d.r),
+left_over AS (SELECT r, string_agg(CASE WHEN g.s > g.e THEN hex(array_slice(d.b, g.e + 1, g.s)) ELSE '' END, '' ORDER BY g.s) AS h FROM gaps g JOIN d USING (r) GROUP BY r),
+removed AS (SELECT r, sum(e - s) AS n, count(*) AS spans FROM spans GROUP BY r)
+SELECT d.doc_id, octet_length(d.b) AS n_bytes, CAST(coalesce(x.n, 0) AS BIGINT) AS n_removed, coalesce(x.spans, 0) AS n_spans, sha256(unhex(l.h)) AS kept_sha256,
+  decode(unhex(array_to_string(list_transform(regexp_extract_all(l.h, '{_WHOLE}|{_CUT}'), lambda c: CASE WHEN regexp_full_match(c, '{_WHOLE}') THEN c ELSE 'EFBFBD' END), ''))) AS text
+FROM d JOIN left_over l USING (r) LEFT JOIN removed x USING (r)""",
     "op8_hamming_topk": """
 WITH c AS (SELECT vec_id, list_transform(embedding, lambda x: coalesce(x > 0 AND NOT isnan(x), false)) AS bits FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL),
 d AS (SELECT q.vec_id AS query_id, c.vec_id AS neighbour_id, CAST(len(list_filter(list_zip(q.bits, c.bits), lambda z: coalesce(z[1], false) <> coalesce(z[2], false))) AS INT) AS distance
