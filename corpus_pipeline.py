@@ -6,6 +6,9 @@ the last return the columns of ``documents``. A row is known by doc_id and a has
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +18,23 @@ from corpusflow.scratch import closed_after
 
 COLUMNS = {"doc_id": "long", "text": "string", "lang": "string", "source": "string", "n_chars": "long"}
 KEY = ["doc", "text_key"]
+#: Bytes of an Arrow batch, exceeded by a row at most. Of Spark's own 64 MB, each task holds several in the JVM and in Python.
+BATCH_BYTES = 2 << 20
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def in_small_batches(stage: Stage) -> Stage:
+    """The stage, with the session's Arrow batches held to BATCH_BYTES; a smaller bound is kept. As a result is worked out
+    after the stage returns, the setting stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name)) > BATCH_BYTES:
+            spark.conf.set(name, str(BATCH_BYTES))
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -39,6 +59,7 @@ def _once(keyed: DataFrame, each: str = "false") -> DataFrame:
     return keyed
 
 
+@in_small_batches
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter, or of no language with more probability than the others together, go.
 
@@ -50,6 +71,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return language_id.identify(rows, model, tuple(COLUMNS)).filter("lang_pred <> 'und' and score >= 0.5").select(*COLUMNS)
 
 
+@in_small_batches
 def join_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near duplicates the document with the least doc_id stays (nulls last, then by text hash).
 
@@ -66,6 +88,7 @@ def join_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return rows.select(*COLUMNS)
 
 
+@in_small_batches
 def remove_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a test item go.
 
@@ -77,6 +100,7 @@ def remove_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     return checked_join(keyed, scratch.table(leaks), KEY, "left_anti", row_bytes=48).select(*COLUMNS)
 
 
+@in_small_batches
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it: not at all, once or twice.
 
@@ -89,6 +113,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return rows.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).select(*COLUMNS)
 
 
+@in_small_batches
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot and grown_shard of every row, repeated ones too; null texts have size 16."""
     return kdtree.shard_documents(docs, shards=40)
