@@ -148,10 +148,12 @@ def train(labelled: DataFrame, train_docs: int = 4_000, train_bytes: int = 64 <<
         tables[kind].setdefault(entry, [0] * len(languages))[place[lang]] = n
 
     def logs(kind: str) -> dict[str, tuple[float, ...]]:
-        out = {}
+        out, made = {}, {}  # most entries are rare: those of one kind with equal counts share their scores
         for entry, counted in tables[kind].items():
-            whole = mass[kind, len(entry) if kind == "g" else 0]
-            out[entry] = tuple(math.log((c + 0.5) / (t + 1000.0)) for c, t in zip(counted, whole, strict=True))
+            length = len(entry) if kind == "g" else 0
+            if (same := (length, *counted)) not in made:
+                made[same] = tuple(math.log((c + 0.5) / (t + 1000.0)) for c, t in zip(counted, mass[kind, length], strict=True))
+            out[entry] = made[same]
         return out
 
     return Model(languages, logs("w"), logs("g"))
