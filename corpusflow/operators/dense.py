@@ -19,6 +19,7 @@ from ..functions import text as X
 from ..functions import vectors as V
 from ..models import Embedder, word_counts
 from . import dedup
+from .best import Best
 
 #: Bytes of the queries in one broadcast block (8 a component).
 BLOCK_BYTES = 32 << 20
@@ -55,34 +56,15 @@ def _block(corpus: DataFrame, asked: pa.Table, key: str, query_key: str, k: int,
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, questions = sent.value
-        held: pa.Table | None = None
-        floor = np.full(len(questions), -np.inf)
+        found = Best(names, query_key, key, k)
         step = max(1, SCORES // max(1, len(questions)))
-
-        def cut(t: pa.Table) -> pa.Table:
-            """The k best of each query, ties by key."""
-            t = t.sort_by([("q", "ascending"), ("score", "descending"), (key, "ascending")])
-            q = t["q"].to_numpy()
-            first = np.flatnonzero(np.concatenate([[True], q[1:] != q[:-1]])) if len(q) else np.zeros(0, np.int64)
-            place = np.arange(len(q)) - np.repeat(first, np.diff(np.concatenate([first, [len(q)]])))
-            full = np.flatnonzero(place == k - 1)
-            floor[q[full]] = t["score"].to_numpy()[full]
-            return t.filter(pa.array(place < k))
-
         for b in batches:
             for lo in range(0, b.num_rows, step):
                 some = b.slice(lo, step)
                 vectors = matrix(some.column(1))
-                if not vectors.shape[1]:
-                    continue
-                scores = np.round((_units(vectors) if normalised else vectors) @ questions.T, 6)
-                row, q = np.nonzero(scores >= floor)
-                if len(row):
-                    new = pa.table({"q": q, key: some.column(0).take(pa.array(row)), "score": scores[row, q]})
-                    held = cut(pa.concat_tables([held, new]) if held is not None else new)
-        if held is not None and held.num_rows:
-            out = pa.table([names.take(held["q"].combine_chunks()), held[key].combine_chunks(), held["score"].combine_chunks()], names=[query_key, key, "score"])
-            yield from out.combine_chunks().to_batches()
+                if vectors.shape[1]:
+                    found.add(some.column(0), np.round((_units(vectors) if normalised else vectors) @ questions.T, 6))
+        yield from found.batches()
 
     return corpus.mapInArrow(best, schema)
 
