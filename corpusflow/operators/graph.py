@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import config
+from ..functions import text as X
 from . import dedup, joins
 
 
@@ -53,8 +54,7 @@ def unmapped_labels(relationships: DataFrame, labels: dict[str, str] | None = No
 
 def mentions(texts: DataFrame, key: str, text: str, concepts: tuple[str, ...] = config.CONCEPTS) -> DataFrame:
     """(key, concept) wherever the text holds the concept, in any case. The list is a literal, so rows are neither joined nor shuffled."""
-    low = F.lower(F.col(text))
-    found = F.filter(F.array(*(F.lit(x.lower()) for x in concepts)), lambda x: F.contains(low, x))
+    found = X.let(F.lower(F.col(text)), lambda low: F.filter(F.array(*(F.lit(x.lower()) for x in concepts)), lambda x: F.contains(low, x)))
     return texts.select(key, F.explode(found).alias("concept"))
 
 

@@ -34,3 +34,26 @@ def test_neither_postings_nor_hits_are_shuffled(spark, shuffled):
     shuffled()
     got = lexical.search(lexical.build_index(docs, "k", "t"), q, "id", "q", 5).collect()
     assert len(got) == 100 and shuffled() < n  # 60,000 postings, and as many pairs of query and document
+
+
+def test_expansion_meets_few_chunks_of_a_hub(spark, shuffled):
+    """A concept and a document with many articles: their first chunks by chunk_id, past the seeds, in the order of their scores."""
+    from corpusflow import config
+    from corpusflow.operators import expand
+
+    n, n_queries, p = 2000, 40, config.Retrieval(expanded_top=10)
+    name = [f"a{i:04}" for i in range(n)]
+    chunks = spark.createDataFrame([(a, a, 0) for a in name], "chunk_id string, doc_uid string, part_idx int").localCheckpoint()
+    edges = [("DOC:x" if i % 2 else "DOC:y", f"ART:{a}", "HAS_ARTICLE") for i, a in enumerate(name)] + [("DOC:x", "DOC:y", "DETAILS")]
+    edges = spark.createDataFrame(edges + [(f"ART:{a}", "CONCEPT:c", "MENTIONS") for a in name], "src string, dst string, rel string").localCheckpoint()
+    seeds = [(q, name[i], s) for q in range(n_queries) for i, s in ((q, 0.9), (q + 1, 0.8), (n - 1 - q, 0.1))]
+    rows = spark.createDataFrame(seeds, "qid int, chunk_id string, score double").localCheckpoint()
+    shuffled()
+    got = expand.expand(rows, chunks, edges, params=p).collect()
+    assert shuffled() < 8 * n  # chunks and edges; there are 120,000 triples of query, hub and chunk
+    for q in range(n_queries):
+        mine = {a: s for x, a, s in seeds if x == q}
+        by_doc = max(s for a, s in mine.items() if name.index(a) % 2) * 0.6
+        score = {a: max(mine[a], by_doc if not i % 2 else 0) if a in mine else max(by_doc if not i % 2 else 0, 0.9 * 0.3) for i, a in enumerate(name)}
+        want = sorted(((-round(s, 9), a) for a, s in score.items()))[:10]
+        assert [(-r.score, r.chunk_id) for r in sorted(got, key=lambda r: r["rank"]) if r.qid == q] == want
