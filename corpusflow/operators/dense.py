@@ -11,6 +11,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -59,6 +60,7 @@ def _block(corpus: DataFrame, asked: pa.Table, key: str, query_key: str, k: int,
         found = Best(names, query_key, key, k)
         step = max(1, SCORES // max(1, len(questions)))
         for b in batches:
+            b = b.filter(pc.is_valid(b.column(1)))  # here, as a filter of the plan would work out a computed vector twice
             for lo in range(0, b.num_rows, step):
                 some = b.slice(lo, step)
                 vectors = matrix(some.column(1))
@@ -71,7 +73,7 @@ def _block(corpus: DataFrame, asked: pa.Table, key: str, query_key: str, k: int,
 
 def search(vectors: DataFrame, queries: DataFrame, key: str, vector: str, query_key: str, query_vector: str, k: int = 50, normalised: bool = True, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """query_key, key, score, rank. With ``normalised`` both sides are brought to unit length first. Null vectors match nothing."""
-    corpus = vectors.filter(F.col(vector).isNotNull()).select(F.col(key), F.col(vector).alias("_v"))
+    corpus = vectors.select(F.col(key), F.col(vector).alias("_v"))
     asked = queries.filter(F.col(query_vector).isNotNull()).select(F.col(query_key), F.col(query_vector).alias("_q"))
     n, longest = asked.agg(F.count("*"), F.coalesce(F.max(F.size("_q")), F.lit(1))).first()
     blocks = max(1, -(-n * longest * 8 // block_bytes))

@@ -10,6 +10,7 @@ from ..functions import text as X
 from ..functions.html import html_to_text
 from ..models import Embedder, Generator, Summariser, first_context_answer, first_sentence_summary, word_counts
 from ..operators import answer, chunk, dedup, dense, enrich, expand, fuse, gates, graph, lexical, scope, segment
+from ..scratch import Scratch
 from ..sources import readers, sinks
 
 
@@ -75,7 +76,7 @@ def retrieve(questions: DataFrame, enriched: DataFrame, edges: DataFrame, vector
     rankings = [lexical.search(index, asked, "qid", "question", p.top_lexical, p.k1, p.b)]
     if vectors is not None and question_vectors is not None:
         rankings += [dense.search(vectors, question_vectors, "chunk_id", c, "qid", "vector", p.top_dense) for c in ("summary", "full")]
-    fused = fuse.fuse(rankings, "qid", "chunk_id", p.rrf_k, p.fused_top)
+    fused = Scratch(questions.sparkSession, "fused").table(fuse.fuse(rankings, "qid", "chunk_id", p.rrf_k, p.fused_top))
     wide = expand.expand(fused.select("qid", "chunk_id", "score"), enriched, edges, params=p)
     candidates = wide.select("qid", "chunk_id").join(enriched, "chunk_id").join(asked, "qid")
     return answer.rerank(candidates, k=p.final_top, most_chars=p.rerank_chars)

@@ -57,3 +57,19 @@ def test_expansion_meets_few_chunks_of_a_hub(spark, shuffled):
         score = {a: max(mine[a], by_doc if not i % 2 else 0) if a in mine else max(by_doc if not i % 2 else 0, 0.9 * 0.3) for i, a in enumerate(name)}
         want = sorted(((-round(s, 9), a) for a, s in score.items()))[:10]
         assert [(-r.score, r.chunk_id) for r in sorted(got, key=lambda r: r["rank"]) if r.qid == q] == want
+
+
+def test_computed_vectors_are_worked_out_once(spark):
+    """A vector that is a column expression (a text's embedding) is evaluated once a row, though null vectors are left out."""
+    from corpusflow.operators import dense
+
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.udf("array<double>")
+    def embed(x):
+        calls.add(1)
+        return None if x == 7 else [float(x), 1.0]
+
+    q = spark.createDataFrame([(1, [1.0, 0.0])], "qid int, q array<double>")
+    got = dense.search(spark.range(40).select("id", embed("id").alias("v")), q, "id", "v", "qid", "q", k=100).collect()
+    assert len(got) == 39 and 7 not in {r.id for r in got} and calls.value == 40
