@@ -40,9 +40,24 @@ def grouped(items: Column, ids: Column) -> Column:
     return X.let(F.struct(items.alias("items"), ids.alias("ids")), cut)
 
 
+def group_starts(sizes: Column, most: int) -> Column:
+    """First place (from 1) of each group that ``pack_groups`` makes. The fold's array grows with the groups, not with the sizes."""
+
+    def step(acc: Column, n: Column) -> Column:
+        fits = (acc["at"] > 0) & (acc["sum"] + n <= most)
+        return F.struct((acc["at"] + 1).alias("at"), F.when(fits, acc["sum"] + n).otherwise(n).cast("int").alias("sum"), F.when(fits, acc["starts"]).otherwise(F.concat(acc["starts"], F.array(acc["at"] + 1))).alias("starts"))
+
+    return F.aggregate(sizes, F.struct(F.lit(0).alias("at"), F.lit(0).alias("sum"), F.array().cast("array<int>").alias("starts")), step, lambda acc: acc["starts"])
+
+
 def packed(items: Column, most: int, size: Callable[[Column], Column]) -> Column:
     """Arrays of items packed into groups of at most ``most`` in all."""
-    return X.let(items, lambda x: grouped(x, pack_groups(F.transform(x, size), most)))
+
+    def cut(x: Column) -> Column:
+        after = lambda i: F.coalesce(F.try_element_at(x["starts"], i + 2), F.size(x["items"]) + 1)
+        return F.transform(x["starts"], lambda start, i: F.slice(x["items"], start, after(i) - start))
+
+    return X.let(items, lambda all_: X.let(F.struct(all_.alias("items"), group_starts(F.transform(all_, size), most).alias("starts")), cut))
 
 
 def split_long(piece: Column, most: int, count: Counter = X.count_tokens) -> Column:
@@ -78,8 +93,9 @@ def chunk_articles(articles: DataFrame, most: int = 1024, count: Counter = X.cou
     uid = F.when(F.coalesce(X.strip(col("doc_uid")), F.lit("")) == "", F.raise_error(F.lit("each article needs a doc_uid")).cast("string")).otherwise(X.strip(col("doc_uid")))
     rows = articles.withColumn("breadcrumb", X.breadcrumb(col("loai_van_ban"), col("ten_van_ban"), [col("phan"), col("chuong"), col("muc")], col("dieu_so"), col("dieu_ten")))
     pieces = pieces_of(F.coalesce(col("noi_dung"), F.lit("")), most, count)
+    # outer, as for posexplode the optimizer would infer a filter that works out all chunks once more
     rows = rows.withColumn("_chunks", overlapped(packed(pieces, most, count), most, count))
-    rows = rows.select(*articles.columns, "breadcrumb", uid.alias("_uid"), F.posexplode("_chunks").alias("part_idx", "_chunk"))
+    rows = rows.select(*articles.columns, "breadcrumb", uid.alias("_uid"), F.posexplode_outer("_chunks").alias("part_idx", "_chunk")).filter("part_idx is not null")
     body = F.array_join("_chunk", "\n\n")
     return rows.select(
         *articles.columns, "breadcrumb", F.concat("_uid", F.lit("#"), col("part_idx").cast("string")).alias("chunk_id"), "part_idx",

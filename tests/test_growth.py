@@ -73,3 +73,29 @@ def test_computed_vectors_are_worked_out_once(spark):
     q = spark.createDataFrame([(1, [1.0, 0.0])], "qid int, q array<double>")
     got = dense.search(spark.range(40).select("id", embed("id").alias("v")), q, "id", "v", "qid", "q", k=100).collect()
     assert len(got) == 39 and 7 not in {r.id for r in got} and calls.value == 40
+
+
+def test_chunks_are_worked_out_once(spark, sf):
+    """The optimizer repeats no fold, as it does for a filter that it infers from posexplode."""
+    from corpusflow.plans import queries
+
+    plans = queries.QUERIES["chunk_documents"](spark, sf)._jdf.queryExecution()
+    analyzed, optimized = (p.toString().count("aggregate(") for p in (plans.analyzed(), plans.optimizedPlan()))
+    assert optimized == analyzed > 0
+
+
+def test_packed_groups_equal_the_numbers(spark):
+    from corpusflow.operators import chunk
+
+    rng = random.Random(8)
+    rows = [([rng.choice([0, 1, 3, 7, 12]) for _ in range(rng.randrange(30))],) for _ in range(200)] + [([],), (None,)]
+    d = spark.createDataFrame(rows, "sizes array<int>")
+    got = d.select("sizes", chunk.packed(F.col("sizes"), 10, lambda x: x).alias("new"), chunk.grouped(F.col("sizes"), chunk.pack_groups(F.col("sizes"), 10)).alias("old")).collect()
+    for r in got:
+        want = []
+        for x in r.sizes or []:
+            if want and sum(want[-1]) + x <= 10:
+                want[-1].append(x)
+            else:
+                want.append([x])
+        assert (r.new or []) == r.old == want
