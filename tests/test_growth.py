@@ -99,3 +99,12 @@ def test_packed_groups_equal_the_numbers(spark):
             else:
                 want.append([x])
         assert (r.new or []) == r.old == want
+
+
+def test_answers_shuffle_no_hits(spark, sf, shuffled):
+    """Queries over the hits of all benchmark items: their step shuffles each term of the corpus once a task, and no pair of item and document."""
+    from corpusflow.plans import queries
+
+    shuffled()
+    assert queries.QUERIES["citation_augment"](spark, sf).count() > 0
+    assert shuffled() < 40_000  # nearly all of it terms; postings and hits were as much again, twice
